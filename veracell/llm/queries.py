@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from .pair_bpe import op8_pair_index_bpe
 from .token_counts import op7_whole_token_counts
 from .token_files import op1_seekable_token_files
 
-QUERIES = {f.__name__: f for f in (op1_seekable_token_files, op7_whole_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_seekable_token_files, op7_whole_token_counts, op8_pair_index_bpe)}
 
 #: DuckDB SQL of those that SQL can express.
 ORACLE: dict[str, str] = {}
