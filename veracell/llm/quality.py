@@ -65,52 +65,58 @@ POLICIES = {p.version: p for p in (
 CURRENT = "v2"
 
 
+def settled(column: Column) -> Column:
+    """The column, computed once: a filter on it, or what is made of it, is not
+    pushed to where the column would be computed again for each array element."""
+    return F.when(F.rand(0) >= 0, column)
+
+
 def repeated_words(starts: Column) -> Column:
     """Words under windows with these start positions, ascending."""
     gaps = F.transform(starts, lambda at, k: F.least(F.lit(WINDOW), F.coalesce(F.get(starts, k + 1) - at, F.lit(WINDOW))))
     return F.aggregate(gaps, F.lit(0).cast("bigint"), lambda total, x: total + x)
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines and
-    n_repeat_words of (doc_id, text)."""
+def measure(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``key``, n_words, word_chars, n_symbols, n_lines, n_dup_lines and
+    n_repeat_words of (key, text); the key may be a struct, such as a whole row."""
     # one space for each other: the split then needs no pattern
-    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("flat", F.translate("text", SPACES, " " * len(SPACES)))
+    d = docs.select(F.col(key), F.coalesce("text", F.lit("")).alias("text")).withColumn("flat", settled(F.translate("text", SPACES, " " * len(SPACES))))
     d = d.select(
-        "doc_id",
-        F.array_remove(F.split("flat", " "), "").alias("words"),
+        key,
+        settled(F.array_remove(F.split("flat", " "), "")).alias("words"),
         F.length(F.translate("flat", " ", "")).cast("bigint").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
-        F.filter(F.split("text", "\n"), lambda line: F.length(F.translate(line, SPACES, "")) > 0).alias("lines"),
+        settled(F.filter(F.split("text", "\n"), lambda line: F.length(F.translate(line, SPACES, "")) > 0)).alias("lines"),
     )
     d = d.select(
-        "doc_id", "word_chars", "n_symbols",
+        key, "word_chars", "n_symbols",
         F.size("words").cast("bigint").alias("n_words"),
         F.size("lines").cast("bigint").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"),
-        F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"),
+        settled(F.transform("words", lambda w: F.xxhash64(w))).alias("hashes"),
     )
     windows = F.transform(
         F.when(F.col("n_words") >= WINDOW, F.sequence(F.lit(0), (F.col("n_words") - WINDOW).cast("int"))).otherwise(F.array().cast("array<int>")),
         lambda k: F.xxhash64(*[F.get("hashes", k + j) for j in range(WINDOW)]))
-    d = d.withColumn("windows", windows).drop("hashes")
+    d = d.withColumn("windows", settled(windows)).drop("hashes")
     # most texts repeat no window: theirs need no sort
     pairs = F.when(F.size(F.array_distinct("windows")) < F.size("windows"),
                    F.sort_array(F.transform("windows", lambda h, k: F.struct(h.alias("h"), k.alias("k")))))
-    d = d.withColumn("pairs", pairs).drop("windows")
+    d = d.withColumn("pairs", settled(pairs)).drop("windows")
     h = lambda k: F.get("pairs", k)["h"]
     starts = F.sort_array(F.transform(
         F.filter("pairs", lambda p, k: h(k - 1).eqNullSafe(p["h"]) | h(k + 1).eqNullSafe(p["h"])), lambda p: p["k"]))
-    d = d.withColumn("starts", starts).drop("pairs")
-    return d.withColumn("n_repeat_words", F.coalesce(repeated_words(F.col("starts")), F.lit(0).cast("bigint"))).drop("starts")
+    d = d.withColumn("starts", settled(starts)).drop("pairs")
+    return d.withColumn("n_repeat_words", settled(F.coalesce(repeated_words(F.col("starts")), F.lit(0).cast("bigint")))).drop("starts")
 
 
-def ledger(docs: DataFrame) -> DataFrame:
-    """Measurements and ``fail_bits`` of (doc_id, text)."""
+def ledger(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Measurements and ``fail_bits`` of (key, text)."""
     bits = F.lit(0).cast("bigint")
     for rule in RULES:
         bits = bits.bitwiseOR(F.when(F.expr(rule.failed), F.lit(BIT[rule.name])).otherwise(F.lit(0)).cast("bigint"))
-    return measure(docs).withColumn("fail_bits", bits)
+    return measure(docs, key).withColumn("fail_bits", bits)
 
 
 def verdicts(book: DataFrame, version: str = CURRENT) -> DataFrame:
@@ -121,6 +127,12 @@ def verdicts(book: DataFrame, version: str = CURRENT) -> DataFrame:
         "kept", F.col("fail_bits").bitwiseAND(F.lit(mask)) == 0)
 
 
+def kept_rows(docs: DataFrame, version: str = CURRENT) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that a policy keeps."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
+    return verdicts(ledger(whole, "row"), version).where("kept").select("row.*")
+
+
 def ablations(book: DataFrame, version: str = CURRENT) -> DataFrame:
     """For each rule of a policy: documents it fails, those it alone fails (they
     would be kept without it), and those kept with the whole policy. One

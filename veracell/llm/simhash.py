@@ -214,5 +214,19 @@ def near_groups(docs: DataFrame) -> DataFrame:
                       F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """All columns of the documents that stay: of each group of near duplicates
+    the one with the smallest doc_id, once; documents without a doc_id stay.
+
+    The texts are shuffled once, by doc_id, to meet the ids that stay.
+    """
+    spark = docs.sparkSession
+    groups = written(near_groups(id_and_text(docs)), "groups")
+    free_shuffles(spark)
+    stay = groups.where("doc_id = component_id").select(F.col("doc_id").alias("stays"))
+    known = docs.join(stay.distinct(), docs["doc_id"] == F.col("stays"), "left_semi").dropDuplicates(["doc_id"])
+    return known.unionByName(docs.where("doc_id is null"))
+
+
 def op5_simhash_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(id_and_text(spark.read.parquet(f"{sf_dir}/documents.parquet")))
