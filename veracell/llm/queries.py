@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chat import op9_role_repair
 from .decontaminate import op6_fm_decontaminate
 from .pair_bpe import op8_pair_index_bpe
 from .pii import op2_semi_crf_pii
@@ -12,7 +13,7 @@ from .suffix_dedup import op3_suffix_dedup
 from .token_counts import op7_whole_token_counts
 from .token_files import op1_seekable_token_files
 
-QUERIES = {f.__name__: f for f in (op1_seekable_token_files, op2_semi_crf_pii, op3_suffix_dedup, op4_rule_ledger, op5_simhash_popcount, op6_fm_decontaminate, op7_whole_token_counts, op8_pair_index_bpe, op10_entropy_secrets)}
+QUERIES = {f.__name__: f for f in (op1_seekable_token_files, op2_semi_crf_pii, op3_suffix_dedup, op4_rule_ledger, op5_simhash_popcount, op6_fm_decontaminate, op7_whole_token_counts, op8_pair_index_bpe, op9_role_repair, op10_entropy_secrets)}
 
 #: DuckDB SQL of those that SQL can express.
 ORACLE: dict[str, str] = {"op4_rule_ledger": OP4_SQL}
