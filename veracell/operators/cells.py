@@ -39,7 +39,7 @@ def values(cell: DataFrame) -> DataFrame:
 
 def top(counts: DataFrame, by: list[str], n: int, ties: list[str], count: str = "n") -> DataFrame:
     """The n most frequent rows of each group, equals by ``ties``."""
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.col(count).desc(), *ties))
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.col(count).desc(), *ties)).cast("bigint")
     return counts.withColumn("rank", rank).where(F.col("rank") <= n)
 
 

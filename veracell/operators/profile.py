@@ -61,7 +61,7 @@ def distribution(cell: DataFrame, key, name: str, n: int = 20) -> DataFrame:
 def lengths(cell: DataFrame, n: int = 20) -> DataFrame:
     """The n shortest lengths of each column and how often they are."""
     counts = cell.where(F.col("raw").isNotNull()).groupBy("column", F.length(F.trim("raw")).alias("length")).agg(F.count("*").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("column").orderBy("length"))
+    rank = F.row_number().over(Window.partitionBy("column").orderBy("length")).cast("bigint")
     return counts.withColumn("rank", rank).where(F.col("rank") <= n)
 
 
@@ -98,8 +98,8 @@ def medians(df: DataFrame, columns: list[str]) -> DataFrame:
 def extremes(cell: DataFrame, n: int = 3) -> DataFrame:
     """The n lowest and highest distinct numbers of each column."""
     x = cell.select("column", numeric.strict(F.col("raw")).alias("x")).where("x is not null").distinct()
-    lo = F.row_number().over(Window.partitionBy("column").orderBy("x"))
-    hi = F.row_number().over(Window.partitionBy("column").orderBy(F.desc("x")))
+    lo = F.row_number().over(Window.partitionBy("column").orderBy("x")).cast("bigint")
+    hi = F.row_number().over(Window.partitionBy("column").orderBy(F.desc("x"))).cast("bigint")
     low = x.withColumn("rank", lo).where(F.col("rank") <= n).withColumn("side", F.lit("low"))
     return low.unionByName(x.withColumn("rank", hi).where(F.col("rank") <= n).withColumn("side", F.lit("high")))
 

@@ -73,7 +73,7 @@ def reference_rows(df: DataFrame, ctx: str, tgt: str, most: int = 5) -> DataFram
     counts = pair_counts(df, [ctx, tgt]).where((F.col("ctx") == ctx) & (F.col("tgt") == tgt))
     groups = modes(counts).where((F.col("g") >= MIN_GROUP) & (F.col("mode_n") >= MIN_MODE) & (F.col("mode_n") / F.col("g") >= MIN_SHARE))
     rows = df.select("row_idx", text.signature(F.col(ctx).cast("string")).alias("ctx_sig"), text.signature(F.col(tgt).cast("string")).alias("mode_sig"))
-    rank = F.row_number().over(Window.partitionBy("ctx_sig").orderBy("row_idx"))
+    rank = F.row_number().over(Window.partitionBy("ctx_sig").orderBy("row_idx")).cast("bigint")
     return rows.join(groups.select("ctx_sig", "mode_sig"), ["ctx_sig", "mode_sig"]).withColumn("rank", rank).where(F.col("rank") <= most)
 
 
