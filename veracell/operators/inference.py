@@ -1,0 +1,187 @@
+"""From observations to posteriors: features, gates, fit, scores, explanations.
+
+Only distinct evidence signatures and the labelled cells reach the driver.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from veracell.functions import numeric
+
+GATES = {
+    "open_entity": (0.10, 0.20, 0.30), "identifier": (0.0, 0.0, 1.0), "closed_enum": (0.25, 0.30, 0.60), "unit_measure": (0.20, 0.20, 0.60),
+    "numeric_measure": (0.50, 0.20, 0.80), "temporal_measure": (1.0, 1.0, 1.0), "geo_name": (0.10, 0.20, 0.30), "free_text": (0.05, 0.10, 0.20),
+}
+GATED = ("rarity_high", "prototype_far", "pattern_mismatch")
+SIGNATURES = 200_000
+
+
+def signed(obs: DataFrame) -> DataFrame:
+    x = F.when(F.col("polarity") == "dirty", F.col("strength")).when(F.col("polarity") == "clean", -F.col("strength")).otherwise(0.0)
+    return obs.withColumn("feature", F.concat_ws(":", "scope", "family", "source")).withColumn("x", x)
+
+
+def features(obs: DataFrame) -> DataFrame:
+    """row_idx, column, feature, x: signed strengths summed by cell and feature."""
+    return signed(obs).groupBy("row_idx", "column", "feature").agg(F.sum("x").alias("x"))
+
+
+def gate(obs: DataFrame, archetypes: dict[str, str], mode: str = "hard", confidence: dict[str, float] | None = None, support: dict[tuple[str, str], tuple[int, int]] | None = None,
+         strength: float = 0.25, pseudocount: float = 2.0, supported: set[tuple[str, str]] | None = None) -> DataFrame:
+    """Scales soft evidence of the gated sources by the column's archetype.
+
+    ``support`` has (clean, dirty) label counts by (archetype, source). Hard
+    evidence is never scaled. Adds ``raw_strength`` and ``gate_scale``.
+    """
+    if mode not in ("hard", "soft", "weak_prior"):
+        raise ValueError(f"unknown gating mode {mode}")
+    scale = F.lit(1.0)
+    for column, archetype in archetypes.items():
+        for source, target in zip(GATED, GATES.get(archetype, ())):
+            clean, dirty = (support or {}).get((archetype, source), (0, 0))
+            trust = (confidence or {}).get(column, 0.0)
+            if mode == "hard":
+                value = target if supported is None or (archetype, source) in supported else 1.0
+            elif mode == "soft":
+                value = 1.0 if clean <= 0 else 1 - trust * clean / (clean + dirty + 1.0) * (1 - target)
+            else:
+                prior = min(1.0, max(0.0, strength)) * trust
+                total = pseudocount + clean + dirty
+                value = 1 - ((pseudocount * prior + clean) / total if total > 0 else prior) * (1 - target)
+            scale = F.when((F.col("column") == column) & (F.col("source") == source) & ~F.col("hard"), F.lit(float(value))).otherwise(scale)
+    out = obs.withColumn("raw_strength", F.col("strength")).withColumn("gate_scale", scale)
+    return out.withColumn("strength", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("raw_strength") * F.col("gate_scale"))))
+
+
+def scaled_rules(obs: DataFrame, factor: float, sources: tuple[str, ...] = ("pattern_match", "pattern_mismatch")) -> DataFrame:
+    """Only the strengths of pattern-rule evidence, times a factor."""
+    if not (factor >= 0 and np.isfinite(factor)):
+        raise ValueError("the factor must be a finite number of at least 0")
+    return obs.withColumn("strength", F.when(F.col("source").isin(*sources), F.least(F.lit(1.0), F.col("strength") * factor)).otherwise(F.col("strength")))
+
+
+def promote_structural(obs: DataFrame, columns: list[str]) -> DataFrame:
+    """Soft structural missing evidence of these columns becomes full and hard."""
+    hit = (F.col("source") == "missing_token") & ~F.col("hard") & F.col("column").isin(*columns)
+    return obs.withColumn("strength", F.when(hit, 1.0).otherwise(F.col("strength"))).withColumn("hard", hit | F.col("hard"))
+
+
+def signatures(feats: DataFrame) -> DataFrame:
+    """A row for each distinct evidence vector (3 decimals): its first cell and
+    how many cells have it."""
+    vector = feats.where(F.abs("x") > 1e-9).groupBy("row_idx", "column").agg(F.array_sort(F.collect_list(F.struct("feature", F.round("x", 3).alias("x")))).alias("vector"))
+    return vector.groupBy("vector").agg(F.min(F.struct("row_idx", "column")).alias("cell"), F.count("*").alias("n"))
+
+
+def choose_queries(feats: DataFrame, budget: int, ridge: float = 1.0) -> list[tuple[int, str]]:
+    """Cells to label: greedy D-optimal design over the distinct signatures.
+    Equal scores go to the smaller (row_idx, column)."""
+    rows = signatures(feats).orderBy("cell").limit(SIGNATURES + 1).collect()
+    if len(rows) > SIGNATURES:
+        raise ValueError(f"more than {SIGNATURES} evidence signatures; round strengths or drop sources")
+    names = sorted({f.feature for r in rows for f in r.vector})
+    at = {n: k for k, n in enumerate(names)}
+    x = np.zeros((len(rows), len(names)))
+    for k, r in enumerate(rows):
+        for f in r.vector:
+            x[k, at[f.feature]] = f.x
+    inverse = np.eye(len(names)) / max(ridge, 1e-6)
+    left, chosen = list(range(len(rows))), []
+    while left and len(chosen) < budget:
+        scores = np.einsum("ij,jk,ik->i", x[left], inverse, x[left])
+        best = int(np.argmax(np.round(scores, 12)))
+        if scores[best] <= 1e-12:
+            break
+        k = left.pop(best)
+        chosen.append((rows[k].cell.row_idx, rows[k].cell.column))
+        v = inverse @ x[k]
+        inverse -= np.outer(v, v) / (1 + x[k] @ v)
+    return chosen
+
+
+def fit(x: np.ndarray, y: np.ndarray, prior: float = 0.05, l2: float = 0.25, rounds: int = 2000) -> tuple[float, np.ndarray]:
+    """Logistic weights of at least 0, drawn to 0 and the prior's logit."""
+    base = np.log(prior / (1 - prior))
+    theta, goal = np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1)
+    theta[0] = goal[0] = base
+    full = np.column_stack([np.ones(len(x)), x])
+    rate = 1 / (0.25 * np.linalg.norm(full, 2) ** 2 + l2)
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(full @ theta, -30, 30)))
+        new = theta - rate * (full.T @ (p - y) + l2 * (theta - goal))
+        new[1:] = np.maximum(new[1:], 0)
+        moved, theta = np.linalg.norm(new - theta), new
+        if moved < 1e-6:
+            break
+    return float(theta[0]), theta[1:]
+
+
+def calibrate(feats: DataFrame, labels: dict[tuple[int, str], int], prior: float = 0.05) -> tuple[float, dict[str, float]]:
+    """Intercept and weights from a few labelled cells; without labels the prior alone."""
+    prior = min(0.30, max(0.01, prior))
+    if not labels:
+        return float(np.log(prior / (1 - prior))), {}
+    spark = feats.sparkSession
+    asked = spark.createDataFrame([(r, c) for r, c in labels], "row_idx bigint, column string")
+    rows = feats.join(F.broadcast(asked), ["row_idx", "column"]).collect()  # the label budget's cells
+    names = sorted({r.feature for r in rows})
+    cells, at = list(labels), {n: k for k, n in enumerate(names)}
+    place = {c: k for k, c in enumerate(cells)}
+    x = np.zeros((len(cells), len(names)))
+    for r in rows:
+        x[place[r.row_idx, r.column], at[r.feature]] += r.x
+    intercept, w = fit(x, np.array([labels[c] for c in cells], float), prior)
+    return intercept, {n: float(v) for n, v in zip(names, w) if abs(v) > 1e-8}
+
+
+def weights_column(weights: dict[str, float] | None):
+    """A weight for each row's feature; without weights each counts 1."""
+    if weights is None:
+        return F.lit(1.0)
+    if not weights:
+        return F.lit(0.0)
+    return F.coalesce(F.create_map(*[x for n, w in weights.items() for x in (F.lit(n), F.lit(float(w)))])[F.col("feature")], F.lit(0.0))
+
+
+def posteriors(feats: DataFrame, intercept: float, weights: dict[str, float] | None) -> DataFrame:
+    """row_idx, column, logit, posterior of the cells that have evidence."""
+    logit = F.lit(intercept) + F.sum(weights_column(weights) * F.col("x"))
+    out = feats.groupBy("row_idx", "column").agg(F.greatest(F.lit(-30.0), F.least(F.lit(30.0), logit)).alias("logit"))
+    return out.withColumn("posterior", numeric.sigmoid(F.col("logit")))
+
+
+def value_priors(cells: DataFrame, post: DataFrame, intercept: float) -> DataFrame:
+    """Mean posterior of each value's cells; cells without evidence have the prior."""
+    p = F.coalesce("posterior", numeric.sigmoid(F.lit(intercept)))
+    return cells.select("row_idx", "column", "sig").join(post, ["row_idx", "column"], "left").groupBy("column", "sig").agg(F.avg(p).alias("prior"), F.count("*").alias("n"))
+
+
+def contributions(obs: DataFrame, post: DataFrame, weights: dict[str, float] | None) -> DataFrame:
+    """What each observation adds to its cell's posterior, all else fixed."""
+    o = signed(obs).withColumn("w", weights_column(weights) * F.col("x")).join(post, ["row_idx", "column"])
+    return o.withColumn("contribution", F.col("posterior") - numeric.sigmoid(F.col("logit") - F.col("w")))
+
+
+def thresholds(scored: DataFrame, base: float = 0.5, least: int = 2) -> DataFrame:
+    """Column thresholds from labelled scores (column, posterior, label), drawn to
+    the global one by n / (n + 5)."""
+    g = scored.groupBy("column").agg(F.count("*").alias("n"), F.max(F.when(F.col("label") == 0, F.col("posterior"))).alias("hi_clean"), F.min(F.when(F.col("label") == 1, F.col("posterior"))).alias("lo_dirty"))
+    c, d = F.col("hi_clean"), F.col("lo_dirty")
+    own = F.when(c.isNotNull() & d.isNotNull() & (c < d), (c + d) / 2).when(c.isNotNull(), F.greatest(F.lit(base), c + 0.05)).otherwise(F.least(F.lit(base), d - 0.05))
+    share = F.col("n") / (F.col("n") + 5.0)
+    return g.where(F.col("n") >= max(2, least)).withColumn("threshold", F.greatest(F.lit(0.05), F.least(F.lit(0.95), (1 - share) * base + share * own)))
+
+
+def explain(contrib: DataFrame, intercept: float, threshold: float = 0.5) -> DataFrame:
+    """One row a cell: decision, primary reason, three more for it and three
+    against, in order of contribution."""
+    item = F.struct((-F.abs("contribution")).alias("k"), F.col("source"), F.col("contribution").alias("c"))
+    g = contrib.groupBy("row_idx", "column").agg(F.first("posterior").alias("posterior"), F.array_sort(F.collect_list(item)).alias("items"))
+    names = lambda arr, a, n: F.array_join(F.transform(F.slice(arr, a, n), lambda i: i["source"]), ",")
+    dirty = F.col("posterior") >= threshold
+    pro = F.filter("items", lambda i: F.when(dirty, i["c"] > 1e-12).otherwise(i["c"] < -1e-12))
+    con = F.filter("items", lambda i: F.when(dirty, i["c"] < -1e-12).otherwise(i["c"] > 1e-12))
+    return g.select("row_idx", "column", "posterior", F.when(dirty, "dirty").otherwise("clean").alias("decision"), names(pro, 1, 1).alias("primary_reason"), names(pro, 2, 3).alias("supporting"), names(con, 1, 3).alias("counter"))
