@@ -14,10 +14,11 @@ member left takes no part in the next pass:
    in both are equal in all their windows; all but the first of a class repeat.
 3. Digit three is the window. Only the first run of each class takes part, and
    only where several classes share an anchor (where copies begin, end or
-   differ). Of the windows left in one group all but the first repeat.
+   differ). Of the windows left in one group all but the first repeat. A group of
+   more than ``GROUP_RUNS`` runs is spread over all tasks, a row for each window.
 
 "First" is by doc_id, then start. Groups are told apart by 64-bit hashes of
-anchor and digit together (128 bits); each pass is a minimum by key, combined
+anchor and digit together (128 bits), the small groups of the last pass by their bytes; each pass is a minimum by key, combined
 before the shuffle, and a join back that adaptive execution can split, so a
 string that a third of all documents share is no task's burden.
 
@@ -41,6 +42,8 @@ from .common import free_shuffles, id_and_text, written
 
 DEPTH = 100
 GRAM = 32
+#: Runs of one anchor that one task compares; of more, each window is a row of its own.
+GROUP_RUNS = 1 << 14
 #: Bytes that are hashed together, and the most window starts of one document in a piece.
 PIECE = 1 << 22
 _POSITION = 26
@@ -142,31 +145,78 @@ def anchors(docs: DataFrame, keys_only: bool) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def windows(asked: DataFrame) -> DataFrame:
-    """kg, wh, doc, p of each window of the runs asked for; rows (doc, text, asked)."""
+def contexts(asked: DataFrame) -> DataFrame:
+    """kg, large, doc, lo, bytes of the runs asked for; rows (doc, text, asked)."""
+    types = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary())
+    names = ["kg", "large", "doc", "lo", "bytes"]
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                rows = []
+                for doc, text, wanted in zip(*[c.to_pylist() for c in batch.slice(at, 256).columns]):
+                    raw = text.encode()
+                    rows += [(r["kg"], r["large"], doc, r["lo"], raw[r["lo"] : r["lo"] + r["n"] + DEPTH - 1]) for r in wanted]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+
+    return asked.mapInArrow(run, "kg bigint, large boolean, doc bigint, lo bigint, bytes binary")
+
+
+def sorted_groups(reps: DataFrame) -> DataFrame:
+    """Spans of repeated windows among the runs of one anchor: rows (kg, doc, lo,
+    bytes) that stand together and in order. A group has ``GROUP_RUNS`` runs at most."""
+
+    def run(batches):
+        seen: set[bytes] = set()
+        kg = None
+        for batch in batches:
+            out: list[tuple[int, int, int]] = []
+            for key, doc, lo, own in zip(*[c.to_pylist() for c in batch.columns]):
+                if key != kg:
+                    kg, seen = key, set()
+                start = None
+                for p in range(len(own) - DEPTH + 1):
+                    window = own[p : p + DEPTH]
+                    if window in seen:
+                        if start is None:
+                            start = p
+                    else:
+                        seen.add(window)
+                        if start is not None:
+                            out.append((doc, lo + start, lo + p + DEPTH - 1))
+                            start = None
+                if start is not None:
+                    out.append((doc, lo + start, lo + len(own)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["doc", "start", "end"])
+
+    together = reps.repartition("kg").sortWithinPartitions("kg", "doc", "lo")
+    return together.select("kg", "doc", "lo", "bytes").mapInArrow(run, "doc bigint, start bigint, end bigint")
+
+
+def windows(reps: DataFrame) -> DataFrame:
+    """kg, wh, doc, p of each window of runs (kg, doc, lo, bytes)."""
 
     def run(batches):
         import xxhash
 
         digest = xxhash.xxh3_64_intdigest
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
+            for at in range(0, batch.num_rows, 1024):
                 cols: list[list] = [[], [], [], []]
-                for doc, text, wanted in zip(*[c.to_pylist() for c in batch.slice(at, 256).columns]):
-                    view = memoryview(text.encode())
-                    for r in wanted:
-                        for p in range(r["lo"], r["lo"] + r["n"]):
-                            cols[0].append(r["kg"])
-                            cols[1].append(digest(view[p : p + DEPTH]))
-                            cols[2].append(doc)
-                            cols[3].append(p)
+                for kg, doc, lo, own in zip(*[c.to_pylist() for c in batch.slice(at, 1024).columns]):
+                    n = len(own) - DEPTH + 1
+                    cols[0] += [kg] * n
+                    cols[1] += [digest(own[p : p + DEPTH]) for p in range(n)]
+                    cols[2] += [doc] * n
+                    cols[3] += range(lo, lo + n)
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(np.array(cols[1], np.uint64).view(np.int64)), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())],
                                                  names=["kg", "wh", "doc", "p"])
 
-    return asked.mapInArrow(run, "kg bigint, wh bigint, doc bigint, p bigint")
+    return reps.select("kg", "doc", "lo", "bytes").mapInArrow(run, "kg bigint, wh bigint, doc bigint, p bigint")
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
+def repeated_spans(docs: DataFrame, group_runs: int = GROUP_RUNS) -> DataFrame:
     """(doc, start, end) byte spans that repeat an earlier window; they overlap."""
     spark = docs.sparkSession
     known = docs.where("doc_id is not null")
@@ -176,25 +226,26 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     free_shuffles(spark)
     first = F.min(F.struct("doc", "lo", "n")).alias("first")
     classes = written(members.groupBy("kg", "rh").agg(first, F.count("*").alias("m")), "classes")
+    free_shuffles(spark)
     copies = members.join(classes.where("m > 1").select("kg", "rh", F.col("first.doc").alias("d0"), F.col("first.lo").alias("l0")), ["kg", "rh"])
     copies = copies.where("doc <> d0 or lo <> l0").select("doc", F.col("lo").alias("start"), (F.col("lo") + F.col("n") + (DEPTH - 1)).alias("end"))
-    shared = classes.groupBy("kg").count().where("count > 1").select("kg")
-    asked = classes.join(shared, "kg", "left_semi").select(F.col("first.doc").alias("doc"), F.struct("kg", F.col("first.lo").alias("lo"), F.col("first.n").alias("n")).alias("r"))
+    shared = classes.groupBy("kg").count().where("count > 1").select("kg", (F.col("count") > group_runs).alias("large"))
+    asked = classes.join(shared, "kg").select(F.col("first.doc").alias("doc"), F.struct("kg", "large", F.col("first.lo").alias("lo"), F.col("first.n").alias("n")).alias("r"))
     asked = asked.groupBy("doc").agg(F.collect_list("r").alias("asked"))  # of one document, no longer than it
-    texts = known.dropDuplicates(["doc_id"]) if not known.isStreaming else known
-    cut = written(windows(texts.join(asked, texts.doc_id == asked.doc).select("doc", "text", "asked")), "windows")
+    reps = written(contexts(known.join(asked, known.doc_id == asked.doc).select("doc", "text", "asked")), "contexts")
     free_shuffles(spark)
+    cut = windows(reps.where("large"))
     lowest = cut.groupBy("kg", "wh").agg(F.min(F.struct("doc", "p")).alias("first"), F.count("*").alias("m")).where("m > 1")
     lowest = lowest.select("kg", "wh", F.col("first.doc").alias("d0"), F.col("first.p").alias("p0"))
     parts = cut.join(lowest, ["kg", "wh"]).where("doc <> d0 or p <> p0").select("doc", F.col("p").alias("start"), (F.col("p") + DEPTH).alias("end"))
-    return copies.unionByName(parts)
+    return copies.unionByName(sorted_groups(reps.where("not large"))).unionByName(parts)
 
 
-def deduplicated(docs: DataFrame, texts: bool = False) -> DataFrame:
+def deduplicated(docs: DataFrame, texts: bool = False, group_runs: int = GROUP_RUNS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of (doc_id, text), and
     with ``texts`` the bytes that stay."""
     spark = docs.sparkSession
-    spans = repeated_spans(docs).groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    spans = repeated_spans(docs, group_runs).groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     spans = written(spans, "spans")
     free_shuffles(spark)
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + texts]
