@@ -20,7 +20,7 @@ def with_rows(df: DataFrame, key: str) -> DataFrame:
 def numbered(df: DataFrame) -> DataFrame:
     """Contiguous ``row_idx`` in file order, for tables without a key: one count
     of each partition, then positions within them; no sort and no shuffle."""
-    schema = df.schema.add("row_idx", "bigint", False)
+    schema = df.schema.add("row_idx", "long", False)
     return df.rdd.zipWithIndex().map(lambda r: (*r[0], r[1])).toDF(schema)
 
 
