@@ -168,10 +168,13 @@ def sorted_groups(reps: DataFrame) -> DataFrame:
 
     def run(batches):
         seen: set[bytes] = set()
-        kg = None
+        kg = last = None
         for batch in batches:
             out: list[tuple[int, int, int]] = []
             for key, doc, lo, own in zip(*[c.to_pylist() for c in batch.columns]):
+                if (key, doc, lo) == last:
+                    continue  # the same document once more
+                last = key, doc, lo
                 if key != kg:
                     kg, seen = key, set()
                 start = None
