@@ -1,0 +1,132 @@
+import hashlib
+import random
+
+import pytest
+
+import brute
+from veracell.llm import pii, quality, secrets
+from veracell.llm.common import id_and_text
+
+
+def test_base_pii(docs, table, texts, rowless):
+    rows = {r.doc_id: r for r in pii.find_pii(id_and_text(docs)).collect()}
+    for d, t in texts.items():
+        base = brute.pii(t or "")
+        told = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in base)
+        assert rows[d].base_sha256 == hashlib.sha256(told.encode()).hexdigest()
+        assert [rows[d][f"n_{k}"] for k in pii.KINDS] == [sum(s[0] == j for s in base) for j in range(4)]
+        assert set(filter(None, told.split(","))) <= set(rows[d].spans.split(","))
+    assert pii.find_pii(id_and_text(rowless)).count() == 0
+    twice = pii.find_pii(id_and_text(table([(None, "a@b.c"), (None, "a@b.c")]))).collect()
+    assert [r.n_email for r in twice] == [1, 1]
+
+
+def test_base_pii_on_noise():
+    r = random.Random(4)
+    for _ in range(3000):
+        t = "".join(r.choice("01259.+-@ ()ab") for _ in range(r.randint(0, 60)))
+        assert sorted(pii.base_spans(t)) == brute.pii(t), t
+
+
+def test_field_finds_held_out_spans():
+    w, tp, fp, fn = pii.field(), 0, 0, 0
+    for text, spans in pii.generated(200, seed=77):
+        got = {s for x in pii.windows(text) for s in pii.decode(w, x)}
+        tp, fp, fn = tp + len(got & set(spans)), fp + len(got - set(spans)), fn + len(set(spans) - got)
+    assert tp / (tp + fp) > 0.95 and tp / (tp + fn) > 0.95
+
+
+def test_decoding_is_the_best_labelling():
+    w = pii.field()
+    for text, _ in pii.generated(30, seed=5):
+        for x in list(pii.windows(text))[:1]:
+            x = pii.Window(text, x.at[:9])
+            segs, n = pii.lattice(x), len(x.at[:9])
+
+            def best(i, prev):
+                if i == n:
+                    return 0.0
+                return max(w.get(("t", prev, k), 0.0) + pii.total(w, f) + best(e, k) for e, k, f in segs[i])
+
+            path, at, prev, score = {(a, b): k for k, a, b in pii.decode(w, x)}, 0, pii.OUTSIDE, 0.0
+            while at < n:
+                e, k, f = next(((e, k, f) for e, k, f in segs[at] if path.get((x.at[at][0], x.at[e - 1][1])) == k), segs[at][0])
+                score += w.get(("t", prev, k), 0.0) + pii.total(w, f)
+                at, prev = e, k
+            assert abs(score - best(0, pii.OUTSIDE)) < 1e-6
+
+
+def test_windows_label_as_whole_texts():
+    w = pii.field()
+    for text, _ in pii.generated(20, seed=9):
+        text = "word " * 60 + text + " word" * 60 + " " + text
+        whole = pii.Window(text, [m.span() for m in pii.TOKEN.finditer(text)])
+        assert pii.decode(w, whole) == [s for x in pii.windows(text) for s in pii.decode(w, x)]
+
+
+def test_redaction(table):
+    out = pii.redact_text(table([(1, "to ann@example.com now"), (2, None)])).orderBy("doc_id").collect()
+    assert out[0].text == "to <EMAIL> now" and out[1].text is None and "a.b" in out[0].__fields__
+
+
+def test_base_secrets(docs, texts, rowless):
+    rows = {r.doc_id: r for r in secrets.find_secrets(id_and_text(docs)).collect()}
+    for d, t in texts.items():
+        base = brute.secrets(t or "")
+        told = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, b, k in base)
+        assert rows[d].base_sha256 == hashlib.sha256(told.encode()).hexdigest()
+    assert rows[6].n_assign == 1 and rows[6].n_hex == 1
+    assert secrets.find_secrets(id_and_text(rowless)).count() == 0
+
+
+def test_base_secrets_on_noise():
+    r = random.Random(2)
+    parts = ["password", "PassWd", "token", "apiKey", "api_key", "secret", "=", ":", " ", "'", '"', "abcdefgh", "a1", "AKIA", "AKIAABCD1234EFGH", "deadbeef" * 4, "ſecret", "toKen", "K", "\n"]
+    for _ in range(3000):
+        t = "".join(r.choice(parts) for _ in range(r.randint(1, 9)))
+        assert secrets.scan(t)[0] == brute.secrets(t), t
+
+
+def test_incremental_entropy():
+    from math import log2
+
+    r = random.Random(1)
+    for _ in range(200):
+        run = "".join(r.choice("abcdef0123456789") for _ in range(r.randint(20, 60)))
+        bound, hit = 3.1, set()
+        for at in range(len(run) - 19):
+            w = run[at : at + 20]
+            if -sum(w.count(c) / 20 * log2(w.count(c) / 20) for c in set(w)) >= bound - 1e-9:
+                hit |= set(range(at, at + 20))
+        assert {k for a, b in secrets.high_windows(run, bound) for k in range(a, b)} == hit
+
+
+@pytest.mark.parametrize("text,n", [("key wJalrXUtnFEMI/K7MDENG/bPxRfiCYzz end", 1), ("550e8400-e29b-41d4-a716-446655440000", 0), ("Donaudampfschifffahrtsgesellschaftskapitaen", 0), ("2024-01-01/2024-12-31/0001", 0), ("sha256-AbCdEf0123456789AbCdEf0123456789xyz", 0)])
+def test_entropy_and_allow_list(text, n):
+    assert sum(s[2] == 3 for s in secrets.scan(text)[1]) == n
+
+
+def test_quality_measures(docs, texts, table, rowless):
+    rows = {r.doc_id: r for r in quality.verdicts(quality.ledger(id_and_text(docs))).collect()}
+    for d, t in texts.items():
+        r = rows[d]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == brute.quality(t), d
+        assert not (r.kept and r.base_failed)
+    assert rows[1].kept and not rows[13].kept
+    assert quality.ledger(id_and_text(rowless)).count() == 0
+
+
+def test_policies_and_ablations_need_no_text(docs):
+    book = quality.ledger(id_and_text(docs)).select("doc_id", "fail_bits").persist()
+    for version, policy in quality.POLICIES.items():
+        kept = {r.doc_id for r in quality.verdicts(book, version).where("kept").collect()}
+        for a in quality.ablations(book, version).collect():
+            bit, rows = quality.BIT[a.rule], book.collect()
+            without = {r.doc_id for r in rows if not r.fail_bits & policy.mask & ~bit}
+            assert a.n_kept == len(kept) and a.n_failed_alone == len(without - kept)
+    assert quality.by_group(book.selectExpr("doc_id % 2 as g", "fail_bits"), "g").count() == 2
+
+
+def test_kept_rows_have_all_columns(docs):
+    out = quality.kept_rows(docs)
+    assert out.columns == docs.columns and 1 in {r.doc_id for r in out.collect()}

@@ -54,6 +54,23 @@ def arrow_map(df: DataFrame, schema: str, build: Callable[[], Callable], finish:
     return df.mapInArrow(run, schema)
 
 
+def map_text(df: DataFrame, text_col: str, change: Callable) -> DataFrame:
+    """All columns of ``df``, whatever their names, with the texts that
+    ``change(list of texts)`` gives for those of a batch."""
+    names = df.columns
+    plain = df.toDF(*[f"c{k}" for k in range(len(names))])
+    at, schema = names.index(text_col), plain.schema
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        for batch in batches:
+            cols = list(batch.columns)
+            cols[at] = pa.array(change(batch.column(at)), arrow.field(at).type)
+            yield pa.RecordBatch.from_arrays(cols, schema=arrow)
+
+    return plain.mapInArrow(run, schema).toDF(*names)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 

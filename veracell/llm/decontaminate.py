@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_and_text
+from .common import id_and_text, map_text
 from .fm_index import FmIndex
 
 WINDOW = 8
@@ -206,10 +206,6 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
 def cleaned(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", shard_words: int = SHARD_WORDS) -> DataFrame:
     """All columns of ``docs``, every benchmark passage cut out of the text;
     block after block, so that spans of two blocks that meet are both cut."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    out, names = docs, docs.columns
-    at, arrow, schema = names.index(text_col), to_arrow_schema(docs.schema), docs.schema
     shared = [docs.sparkSession.sparkContext.broadcast(b) for b in blocks(benchmark)]
 
     def clean(part: list[str | None], cut: list[list[bytes]]) -> list[str | None]:
@@ -220,24 +216,20 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", shard
                     found.setdefault(k, []).extend(s.ravel().tolist())
         return [without(t, merged(found[k])) if k in found else t for k, t in enumerate(part)]
 
-    def run(batches):
-        for batch in batches:
-            texts = batch.column(at)
-            done, part, cut, n = [], [], [], 0
-            for k in range(batch.num_rows):
-                text = texts[k].as_py()
-                w = words(text)
-                if n and n + len(w) > shard_words:
-                    done += clean(part, cut)
-                    part, cut, n = [], [], 0
-                part.append(text)
-                cut.append(w)
-                n += len(w)
-            columns = list(batch.columns)
-            columns[at] = pa.array(done + clean(part, cut), pa.string())
-            yield pa.RecordBatch.from_arrays(columns, schema=arrow)
-
-    return out.mapInArrow(run, schema)
+    def change(texts: pa.Array) -> list[str | None]:
+        done, part, cut, n = [], [], [], 0
+        for scalar in texts:
+            text = scalar.as_py()
+            w = words(text)
+            if n and n + len(w) > shard_words:
+                done += clean(part, cut)
+                part, cut, n = [], [], 0
+            part.append(text)
+            cut.append(w)
+            n += len(w)
+        return done + clean(part, cut)
+
+    return map_text(docs, text_col, change)
 
 
 def op6_fm_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

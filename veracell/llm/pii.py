@@ -31,7 +31,7 @@ from random import Random
 from pyspark.sql import DataFrame, SparkSession
 
 from . import vocab
-from .common import arrow_map, id_and_text
+from .common import arrow_map, id_and_text, map_text
 
 KINDS = ("email", "ip", "card", "phone")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -392,20 +392,8 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
 def redact_text(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """All columns of ``docs``, their text redacted; a null text stays null."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    import pyarrow as pa
-
-    weights, names, schema = field(), docs.columns, docs.schema
-    at, arrow = names.index(text_col), to_arrow_schema(docs.schema)
-
-    def run(batches):
-        for batch in batches:
-            texts = [t and redacted(t, scan(weights, t)[1]) for t in batch.column(at).to_pylist()]
-            cols = list(batch.columns)
-            cols[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(cols, schema=arrow)
-
-    return docs.mapInArrow(run, schema)
+    weights = field()
+    return map_text(docs, text_col, lambda texts: [t and redacted(t, scan(weights, t)[1]) for t in texts.to_pylist()])
 
 
 def op2_semi_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
