@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from veracell.functions import numeric, text
 
+from . import quantiles
 from .cells import top
 
 PERCENTILES = {"p01": 0.01, "p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
@@ -77,22 +78,24 @@ def trigram_support(cell: DataFrame, n: int = 20) -> DataFrame:
 
 
 def numeric_profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row a column: moments and exact percentiles, all in one aggregation."""
+    """One row a column: moments in one aggregation, exact percentiles beside it."""
     aggs = []
     for c in columns:
         x = F.col(c).cast("double")
-        aggs.append(F.struct(F.lit(c).alias("column"), F.count(x).alias("n"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"),
-                             F.percentile(x, F.array(*[F.lit(p) for p in PERCENTILES.values()])).alias("q")))
+        aggs.append(F.struct(F.lit(c).alias("column"), F.count(x).alias("n"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std")))
     out = df.agg(F.array(*aggs).alias("a")).select(F.inline("a"))
-    return out.select("column", "n", "min", "max", "mean", "std", *[F.col("q")[k].alias(p) for k, p in enumerate(PERCENTILES)]).withColumn("iqr", F.col("p75") - F.col("p25"))
+    q = quantiles.exact(quantiles.of_columns(df, columns), list(PERCENTILES.values()))
+    rows = df.sparkSession.createDataFrame([(c, *v) for c, v in q.items()], "column string, " + ", ".join(f"{p} double" for p in PERCENTILES))
+    return out.join(F.broadcast(rows), "column", "left").withColumn("iqr", F.col("p75") - F.col("p25"))
 
 
 def medians(df: DataFrame, columns: list[str]) -> DataFrame:
-    """column, median, mad: a second pass over deviations from the first's medians."""
-    middle = df.agg(*[F.percentile(F.col(c).cast("double"), F.lit(0.5)).alias(c) for c in columns]).first()
-    aggs = [F.struct(F.lit(c).alias("column"), F.lit(middle[c]).cast("double").alias("median"),
-                     F.percentile(F.abs(F.col(c).cast("double") - F.lit(middle[c])), F.lit(0.5)).alias("mad")) for c in columns]
-    return df.agg(F.array(*aggs).alias("a")).select(F.inline("a"))
+    """column, median, mad: a second selection over deviations from the first's medians."""
+    middle = {c: v[0] for c, v in quantiles.exact(quantiles.of_columns(df, columns), [0.5]).items()}
+    long = quantiles.of_columns(df, list(middle))
+    centre = F.create_map(*[x for c, m in middle.items() for x in (F.lit(c), F.lit(m))])[F.col("column")]
+    mad = {c: v[0] for c, v in quantiles.exact(long.select("column", F.abs(F.col("x") - centre).alias("x")), [0.5]).items()}
+    return df.sparkSession.createDataFrame([(c, middle[c], mad[c]) for c in middle], "column string, median double, mad double")
 
 
 def extremes(cell: DataFrame, n: int = 3) -> DataFrame:

@@ -13,6 +13,7 @@ from veracell.operators import evidence as evi
 from veracell.operators import inference as inf
 from veracell.operators import repair as rp
 from veracell.operators import rules as ru
+from veracell.operators.quantiles import exact
 from veracell.operators.rules import Rule
 
 from .catalogue import COLLAPSED, GRAMMAR, PART_SQL, SHAPE, _list, cells_sql, query, table
@@ -58,8 +59,8 @@ def observed(spark, d):
     df = dirty_part(spark, d)
     cell = ce.cells(df, COLUMNS)
     value = ce.values(cell)
-    x = cell.where("column = 'p_size'").select(numeric.strict(F.col("raw")).alias("x"))
-    q = x.agg(F.percentile("x", F.array(*[F.lit(p) for p in (0.01, 0.05, 0.95, 0.99)])).alias("q")).first().q
+    x = cell.where("column = 'p_size'").select("column", numeric.strict(F.col("raw")).alias("x"))
+    q = exact(x, [0.01, 0.05, 0.95, 0.99])["p_size"]
     specs = evi.infer_specs(value, cell, CONFIG.kinds, CONFIG.patterns, {"p_size": dict(zip(("p01", "p05", "p95", "p99"), q))}, CONFIG.archetypes)
     return cell, evi.on_cells(cell, evi.value_evidence(value, specs), evi.cell_evidence(cell, value, specs))
 

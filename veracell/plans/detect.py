@@ -8,12 +8,13 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veracell.functions import numeric
 from veracell.operators import cells as ce
 from veracell.operators import evaluate as ev
 from veracell.operators import evidence as evi
 from veracell.operators import inference as inf
-from veracell.operators import profile as pr
 from veracell.operators import relations as rel
+from veracell.operators.quantiles import exact
 
 
 @dataclass
@@ -53,9 +54,9 @@ def detect(df: DataFrame, config: DetectConfig) -> Detection:
     cell = ce.cells(df, config.columns).persist(StorageLevel.MEMORY_AND_DISK)
     value = ce.values(cell)
     numbers = [c for c, k in config.kinds.items() if k == "numeric"]
-    quantiles = {}
-    for r in _number_profile(cell, numbers).collect() if numbers else []:  # a row a column
-        quantiles[r.column] = {p: r[p] for p in ("p01", "p05", "p95", "p99")}
+    number = cell.where(F.col("column").isin(*numbers)).select("column", numeric.strict(F.col("raw")).alias("x"))
+    names = ("p01", "p05", "p95", "p99")
+    quantiles = {c: dict(zip(names, q)) for c, q in exact(number, [0.01, 0.05, 0.95, 0.99]).items()} if numbers else {}
     specs = evi.infer_specs(value, cell, config.kinds, config.patterns, quantiles, config.archetypes)
     obs = evi.on_cells(cell, evi.value_evidence(value, specs), evi.cell_evidence(cell, value, specs))
     if len(config.context) > 1:
@@ -78,11 +79,3 @@ def detect(df: DataFrame, config: DetectConfig) -> Detection:
         scored = post.join(F.broadcast(df.sparkSession.createDataFrame([(r, c, y) for (r, c), y in labels.items()], "row_idx bigint, column string, label int")), ["row_idx", "column"])
         limits = {r.column: r.threshold for r in inf.thresholds(scored, config.threshold).collect()}
     return Detection(gated, post, inf.explain(contrib, intercept, config.threshold), limits, weights, intercept, labels)
-
-
-def _number_profile(cell: DataFrame, columns: list[str]) -> DataFrame:
-    from veracell.functions import numeric
-
-    x = cell.where(F.col("column").isin(*columns)).select("column", numeric.strict(F.col("raw")).alias("x"))
-    q = F.percentile("x", F.array(*[F.lit(p) for p in pr.PERCENTILES.values()]))
-    return x.groupBy("column").agg(q.alias("q")).select("column", *[F.col("q")[k].alias(p) for k, p in enumerate(pr.PERCENTILES)])
