@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +18,25 @@ from pyspark.sql.types import StructType
 SLICE_ROWS = 512
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives this folder's code to the executors, once a Spark application, so
+    that it needn't be installed there."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    here = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="veracell-code-")) / "veracell_llm.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        z.write(here.parent / "__init__.py", "veracell/__init__.py")
+        for f in sorted(here.glob("*.py")):
+            z.write(f, f"veracell/{here.name}/{f.name}")
+    sc.addPyFile(str(target))
+    _SHIPPED.add(sc.applicationId)
+
+
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
@@ -27,6 +48,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Just the two columns an operator reads, under fixed names, so that any
     further columns of the input, whatever they are called, cannot clash."""
+    ship(docs.sparkSession)
     return docs.select(F.col(quoted(id_col)).cast("bigint").alias("doc_id"),
                        F.col(quoted(text_col)).cast("string").alias("text"))
 
@@ -57,6 +79,7 @@ def arrow_map(df: DataFrame, schema: str, build: Callable[[], Callable], finish:
 def map_text(df: DataFrame, text_col: str, change: Callable) -> DataFrame:
     """All columns of ``df``, whatever their names, with the texts that
     ``change(list of texts)`` gives for those of a batch."""
+    ship(df.sparkSession)
     names = df.columns
     plain = df.toDF(*[f"c{k}" for k in range(len(names))])
     at, schema = names.index(text_col), plain.schema
@@ -87,6 +110,7 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, label: str) -> DataFrame:
     """Cuts lineage: the frame as a Parquet table in the shared folder."""
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
