@@ -42,8 +42,8 @@ from .common import free_shuffles, id_and_text, shared_dir, written
 FRAME_BYTES = 1 << 18
 SEEK_MAGIC, SEEK_FOOTER, INDEX_MAGIC = 0x184D2A5E, 0x8F92EAB1, 0x184D2A50
 ENTRY = struct.Struct("<qBIII")
-#: Entries of a worker's memo of encoded pieces; it is emptied when full.
-MEMO = 900_000
+#: Entries of each of the two generations of a worker's memos, of pieces and of pre-tokens.
+MEMO, WORDS = 300_000, 800_000
 
 
 def _open(uri: str, mode: str):
@@ -175,42 +175,54 @@ class PieceEncoder:
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.memo: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _word(self, word: str) -> bytes:
         if (ids := self.words.get(word)) is None:
-            mapped = word.encode().decode("latin-1").translate(self.letters)
-            ids = self.words[word] = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+            if (ids := self.old_words.get(word)) is None:
+                mapped = word.encode().decode("latin-1").translate(self.letters)
+                ids = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+            self.words[word] = ids
         return ids
 
     def _learn(self, pieces: list[str]) -> None:
-        memo, word, words, odd = self.memo, self._word, self.words, []
-        if len(words) > MEMO:
-            words.clear()
+        memo, word, odd = self.memo, self._word, []
+        if len(self.words) > WORDS:
+            self.old_words, self.words = self.words, {}
         for p in pieces:
-            if PLAIN.fullmatch(p):
+            if p.isascii() and p.isalpha():
+                memo[p] = word(" " + p)
+            elif p[-1] in ".,;" and (stem := p[:-1]).isascii() and stem.isalpha():
+                memo[p] = word(" " + stem) + word(p[-1])
+            elif PLAIN.fullmatch(p):
                 memo[p] = b"".join(map(word, SPLIT.findall(" " + p)))
             else:
                 odd.append(p)
         memo.update(zip(odd, self._library([" " + p for p in odd])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        memo, cut, whole, missing = self.memo, [], [], {}
+        if len(self.memo) > MEMO:  # what was used since the last time stays at hand
+            self.old, self.memo = self.memo, {}
+        memo, old, cut, whole, missing = self.memo, self.old, [], [], []
         for text in texts:
             first, *rest = text.split(" ")
             new = {p for p in rest if p not in memo}
             if any(a in text for a in self.added) or any(not p or p[0].isspace() for p in new):
                 rest = None
             else:
-                missing.update(dict.fromkeys(new))
+                for p in new:
+                    if p in old:
+                        memo[p] = old[p]
+                    else:
+                        memo[p] = b""
+                        missing.append(p)
             cut.append((first, rest))
         if missing:
-            if len(memo) + len(missing) > MEMO:  # what this call needs must be there together
-                memo.clear()
-                missing = dict.fromkeys(p for _, rest in cut if rest for p in rest)
-            self._learn(list(missing))
+            self._learn(missing)
         out: list[bytes] = []
         # a text's first piece stands as it is; the others follow a space
         for k, ((_, rest), ids) in enumerate(zip(cut, self._library([first for first, _ in cut]))):
