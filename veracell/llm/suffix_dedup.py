@@ -114,9 +114,32 @@ def pieces(ids, texts):
         yield held
 
 
+def earlier_equals(*keys: np.ndarray) -> np.ndarray:
+    """How many rows before each one have the same keys (exact only up to 2)."""
+    mixed = np.zeros(len(keys[0]), np.uint64)
+    for k in keys:
+        mixed = (mixed ^ k.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    if len(np.unique(mixed)) == len(mixed):
+        return np.zeros(len(mixed), np.int64)
+    order = np.lexsort(keys[::-1])  # stable: equal rows keep their order
+    same = np.ones(len(order) - 1, bool)
+    for k in keys:
+        same &= k[order][1:] == k[order][:-1]
+    one = np.concatenate(([False], same))
+    out = np.empty(len(order), np.int64)
+    out[order] = one.astype(np.int64) + np.concatenate(([False], one[:-1] & one[1:]))
+    return out
+
+
 def anchors(docs: DataFrame, keys_only: bool) -> DataFrame:
-    """Rows of all runs: kg, or kg, rh, doc, lo, n."""
-    schema = "kg bigint" if keys_only else "kg bigint, rh bigint, doc bigint, lo bigint, n int"
+    """Rows of runs: kg (each at most twice a piece of text), or kg, rh, doc, lo, n, own.
+
+    A run that stands earlier in its own piece of text too is no candidate for the
+    first: such runs are ``own`` rows, those that meet as one row, so a document
+    that repeats itself gives few rows.
+    """
+    schema = "kg bigint" if keys_only else "kg bigint, rh bigint, doc bigint, lo bigint, n int, own boolean"
+    names = ["kg", "rh", "doc", "lo", "n", "own"]
 
     def run(batches):
         import xxhash
@@ -131,16 +154,25 @@ def anchors(docs: DataFrame, keys_only: bool) -> DataFrame:
                     sizes = np.array([len(p) for _, _, p in group], np.int64)
                     starts = np.cumsum(sizes) - sizes
                     piece, lo, n, anchor, hashes = runs(data, starts, sizes)
+                    if not len(lo):
+                        continue
                     kg = hashes[anchor].view(np.int64)
+                    doc = np.array([d for d, _, _ in group], np.int64)[piece]
                     if keys_only:
-                        yield pa.RecordBatch.from_arrays([pa.array(kg)], names=["kg"])
+                        yield pa.RecordBatch.from_arrays([pa.array(kg[earlier_equals(piece, kg) < 2])], names=["kg"])
                         continue
                     view = memoryview(raw)
                     rh = np.array([digest(view[a : a + k + DEPTH - 1], s) for a, k, s in zip(lo.tolist(), n.tolist(), (anchor - lo).tolist())], np.uint64).view(np.int64)
-                    doc = np.array([d for d, _, _ in group], np.int64)[piece]
                     offset = np.array([o for _, o, _ in group], np.int64)[piece]
-                    yield pa.RecordBatch.from_arrays([pa.array(kg), pa.array(rh), pa.array(doc), pa.array(lo - starts[piece] + offset), pa.array(n.astype(np.int32))],
-                                                     names=["kg", "rh", "doc", "lo", "n"])
+                    own = earlier_equals(piece, kg, rh) > 0
+                    # own runs of one piece whose spans meet become the first of them, longer
+                    go_on = np.zeros(len(own), bool)
+                    go_on[1:] = own[1:] & own[:-1] & (piece[1:] == piece[:-1])
+                    head = np.flatnonzero(~go_on)
+                    last = np.append(head[1:], len(own)) - 1
+                    n = (lo[last] + n[last] - lo[head]).astype(np.int32)
+                    rows = [kg[head], rh[head], doc[head], (lo - starts[piece] + offset)[head], n, own[head]]
+                    yield pa.RecordBatch.from_arrays([pa.array(r) for r in rows], names=names)
 
     return docs.mapInArrow(run, schema)
 
@@ -228,10 +260,11 @@ def repeated_spans(docs: DataFrame, group_runs: int = GROUP_RUNS) -> DataFrame:
     members = written(anchors(known, False).join(repeated, "kg", "left_semi"), "runs")
     free_shuffles(spark)
     first = F.min(F.struct("doc", "lo", "n")).alias("first")
-    classes = written(members.groupBy("kg", "rh").agg(first, F.count("*").alias("m")), "classes")
+    classes = written(members.where("not own").groupBy("kg", "rh").agg(first, F.count("*").alias("m")), "classes")
     free_shuffles(spark)
-    copies = members.join(classes.where("m > 1").select("kg", "rh", F.col("first.doc").alias("d0"), F.col("first.lo").alias("l0")), ["kg", "rh"])
-    copies = copies.where("doc <> d0 or lo <> l0").select("doc", F.col("lo").alias("start"), (F.col("lo") + F.col("n") + (DEPTH - 1)).alias("end"))
+    span = ["doc", F.col("lo").alias("start"), (F.col("lo") + F.col("n") + (DEPTH - 1)).alias("end")]
+    copies = members.where("not own").join(classes.where("m > 1").select("kg", "rh", F.col("first.doc").alias("d0"), F.col("first.lo").alias("l0")), ["kg", "rh"])
+    copies = copies.where("doc <> d0 or lo <> l0").select(*span).unionByName(members.where("own").select(*span))
     shared = classes.groupBy("kg").count().where("count > 1").select("kg", (F.col("count") > group_runs).alias("large"))
     asked = classes.join(shared, "kg").select(F.col("first.doc").alias("doc"), F.struct("kg", "large", F.col("first.lo").alias("lo"), F.col("first.n").alias("n")).alias("r"))
     asked = asked.groupBy("doc").agg(F.collect_list("r").alias("asked"))  # of one document, no longer than it
