@@ -182,18 +182,28 @@ def coverage(obs: DataFrame) -> DataFrame:
 
 
 def infer_specs(values: DataFrame, cells: DataFrame, kinds: dict[str, str], patterns: dict[str, str], quantiles: dict[str, dict[str, float]], archetypes: dict[str, str]) -> list[ColumnSpec]:
-    """Specs from the table's own distributions; only column-sized rows are collected."""
+    """Specs from the table's own distributions: one job over distinct raw values,
+    of which totals and the shapes and grammars of a twentieth of a column or more
+    are collected."""
     raw = F.col("raw")
-    stats = {r.column: r for r in cells.groupBy("column").agg(F.count("*").alias("n"), F.avg(numeric.strict(raw).isNotNull().cast("double")).alias("parsed")).collect()}
-    kept = cells.where(raw.isNotNull()).groupBy("column").agg(F.count("*").alias("total"))
-
-    def accepted(key: Column, name: str) -> dict[str, tuple]:
-        rows = cells.where(raw.isNotNull()).groupBy("column", key.alias(name)).agg(F.count("*").alias("n")).join(F.broadcast(kept), "column").where(F.col("n") / F.col("total") >= ACCEPTED_RATIO).collect()  # 20 a column at most
-        out: dict[str, tuple] = {}
-        for r in sorted(rows, key=lambda r: r[name]):
-            out[r.column] = (*out.get(r.column, ()), r[name])
-        return out
-
-    shapes, grammars = accepted(text.shape(raw), "shape"), accepted(text.grammar(raw), "grammar")
-    return [ColumnSpec(c, kind=k, archetype=archetypes.get(c, "open_entity"), pattern=patterns.get(c), parsed_share=stats[c].parsed if c in stats else 0.0, quantiles=quantiles.get(c, {}),
-                       shapes=shapes.get(c, ()), grammars=grammars.get(c, ()), n_rows=stats[c].n if c in stats else 0) for c, k in kinds.items()]
+    raws = cells.groupBy("column", "raw").agg(F.count("*").alias("n"))
+    item = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.alias("key"))
+    parsed = F.when(numeric.strict(raw).isNotNull(), F.col("n")).otherwise(0)
+    each = F.array(item("all", F.lit("")), F.when(raw.isNotNull(), item("shape", text.shape(raw))), F.when(raw.isNotNull(), item("grammar", text.grammar(raw))))
+    long = raws.select("column", "n", parsed.alias("parsed"), F.when(raw.isNotNull(), F.col("n")).otherwise(0).alias("kept"), F.explode(F.array_compact(each)).alias("i")).select("column", "n", "parsed", "kept", "i.*")
+    sums = long.groupBy("column", "kind", "key").agg(F.sum("n").alias("n"), F.sum("parsed").alias("parsed"), F.sum("kept").alias("kept"))
+    total = F.broadcast(sums.where("kind = 'all'").select("column", F.col("kept").alias("total")))  # a row a column
+    found: dict[str, dict] = {}
+    for r in sums.join(total, "column").where((F.col("kind") == "all") | (F.col("n") / F.col("total") >= ACCEPTED_RATIO)).collect():
+        found.setdefault(r.column, {}).setdefault(r.kind, []).append(r)
+
+    def accepted(c: str, kind: str) -> tuple[str, ...]:
+        return tuple(sorted(r.key for r in found.get(c, {}).get(kind, ())))
+
+    out = []
+    for c, k in kinds.items():
+        whole = found.get(c, {}).get("all", [None])[0]
+        # shares of parsed values are of all cells, missing ones included
+        out.append(ColumnSpec(c, kind=k, archetype=archetypes.get(c, "open_entity"), pattern=patterns.get(c), parsed_share=whole.parsed / whole.n if whole else 0.0, quantiles=quantiles.get(c, {}),
+                              shapes=accepted(c, "shape"), grammars=accepted(c, "grammar"), n_rows=whole.n if whole else 0))
+    return out
