@@ -45,12 +45,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores, where a file that can't be split (one row group)
+    would leave most of them idle; else ``df`` as it is. At most a quarter of the
+    cores' input splits is ever shuffled for this."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 4 <= cores else df
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Just the two columns an operator reads, under fixed names, so that any
     further columns of the input, whatever they are called, cannot clash."""
     ship(docs.sparkSession)
-    return docs.select(F.col(quoted(id_col)).cast("bigint").alias("doc_id"),
-                       F.col(quoted(text_col)).cast("string").alias("text"))
+    return spread(docs.select(F.col(quoted(id_col)).cast("bigint").alias("doc_id"),
+                              F.col(quoted(text_col)).cast("string").alias("text")))
 
 
 def arrow_map(df: DataFrame, schema: str, build: Callable[[], Callable], finish: bool = False) -> DataFrame:

@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_and_text
+from .common import id_and_text, spread
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -129,6 +129,7 @@ def verdicts(book: DataFrame, version: str = CURRENT) -> DataFrame:
 
 def kept_rows(docs: DataFrame, version: str = CURRENT) -> DataFrame:
     """The rows of ``docs``, with all their columns, that a policy keeps."""
+    docs = spread(docs)
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
     return verdicts(ledger(whole, "row"), version).where("kept").select("row.*")
 
