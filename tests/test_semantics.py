@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,3 +75,32 @@ def test_em_tells_good_rules_from_bad(spark):
     rows = [(True, True)] * 90 + [(False, False)] * 8 + [(True, False)] * 2
     w = {r.rule: r for r in ar.em_weights(spark.createDataFrame(rows, "a boolean, b boolean"), ["a", "b"]).collect()}
     assert w["a"].pass_clean > 0.9 > w["a"].pass_dirty
+
+
+def next_differing(rows, shift=1):
+    rows = sorted((r for r in rows if r[0] is not None), key=lambda r: (r[0], r[1] is not None, r[1] or 0))
+    found = ((a, next((b for b in rows[i + shift :] if b[1] != a[1]), None)) for i, a in enumerate(rows))
+    return sorted((*a, *b) for a, b in found if b)
+
+
+@pytest.mark.parametrize("shift", [1, 3])
+@pytest.mark.parametrize("block_rows", [7, 4096])
+def test_mismatched_pairs_cross_blocks(spark, block_rows, shift):
+    r = random.Random(4)
+    sparse = [(k * 5000, r.randrange(1, 4)) for k in range(60)]
+    hot = [(10**6 + k, 9) for k in range(50)]
+    rest = [(2 * 10**6 + k, r.randrange(1, 9)) for k in range(60)] + [(2 * 10**6 + 30, 9), (None, 1), (3 * 10**6, None), (3 * 10**6 + 1, None), (4 * 10**6, 2), (4 * 10**6 + 9, 2)]
+    rows = sparse + hot + rest
+    r.shuffle(rows)
+    got = ar.mismatched_pairs(spark.createDataFrame(rows, "k bigint, v bigint").repartition(3), "k", "v", shift, block_rows)
+    text = lambda x: sorted(map(str, x))
+    want = next_differing(rows, shift)
+    assert len(want) > 100 and text(tuple(x) for x in got.collect()) == text(want)
+
+
+def test_mismatched_pairs_query_is_whole(spark):
+    import __spark_entry__ as entry
+
+    s = spark.read.parquet("/root/testdata/sf0.1/supplier.parquet").select("s_suppkey", "s_nationkey").collect()
+    got = entry.queries()["mismatched_pairs"](spark, "/root/testdata/sf0.1").collect()
+    assert sorted(map(tuple, got)) == next_differing([tuple(x) for x in s])

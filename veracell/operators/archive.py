@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,13 +46,57 @@ def encoded(df: DataFrame, column: str, order: str = "row_idx") -> DataFrame:
     return first.withColumn("id", F.row_number().over(Window.orderBy("first_row", "value")).cast("bigint"))
 
 
-def mismatched_pairs(df: DataFrame, key: str, column: str, shift: int = 1) -> DataFrame:
-    """Negative pairs: each row with the next row (in key order) whose value
-    differs. The neighbour is found inside ranges of the key, never all pairs."""
-    part = F.floor(F.col(key) / 4096)
-    w = Window.partitionBy(part).orderBy(key)
-    d = df.select(F.col(key).alias("a"), F.col(column).alias("va"), F.lead(key, shift).over(w).alias("b"), F.lead(column, shift).over(w).alias("vb"))
-    return d.where(F.col("b").isNotNull() & ~F.col("va").eqNullSafe(F.col("vb")))
+def key_blocks(d: DataFrame, key: str, rows: int, most: int = 4096) -> DataFrame:
+    """Adds ``blk``: ranges of a numeric key with about ``rows`` rows each, at most
+    ``most`` ranges. Only their bounds reach the driver; equal keys share a range."""
+    k = F.col(key).cast("double")
+    n = min(most, -(-d.count() // rows))
+    bounds = sorted(set(d.agg(F.percentile_approx(k, [i / n for i in range(1, n)], 100 * most)).first()[0] or [])) if n > 1 else []
+    if not bounds:
+        return d.withColumn("blk", F.lit(0).cast("bigint"))
+
+    @F.pandas_udf("bigint")
+    def block(x: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds, x.to_numpy(), side="right"))
+
+    return d.withColumn("blk", block(k))
+
+
+def mismatched_pairs(df: DataFrame, key: str, column: str, shift: int = 1, block_rows: int = 4096) -> DataFrame:
+    """Negative pairs: each row with the next row (in key order, ``shift`` rows on
+    or more) whose value differs; a row followed by none gets no pair.
+
+    Rows are sorted inside ranges of the key. What follows a range is told by
+    three rows of each: its first, the first with another value, and its last.
+    Equal keys stand in the order of their values; rows without a key have no
+    place in the order. Nulls are a value, and NaN is the largest key.
+    """
+    d = key_blocks(df.select(F.col(key).alias("k"), F.col(column).alias("v")).where(F.col("k").isNotNull()), "k", block_rows)
+    row = F.struct("k", "v")
+
+    def following(w):
+        """The first row after this one whose value differs, over a descending window."""
+        after = F.lag(row).over(w)
+        change = F.when(after.isNotNull() & ~after["v"].eqNullSafe(F.col("v")), after)
+        return lambda x: x.withColumn("change", change).withColumn("next", F.last("change", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("change")
+
+    ends = d.groupBy("blk").agg(F.min(row).alias("head"), F.max(row).alias("tail"), F.count("*").alias("n"))
+    other = d.join(F.broadcast(ends.select("blk", "head")), "blk").where(~F.col("v").eqNullSafe(F.col("head.v"))).groupBy("blk").agg(F.min(row).alias("r"))
+    marks = ends.select("blk", F.explode(F.array(F.struct(F.lit(0).alias("at"), F.col("head").alias("r")), F.struct(F.lit(2).alias("at"), F.col("tail").alias("r")))).alias("m")).select("blk", "m.*")
+    marks = marks.unionByName(other.withColumn("at", F.lit(1))).select("blk", "at", "r.*")
+    carry = following(Window.orderBy(F.desc("blk"), F.desc("at")))(marks).where("at = 2").select("blk", F.col("next").alias("beyond"))  # three rows a range
+
+    inside = Window.partitionBy("blk").orderBy(F.desc("k"), F.desc("v"))
+    found = following(inside)(d)
+    if shift > 1:
+        start = ends.select("blk", (F.sum("n").over(Window.orderBy("blk")) - F.col("n")).alias("start"))  # a row a range
+        up = Window.partitionBy("blk").orderBy("k", "v")
+        found = found.withColumn("place", F.row_number().over(up)).join(F.broadcast(start), "blk").withColumn("place", F.col("place") + F.col("start"))
+    found = found.join(F.broadcast(carry), "blk").withColumn("next", F.coalesce("next", "beyond"))
+    if shift > 1:
+        on = found.select((F.col("place") - shift).alias("place"), row.alias("there"), F.col("next").alias("past"))
+        found = found.drop("next").join(on, "place").withColumn("next", F.when(F.col("there.v").eqNullSafe(F.col("v")), F.col("past")).otherwise(F.col("there")))
+    return found.where(F.col("next").isNotNull()).select(F.col("k").alias("a"), F.col("v").alias("va"), F.col("next.k").alias("b"), F.col("next.v").alias("vb"))
 
 
 def cosine_topk(vectors: DataFrame, k: int = 5, block: int = 2048) -> DataFrame:
