@@ -122,6 +122,18 @@ def test_contamination(spark, table, texts, rowless, block_bytes, shard_words):
     assert "lazy" not in out[1].text and out[6].text == texts[6] and out[2].text is None and out[1].kg == 1
 
 
+@pytest.mark.parametrize("block_bytes", [1 << 20, 60])
+def test_contamination_judges_each_row_of_a_repeated_id(spark, table, texts, block_bytes):
+    bench = {"7": "jumps over the lazy dog while seven wise wizards mix a very potent brew", "3": "straße", "w": " ".join(f"w{k}" for k in range(690, 699))}
+    b = spark.createDataFrame(list(bench.items()), "item_id string, text string")
+    assert (len(decontaminate.blocks(b, block_bytes)) > 1) == (block_bytes == 60)
+    one, two = "say jumps over the lazy dog while seven wise wizards mix a very potent brew", "straße"
+    rows = [(None, one), (None, "clean"), (None, None), (5, one), (5, two), (5, two), (5, f"{one} {two}"), *texts.items()]
+    want = brute.contamination({k: t for k, (_, t) in enumerate(rows)}, bench)
+    got = decontaminate.contamination(id_and_text(table(rows)), b, block_bytes, 40).collect()
+    assert sorted(str((x.doc_id, x.n_words, x.n_hit, x.n_items, x.items_sha256, x.contaminated)) for x in got) == sorted(str((d, *want[k])) for k, (d, _) in enumerate(rows))
+
+
 def render(rows):
     return "".join(r.segment for r in sorted(rows, key=lambda r: (r.turn, r.place)))
 

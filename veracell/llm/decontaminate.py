@@ -9,8 +9,8 @@ matrix together, their occurrences located by sampled suffix positions, and the
 word spans merged. No row is shuffled.
 
 The benchmark goes to the executors in blocks of at most ``BLOCK_BYTES`` of
-text, so what is broadcast is bounded; with more than one block the spans and
-items of a document are brought together by doc_id, which must then be unique.
+text. Each shard is searched for one block after another, a task holds one block
+at a time, and spans and items are brought together row by row, so ids may repeat.
 
 Defined results: null, empty and wordless texts have no words and are clean;
 wordless items match nothing; an item of fewer than 8 words is one phrase;
@@ -21,7 +21,6 @@ table gives no rows; other columns are unread.
 from __future__ import annotations
 
 import hashlib
-from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -140,17 +139,23 @@ def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[Phrases
     return [*out, Phrases(held)]
 
 
-def spans_of(docs: DataFrame, phrases: Phrases, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """doc_id, n_words, spans (flat: start, end, ...) and items of (doc_id, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(phrases)
+def spans_of(docs: DataFrame, found: list[Phrases], shard_words: int = SHARD_WORDS) -> DataFrame:
+    """doc_id, n_words, spans (flat: start, end, ...) and items of (doc_id, text), row by row; those of several blocks follow each other."""
+    shared = [docs.sparkSession.sparkContext.broadcast(b) for b in found]
     schema = "doc_id bigint, n_words bigint, spans array<bigint>, items array<string>"
 
     def run(batches):
         for (ids,), _, cut in shards(batches, 1, shard_words):
-            spans, items = shard_hits(cut, shared.value)
+            spans, items = [[] for _ in cut], [[] for _ in cut]
+            for b in shared:
+                for k, (s, i) in enumerate(zip(*shard_hits(cut, b.value))):
+                    spans[k] += s.ravel().tolist()
+                    items[k] += i
+                if len(shared) > 1:
+                    vars(b).pop("_value", None)  # read again for the next shard, so that one block is in memory
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array([len(c) for c in cut], pa.int64()),
-                 pa.array([s.ravel().tolist() for s in spans], pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))],
+                 pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))],
                 names=["doc_id", "n_words", "spans", "items"])
 
     return docs.mapInArrow(run, schema)
@@ -158,12 +163,7 @@ def spans_of(docs: DataFrame, phrases: Phrases, shard_words: int = SHARD_WORDS)
 
 def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, shard_words: int = SHARD_WORDS) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans."""
-    found = [spans_of(docs, b, shard_words) for b in blocks(benchmark, block_bytes)]
-    if len(found) == 1:
-        every = found[0]
-    else:
-        every = reduce(DataFrame.unionByName, found).groupBy("doc_id").agg(
-            F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+    every = spans_of(docs, blocks(benchmark, block_bytes), shard_words)
 
     def run(batches):
         for batch in batches:
