@@ -138,3 +138,15 @@ def test_table_fingerprint_reads_all_columns(spark, tmp_path):
         part.withColumn(c, change).write.parquet(str(tmp_path / str(k) / "part.parquet"))
         seen.add(entry.queries()["table_fingerprint"](spark, str(tmp_path / str(k))).first().sha256)
     assert len(seen) == len(part.columns) + 1
+
+
+def test_column_thresholds_use_all_labelled_rows(spark):
+    rows, want = catalogue2.labelled(spark, SF).select("column", "posterior", "label").collect(), {}
+    for c in {r.column for r in rows}:
+        own = [r for r in rows if r.column == c]
+        share = len(own) / (len(own) + 5)
+        clean, dirty = max((r.posterior for r in own if r.label == 0), default=None), min((r.posterior for r in own if r.label == 1), default=None)
+        at = (clean + dirty) / 2 if clean is not None and dirty is not None and clean < dirty else max(0.5, clean + 0.05) if clean is not None else min(0.5, dirty - 0.05)
+        want[c] = (len(own), round(max(0.05, min(0.95, (1 - share) * 0.5 + share * at)), 5))
+    got = {r.column: (r.n, round(r.threshold, 5)) for r in entry.queries()["column_thresholds"](spark, SF).collect()}
+    assert got == want

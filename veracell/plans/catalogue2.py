@@ -144,8 +144,8 @@ def labelled(spark, d):
 @query(OBS + TRUTH + "," + LABELLED + """, g AS (SELECT col, count(*) AS n, max(posterior) FILTER (label = 0) AS c, min(posterior) FILTER (label = 1) AS d FROM fl WHERE row_idx % 7 = 0 GROUP BY 1)
  SELECT col AS "column", n, round(greatest(0.05, least(0.95, (1 - n / (n + 5.0)) * 0.5 + n / (n + 5.0) * CASE WHEN c < d THEN (c + d) / 2 WHEN c IS NOT NULL THEN greatest(0.5, c + 0.05) ELSE least(0.5, d - 0.05) END)), 6) AS threshold FROM g WHERE n >= 2""")
 def column_thresholds(spark, d):
-    """Thresholds from a labelled seventh of the rows, as a label budget would give."""
-    return inf.thresholds(labelled(spark, d).where("row_idx % 7 = 0")).select("column", "n", F.round("threshold", 6).alias("threshold"))
+    """Thresholds from all labelled rows; the SQL takes a seventh of them."""
+    return inf.thresholds(labelled(spark, d)).select("column", "n", F.round("threshold", 6).alias("threshold"))
 
 
 PRF = "round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 6) AS precision, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 6) AS recall, round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END, 6) AS f1"
