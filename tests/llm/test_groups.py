@@ -135,7 +135,7 @@ def test_contamination_judges_each_row_of_a_repeated_id(spark, table, texts, blo
 
 
 def render(rows):
-    return "".join(r.segment for r in sorted(rows, key=lambda r: (r.turn, r.place)))
+    return "".join(r.segment for r in sorted(rows, key=lambda r: r.place))
 
 
 def test_repair_is_cheapest():
@@ -155,7 +155,7 @@ def test_repair_is_cheapest():
                     go(k + 1, m[1], c + m[2])
 
         go(0, chat.START, 0)
-        assert sum(m[2] for m in chat.repair(roles)) == best[0]
+        assert sum(m[2] for m in chat.repair(roles, [0, chat.FAR, chat.FAR, chat.FAR])) == best[0]
 
 
 def test_formatted_conversations(spark):
@@ -168,9 +168,52 @@ def test_formatted_conversations(spark):
         assert render(got[1]) == "<|user|>\nhi<|end|>\n<|assistant|>\nyes<|end|>\n"
         assert sum(r.cost for r in got[2]) == 4 and len(got[4]) == 2 and got[4][1].action == "merge" and len(got[None]) == 1
         for rs in got.values():
-            roles = [x for r in sorted(rs, key=lambda r: (r.turn, r.place)) for x in [*filter(None, r.inserted.split(",")), *([r.role] if r.action != "merge" else [])]]
+            roles = [x for r in sorted(rs, key=lambda r: r.place) for x in [*filter(None, r.inserted.split(",")), *([r.role] if r.action != "merge" else [])]]
             state = chat.START
             for x in map(chat.ROLES.index, roles):
                 assert x in chat.NEXT[state]
                 state = x
     assert chat.formatted(df.limit(0)).count() == 0
+
+
+def whole_repairs(rows):
+    """conv_id: rows (turn, place, role, action, inserted, cost, segment) of each conversation repaired in one piece."""
+    out: dict = {}
+    for conv in {r[0] for r in rows}:
+        own = sorted(((t is not None, t or 0), (r is not None, r or ""), x or "", t, r) for c, t, r, x in rows if c == conv)
+        moves = chat.repair([chat.role_number(r[4]) for r in own], [0, chat.FAR, chat.FAR, chat.FAR])
+        out[conv] = [(r[3], k, chat.ROLES[m[1]], m[3], ",".join(chat.ROLES[i] for i in m[4]), m[2], chat.segment(m, r[2], k == len(own) - 1)) for k, (m, r) in enumerate(zip(moves, own))]
+    return out
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 1024])
+def test_chunks_are_repaired_as_one_piece(spark, chunk):
+    r = random.Random(chunk)
+    texts = ["banana", "apple", "zeta", "cherry", "mango", None, ""]
+    rows = [(c, r.choice([0, 1, 2, None]) if c == 7 else k, r.choice(["user", "assistant", "system", "USER ", "tool", None, "user"]), r.choice(texts)) for c in range(1, 9) for k in range(r.randint(1, 40))]
+    rows += [(None, None, "user", "same")] * 30 + [(5, 3, "assistant", t) for t in texts[:5]]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(5)
+    got: dict = {}
+    for x in chat.formatted(df, chunk).collect():
+        got.setdefault(x.conv_id, []).append((x.turn, x.place, x.role, x.action, x.inserted, x.cost, x.segment))
+    assert {c: sorted(v, key=lambda v: v[1]) for c, v in got.items()} == whole_repairs(rows)
+
+
+def test_roles_first_in_a_new_application(tmp_path):
+    """Workers that can't import this repository get its code from the operator."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    repo = Path(__file__).resolve().parents[2]
+    code = f"""
+import os, sys
+sys.path.insert(0, {str(repo)!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+from veracell.llm import chat
+print("rows", chat.formatted(spark.createDataFrame([(1, 0, "user", "a")], "conv_id bigint, turn bigint, role string, text string")).count())
+"""
+    env = {k: v for k, v in __import__("os").environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "rows 1" in done.stdout, done.stderr[-2000:]

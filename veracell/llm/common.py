@@ -105,24 +105,53 @@ def map_text(df: DataFrame, text_col: str, change: Callable) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session has none (tests, local runs) a temporary one is set.
+    Only where the session has none and runs in one process (tests, local runs)
+    a temporary one is set; on a cluster its absence is an error.
     """
-    known = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    known = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not known:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         known = "file://" + tempfile.mkdtemp(prefix="veracell-checkpoint-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(known)
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(known)
     return known.rstrip("/")
 
 
+class Scratch:
+    """The tables that one operator writes to the shared folder.
+
+    ``keep`` cuts lineage, so a lost executor repeats one step; ``drop`` removes
+    what later steps don't read. What a returned frame reads stays until the
+    application ends, when the file system removes the folder.
+    """
+
+    def __init__(self, spark: SparkSession, label: str):
+        ship(spark)
+        self.spark, self.folder = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        self._files(self.folder)[0].deleteOnExit(self._files(self.folder)[1])
+
+    def _files(self, path: str):
+        context = self.spark.sparkContext
+        at = context._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(context._jsc.hadoopConfiguration()), at
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        schema = df.schema
+        df.write.parquet(f"{self.folder}/{name}")
+        free_shuffles(self.spark)
+        return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            files, at = self._files(f"{self.folder}/{name}")
+            files.delete(at, True)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
-    """Cuts lineage: the frame as a Parquet table in the shared folder."""
-    spark = df.sparkSession
-    ship(spark)
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    """One frame as a table of its own in the shared folder."""
+    return Scratch(df.sparkSession, label).keep(df, "rows")
 
 
 def free_shuffles(spark: SparkSession) -> None:
