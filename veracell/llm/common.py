@@ -102,6 +102,18 @@ def map_text(df: DataFrame, text_col: str, change: Callable) -> DataFrame:
     return plain.mapInArrow(run, schema).toDF(*names)
 
 
+def clear_of(found: list[tuple[int, int]], taken: list[tuple[int, int]]) -> list[bool]:
+    """For each of the ascending spans ``found`` whether it meets none of
+    ``taken`` (ascending starts): one pass over both."""
+    out, at, reach = [], 0, -1
+    for a, b in found:
+        while at < len(taken) and taken[at][0] < b:
+            reach = max(reach, taken[at][1])
+            at += 1
+        out.append(reach <= a)
+    return out
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 

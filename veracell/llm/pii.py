@@ -31,7 +31,7 @@ from random import Random
 from pyspark.sql import DataFrame, SparkSession
 
 from . import vocab
-from .common import arrow_map, id_and_text, map_text
+from .common import arrow_map, clear_of, id_and_text, map_text
 
 KINDS = ("email", "ip", "card", "phone")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -103,7 +103,8 @@ CUES = {w: c for c, ws in {
     "mail": "email mail e contact write address", "ip": "ip host server addr ping node", "card": "card visa mastercard amex credit debit payment",
     "phone": "phone tel call telephone mobile cell fax dial reach ring", "number": "order invoice version isbn ref id page chapter section year total price room v no item",
 }.items() for w in ws.split()}
-NUMERIC = frozenset("()-./+ ")
+NUMERIC = frozenset("()-./+ []")
+TOP = frozenset("com org net edu gov io info biz eu de uk fr es it nl ch at be se no dk fi pl cz pt ie us ca au nz jp cn in br ru za mx".split())
 
 
 class Window:
@@ -141,16 +142,17 @@ class Window:
                 elif t not in NUMERIC:
                     return
                 shape += ("_" if self.gap[j] and j > i else "") + (f"d{len(t)}" if self.digit[j] else t)
-                if not self.digit[j] or len(digits) < 7:
+                if not self.digit[j] or len(digits) < 4:
                     continue
                 if j + 1 < n and not self.gap[j + 1] and self.tok[j + 1][0].isalnum():
                     continue
-                if len(digits) <= 15:
+                signs = set(shape) - set("0123456789d_")
+                if 7 <= len(digits) <= 15 and not signs & set("[]"):
                     yield j + 1, 3, self.features(3, i, j, shape, groups, digits)
-                if len(digits) >= 13 and first not in "+(" and not set(shape) & set("./()+"):
+                if len(digits) >= 13 and signs <= {"-"}:
                     yield j + 1, 2, self.features(2, i, j, shape, groups, digits)
-                if len(groups) == 4 and shape.count(".") == 3 and all(int(g) <= 255 for g in re.findall("[0-9]+", self.text[self.at[i][0] : self.at[j][1]])):
-                    yield j + 1, 1, self.features(1, i, j, shape, groups, digits)
+                if len(groups) == 4 and shape.count(".") == 3 and signs <= set(".[]") and max(map(int, re.findall("[0-9]+", self.text[self.at[i][0] : self.at[j][1]]))) <= 255:
+                    yield j + 1, 1, self.features(1, i, j, re.sub("[0-9]", "", shape), groups, digits)
         if self.tok[i].isalnum():
             at = dots = spelled = 0
             words = ""
@@ -173,7 +175,8 @@ class Window:
                     return
                 if at and spelled and self.tok[j].isalnum() and t != "dot":
                     yield j + 1, 0, [(0, "bias"), (0, "words", words[:12]), (0, "cue", self.cue(i)), (0, "bracket", "[" in self.tok[i : j + 1] or "(" in self.tok[i : j + 1]),
-                                     (0, "tail", len(t) if len(t) < 5 else 5), (0, "next", self.low[j + 1] if j + 1 < n and self.low[j + 1] in ("dot", ".", "at") else "")]
+                                     (0, "tail", len(t) if len(t) < 5 else 5), (0, "top", t in TOP),
+                                     (0, "next", self.low[j + 1] if j + 1 < n and self.low[j + 1] in ("dot", ".", "at") else "")]
 
     def features(self, kind, i, j, shape, groups, digits):
         return [(kind, "bias"), (kind, "shape", shape), (kind, "n", len(digits)), (kind, "groups", min(len(groups), 6)), (kind, "cue", self.cue(i)),
@@ -260,7 +263,7 @@ def gradient(weights, w: Window, gold: set[tuple[int, int, int]]):
     return out
 
 
-TRAIN_SENTENCES = 420
+TRAIN_SENTENCES = 900
 FILLER = "the of and we to you will then please data was with it an is by in report some other thing la el und der que les".split()
 
 
@@ -277,7 +280,8 @@ def generated(n: int, seed: int = 11) -> list[tuple[str, list[tuple[int, int, in
 
     def phone():
         a, b, c = r.choice("23456789") + d(2), d(3), d(4)
-        return r.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"1-{a}-{b}-{c}", f"0{d(2)} {d(4)} {d(4)}", f"({a}) {b} {c}"])
+        return r.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"1-{a}-{b}-{c}", f"0{d(2)} {d(4)} {d(4)}", f"({a}) {b} {c}",
+                         " ".join([f"0{d(1)}", d(2), d(2), d(2), d(2)]), f"0{d(2)} {d(7)}", f"0{d(3)} {d(7)}", f"(0{d(2)}) {d(6)}-{d(2)}", f"0{d(4)} {d(6)}", f"{a}-{c}", f"0{d(2)}/{d(7)}"])
 
     def cardlike():
         x = card(r.choice([13, 14, 15, 15]))
@@ -285,15 +289,17 @@ def generated(n: int, seed: int = 11) -> list[tuple[str, list[tuple[int, int, in
 
     def mail():
         at, dot = r.choice([(" at ", " dot "), (" [at] ", " [dot] "), ("(at)", "(dot)"), (" (at) ", " (dot) ")])
-        return name() + r.choice(["", dot + name()]) + at + r.choice("example mailhost corp uni".split()) + dot + r.choice("com org net io de".split())
+        return name() + r.choice(["", dot + name()]) + at + r.choice("example mailhost corp uni clinic shop".split()) + dot + r.choice(["com", "org", "net", "io", "de", "edu", "fr", f"co{dot}uk"])
 
     def ip():
-        return r.choice([" . ", "[.]"][:1]).join(str(r.randint(1, 254)) for _ in range(4))
+        return r.choice([" . ", "[.]"]).join(str(r.randint(0, r.choice([9, 99, 254]))) for _ in range(4))
 
     def lookalike():
         return r.choice([lambda: f"order {d(8)}", lambda: f"invoice no {d(10)}", lambda: f"{r.randint(1900, 2030)}-0{r.randint(1, 9)}-1{d(1)}", lambda: f"version {d(1)}.{d(1)}.{d(2)}.{d(4)}",
                          lambda: f"$ {d(3)}.{d(2)}", lambda: f"isbn 978-{d(1)}-{d(4)}-{d(4)}-{d(1)}", lambda: f"id {d(16)}", lambda: f"ref {d(13)}", lambda: f"page {d(3)}", lambda: f"{d(1)}.{d(2)}.20{d(2)}",
-                         lambda: f"{d(4)} {d(4)}", lambda: f"at {d(1)} dot points", lambda: f"look at the dot on it", lambda: f"total {d(7)}", lambda: f"{d(9)}", lambda: f"{d(12)}", lambda: f"{d(4)}-{d(4)}"])()
+                         lambda: f"{d(4)} {d(4)}", lambda: f"at {d(1)} dot points", lambda: "look at the dot on it", lambda: f"{r.choice(FILLER)} at {r.choice(FILLER)} dot {r.choice(FILLER)}", lambda: f"meet at noon dot {r.choice(FILLER)}",
+                         lambda: f"{d(1)} . {d(1)} to {d(1)} . {d(1)}", lambda: f"{d(4)} {d(4)} {d(4)}", lambda: f"{d(2)} {d(2)} {d(2)}", lambda: f"{d(8)} from 0{r.randint(1, 9)}.1{d(1)}.20{d(2)}",
+                         lambda: f"{d(3)} [{d(1)}] . {d(2)}", lambda: f"total {d(7)}", lambda: f"{d(9)}", lambda: f"{d(12)}", lambda: f"{d(4)}-{d(4)}"])()
 
     cues = {0: ["email", "mail", "contact", "write", ""], 1: ["ip", "host", "server", ""], 2: ["card", "visa", "amex", "credit", ""], 3: ["phone", "call", "tel", "fax", "reach", "mobile", ""]}
     out = []
@@ -355,7 +361,8 @@ def scan(weights: dict, text: str) -> tuple[list[tuple[int, int, int]], list[tup
     if not TRIGGER.search(text):
         return base, base
     added = [s for w in windows(text) for s in decode(weights, w)]
-    added = [(k, a, b) for k, a, b in added if not any(a < e and s < b for _, s, e in base)]
+    free = clear_of([s[1:] for s in added], sorted(s[1:] for s in base))
+    added = [s for s, ok in zip(added, free) if ok]
     return base, sorted({*base, *added})
 
 

@@ -6,10 +6,11 @@ The method adds spans of kind ``entropy``: in each run of characters that keys
 are made of, a window of fixed width moves one character at a time; the counts
 of its characters, and from them the sum of n*log2(n), change by the one that
 enters and the one that leaves. A span is the union of the windows whose
-entropy reaches the bound of the run's character class. Runs on the allow list
-(UUIDs, digests of a named kind, runs of few distinct character kinds such as
-words and paths, dates and numbers, placeholders) are suppressed, and so are
-parts that a base span covers.
+entropy reaches the bound of the run's character class. The allow list: parts of
+a run that are UUIDs, digests of a named kind or placeholders suppress the
+windows that touch them; runs that are numbers, dates, words, paths or camel-case
+names, and so all runs of lower-case letters only, are suppressed whole, and so
+are parts that a base span covers.
 
 Defined results: null and empty texts have no spans and the hash of the empty
 string; repeated rows are scanned each; an empty table gives no rows; other
@@ -25,7 +26,7 @@ from math import log2
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import arrow_map, id_and_text
+from .common import arrow_map, clear_of, id_and_text
 
 KINDS = ("assign", "access", "hex", "entropy")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -38,14 +39,30 @@ WINDOW = 20
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 #: Bits a character that a window must reach, by class. A window of 20 has at
 #: most log2(20) = 4.32; hexadecimal runs at most 4.
-BOUNDS = {"hex": 3.1, "mixed": 3.7, "letters": 4.1}
-ALLOWED = [re.compile(x) for x in (
-    r"[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}",  # UUID
+BOUNDS = {"hex": 3.0, "mixed": 3.6, "letters": 3.6}
+WORD = "[A-Z]?[a-z]+|[A-Z]+"
+#: Parts of a run that belong to no secret: the windows that touch them are suppressed.
+APART = re.compile(
+    r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}"  # UUID
+    r"|(?i:(?:sha(?:1|256|512)|md5)[-=][A-Za-z0-9+/=]+"  # digests that say so
+    r"|example|x{4,}|your[a-z_-]*|placeholder|abcdefghij|0123456789)"
+    r"|(?P<hex>(?<![A-Za-z0-9+])(?:[0-9a-f]{20,}|[0-9A-F]{20,})(?![A-Za-z0-9+]))")  # a candidate of its own
+#: Whole runs that are no secret.
+ALLOWED = re.compile("|".join((
     r"[0-9+/_=-]+",  # numbers, dates, rules of signs
-    r"(?:[A-Z]?[a-z]+|[A-Z]+)(?:[/_=+-](?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}))*",  # words, paths, identifiers
-    r"(?i)(sha(1|256|512)|md5)[-=].*",  # digests that say so
-)]
-PLACEHOLDERS = ("example", "xxxx", "your", "placeholder", "abcdefghij", "0123456789")
+    rf"[/_=+-]*(?:{WORD})(?:[/_=+-]+(?:{WORD}|[0-9]{{1,4}}))*[/_=+-]*",  # words, paths, identifiers
+)))
+PIECE = re.compile("[A-Z]{0,3}[a-z]+|[A-Z]+|[0-9]+")
+NAME = re.compile("[A-Z]{0,3}[a-z]{2,}|[A-Z]{2,8}|[0-9]{1,4}")
+
+
+def identifier(run: str) -> bool:
+    """Words, paths and names; those in camel case by pieces longer than chance
+    makes them."""
+    if ALLOWED.fullmatch(run):
+        return True
+    pieces = PIECE.findall(run)
+    return len(run) >= 3.5 * len(pieces) and all(NAME.fullmatch(p) for p in pieces)
 
 
 def char_class(run: str) -> str:
@@ -76,11 +93,6 @@ def high_windows(run: str, bound: float, width: int = WINDOW) -> list[tuple[int,
     return [(a, b) for a, b in spans]
 
 
-def allowed(run: str) -> bool:
-    low = run.lower()
-    return any(p in low for p in PLACEHOLDERS) or any(x.fullmatch(run) for x in ALLOWED)
-
-
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, end, kind number) by start, then kind."""
     found = []
@@ -93,16 +105,24 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found, key=lambda s: (s[0], s[2]))
 
 
-def entropy_spans(text: str, covered: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    out = []
+def candidates(text: str):
+    """(start, run): runs of key characters without the parts that stand apart."""
     for m in CANDIDATE.finditer(text):
-        run, at = m[0], m.start()
-        if allowed(run):
-            continue
-        for a, b in high_windows(run, BOUNDS[char_class(run)]):
-            if not any(s < at + b and at + a < e for s, e, _ in covered):
-                out.append((at + a, at + b, 3))
-    return out
+        at = m.start()
+        for other in APART.finditer(m[0]):
+            if m.start() + other.start() - at >= WINDOW:
+                yield at, text[at : m.start() + other.start()]
+            if other["hex"]:
+                yield m.start() + other.start(), other["hex"]
+            at = m.start() + other.end()
+        if m.end() - at >= WINDOW:
+            yield at, text[at : m.end()]
+
+
+def entropy_spans(text: str, covered: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    found = [(at + a, at + b) for at, run in candidates(text) if not identifier(run) for a, b in high_windows(run, BOUNDS[char_class(run)])]
+    free = clear_of(found, [s[:2] for s in covered])
+    return [(a, b, 3) for (a, b), ok in zip(found, free) if ok]
 
 
 def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
