@@ -2,25 +2,25 @@
 
 Every suffix is ordered through ``DEPTH`` bytes only: two suffixes with equal
 first ``DEPTH`` bytes are a repeated window, and nothing deeper is looked at.
-The passes go from the most significant digit down, and a group that has one
-member left takes no part in the next pass:
-
-1. Digit one is an anchor, the window's smallest hashed ``GRAM``-gram (leftmost
-   if tied). Equal windows have the same anchor at the same place, so suffixes
-   need not be spread one by one: neighbouring windows with one anchor form a
-   run, about 1 in 35 bytes, and runs are what is shuffled. Anchors that occur
-   once are dropped.
-2. Digit two is the run's whole content and the anchor's place in it. Runs equal
-   in both are equal in all their windows; all but the first of a class repeat.
-3. Digit three is the window. Only the first run of each class takes part, and
-   only where several classes share an anchor (where copies begin, end or
-   differ). Of the windows left in one group all but the first repeat. A group of
-   more than ``GROUP_RUNS`` runs is spread over all tasks, a row for each window.
-
-"First" is by doc_id, then start. Groups are told apart by 64-bit hashes of
-anchor and digit together (128 bits), the small groups of the last pass by their bytes; each pass is a minimum by key, combined
-before the shuffle, and a join back that adaptive execution can split, so a
-string that a third of all documents share is no task's burden.
+
+Suffixes that can be equal are brought together first. The anchor of a window is
+its smallest hashed ``GRAM``-gram (leftmost if tied); equal windows have the same
+anchor at the same place. Neighbouring windows with one anchor form a run, about
+1 in 35 bytes, and runs are what is shuffled, into a bucket for each anchor.
+Buckets of one run are dropped, and runs of one bucket that are equal as a whole
+are copies: they give one row, so what a third of all texts share is one row too.
+
+Within a bucket the suffixes of all its runs are sorted by radix, the most
+significant digit first: ``DIGIT`` bytes a pass, as unsigned big-endian numbers.
+After each pass a suffix that is alone in its group is dropped. The groups left
+after the last pass are exactly the repeated windows; all but the first of each
+repeat. A bucket of more than ``GROUP_RUNS`` runs goes through the same passes
+spread over all tasks, with wider digits (``DEPTHS``): a pass keeps the suffixes
+whose bytes so far stand more than once, by a count combined before its shuffle.
+
+"First" is by doc_id, then start. Anchors and whole runs are told apart by 64-bit
+hashes, together 128 bits; the sort compares bytes. Joins back are such that
+adaptive execution can split them, so no string is one task's burden.
 
 Defined results: a null or empty text has no bytes; a text shorter than the
 depth loses nothing; a row with a null doc_id is returned whole and matches
@@ -38,12 +38,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_shuffles, id_and_text, written
+from .common import Scratch, id_and_text
 
 DEPTH = 100
 GRAM = 32
-#: Runs of one anchor that one task compares; of more, each window is a row of its own.
-GROUP_RUNS = 1 << 14
+#: Bytes of a digit in a task, and bytes known after each pass of a large bucket.
+DIGIT = 8
+DEPTHS = (40, 70, DEPTH)
+#: Runs of one bucket that one task sorts; of more, each suffix is a row of its own.
+GROUP_RUNS = 1 << 12
+#: Runs whose suffixes are sorted together.
+SORT_RUNS = 1 << 12
 #: Bytes that are hashed together, and the most window starts of one document in a piece.
 PIECE = 1 << 22
 _POSITION = 26
@@ -194,96 +199,153 @@ def contexts(asked: DataFrame) -> DataFrame:
     return asked.mapInArrow(run, "kg bigint, large boolean, doc bigint, lo bigint, bytes binary")
 
 
+def radix_repeats(digits: np.ndarray, at: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Which suffixes equal, through DEPTH bytes, an earlier one of their group.
+
+    ``at`` has the suffixes' starts in the order of their rank; ``digits`` the big-endian
+    number of the DIGIT bytes from each position on.
+    """
+    live = np.arange(len(at))
+    for depth in range(0, DEPTH, DIGIT):
+        digit = digits[at[live] + depth]
+        if DEPTH - depth < DIGIT:
+            digit = digit >> np.uint64(8 * (DIGIT - DEPTH + depth))
+        order = np.lexsort((digit, group))  # stable: equal suffixes keep their rank
+        group, digit, live = group[order], digit[order], live[order]
+        fresh = np.ones(len(live), bool)
+        fresh[1:] = (group[1:] != group[:-1]) | (digit[1:] != digit[:-1])
+        group = np.cumsum(fresh)
+        shared = ~(fresh & np.append(fresh[1:], True))
+        live, group, fresh = live[shared], group[shared], fresh[shared]
+        if not len(live):
+            break
+    return live[~fresh] if len(live) else live
+
+
+def suffixes(runs_: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of runs end to end, the start of each suffix and its run."""
+    data = np.frombuffer(b"".join(runs_), np.uint8)
+    size = np.array([len(r) for r in runs_], np.int64)
+    n = size - DEPTH + 1
+    run = np.repeat(np.arange(len(runs_)), n)
+    return data, np.arange(n.sum()) + np.repeat(np.cumsum(size) - size - np.cumsum(n) + n, n), run
+
+
+def spans_in(keys: np.ndarray, docs: np.ndarray, los: np.ndarray, runs_: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, start, end) of the repeats among runs in order of (key, doc, lo)."""
+    data, at, run = suffixes(runs_)
+    padded = np.concatenate((data, np.zeros(DIGIT, np.uint8)))
+    digits = np.lib.stride_tricks.sliding_window_view(padded, DIGIT)[: len(data)].copy().view(">u8").ravel().astype(np.uint64)
+    hit = np.zeros(len(at), bool)
+    hit[radix_repeats(digits, at, keys[run])] = True
+    # neighbouring suffixes of one run that repeat are one span
+    place = np.flatnonzero(hit)
+    head = np.ones(len(place), bool)
+    head[1:] = (np.diff(place) > 1) | (run[place[1:]] != run[place[:-1]])
+    first, last = place[head], place[np.append(np.flatnonzero(head)[1:] - 1, len(place) - 1)] if len(place) else place
+    offset = np.cumsum([0, *map(len, runs_)])[run[first]]
+    start = los[run[first]] + at[first] - offset
+    return docs[run[first]], start, start + (last - first) + DEPTH
+
+
 def sorted_groups(reps: DataFrame) -> DataFrame:
     """Spans of repeated windows among the runs of one anchor: rows (kg, doc, lo,
-    bytes) that stand together and in order. A group has ``GROUP_RUNS`` runs at most."""
+    bytes). A group has ``GROUP_RUNS`` runs at most."""
 
     def run(batches):
-        seen: set[bytes] = set()
-        kg = last = None
+        held: list[tuple] = []
+
+        def spans(rows):
+            # the same document once more gives the same runs
+            rows = [r for k, r in enumerate(rows) if not k or r[:3] != rows[k - 1][:3]]
+            cols = list(zip(*rows))
+            out = spans_in(*[np.array(c, np.int64) for c in cols[:3]], list(cols[3]))
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["doc", "start", "end"])
+
         for batch in batches:
-            out: list[tuple[int, int, int]] = []
-            for key, doc, lo, own in zip(*[c.to_pylist() for c in batch.columns]):
-                if (key, doc, lo) == last:
-                    continue  # the same document once more
-                last = key, doc, lo
-                if key != kg:
-                    kg, seen = key, set()
-                start = None
-                for p in range(len(own) - DEPTH + 1):
-                    window = own[p : p + DEPTH]
-                    if window in seen:
-                        if start is None:
-                            start = p
-                    else:
-                        seen.add(window)
-                        if start is not None:
-                            out.append((doc, lo + start, lo + p + DEPTH - 1))
-                            start = None
-                if start is not None:
-                    out.append((doc, lo + start, lo + len(own)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["doc", "start", "end"])
+            held += zip(*[c.to_pylist() for c in batch.columns])
+            if len(held) >= SORT_RUNS:
+                cut = len(held) - 1  # the last bucket may go on in the next batch
+                while cut and held[cut - 1][0] == held[-1][0]:
+                    cut -= 1
+                done = 0
+                while done < cut:
+                    end = min(done + SORT_RUNS, cut)
+                    while end < cut and held[end][0] == held[end - 1][0]:
+                        end += 1
+                    yield spans(held[done:end])
+                    done = end
+                held = held[cut:]
+        if held:
+            yield spans(held)
 
     together = reps.repartition("kg").sortWithinPartitions("kg", "doc", "lo")
     return together.select("kg", "doc", "lo", "bytes").mapInArrow(run, "doc bigint, start bigint, end bigint")
 
 
 def windows(reps: DataFrame) -> DataFrame:
-    """kg, wh, doc, p of each window of runs (kg, doc, lo, bytes)."""
+    """kg, w (the DEPTH bytes), doc, p of each suffix of runs (kg, doc, lo, bytes)."""
 
     def run(batches):
-        import xxhash
-
-        digest = xxhash.xxh3_64_intdigest
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
-                cols: list[list] = [[], [], [], []]
-                for kg, doc, lo, own in zip(*[c.to_pylist() for c in batch.slice(at, 1024).columns]):
-                    n = len(own) - DEPTH + 1
-                    cols[0] += [kg] * n
-                    cols[1] += [digest(own[p : p + DEPTH]) for p in range(n)]
-                    cols[2] += [doc] * n
-                    cols[3] += range(lo, lo + n)
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(np.array(cols[1], np.uint64).view(np.int64)), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())],
-                                                 names=["kg", "wh", "doc", "p"])
-
-    return reps.select("kg", "doc", "lo", "bytes").mapInArrow(run, "kg bigint, wh bigint, doc bigint, p bigint")
-
-
-def repeated_spans(docs: DataFrame, group_runs: int = GROUP_RUNS) -> DataFrame:
+                part = batch.slice(at, 1024)
+                data, start, own = suffixes(part.column(3).to_pylist())
+                offset = np.cumsum([0, *[len(b) for b in part.column(3).to_pylist()]])[own]
+                kg, doc, lo = (part.column(k).to_numpy()[own] for k in range(3))
+                flat = np.lib.stride_tricks.sliding_window_view(data, DEPTH)[start].tobytes()
+                w = pa.FixedSizeBinaryArray.from_buffers(pa.binary(DEPTH), len(start), [None, pa.py_buffer(flat)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(kg), w, pa.array(doc), pa.array(lo + start - offset)], names=["kg", "w", "doc", "p"])
+
+    return reps.select("kg", "doc", "lo", "bytes").mapInArrow(run, "kg bigint, w binary, doc bigint, p bigint")
+
+
+def radix_passes(cut: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc, start, end) of the repeats among suffixes (kg, w, doc, p) of large
+    buckets: a pass over all tasks for each of ``DEPTHS``."""
+    for k, depth in enumerate(DEPTHS):
+        digit = F.substring("w", 1, depth) if depth < DEPTH else F.col("w")
+        cut = cut.withColumn("d", digit)
+        groups = cut.groupBy("kg", "d").agg(F.min(F.struct("doc", "p")).alias("first"), F.count("*").alias("m")).where("m > 1")
+        if depth < DEPTH:
+            cut = scratch.keep(cut.join(groups.select("kg", "d"), ["kg", "d"], "left_semi").drop("d"), f"pass-{k}")
+            if k:
+                scratch.drop(f"pass-{k - 1}")
+    first = groups.select("kg", "d", F.col("first.doc").alias("d0"), F.col("first.p").alias("p0"))
+    again = cut.join(first, ["kg", "d"]).where("doc <> d0 or p <> p0")
+    return again.select("doc", F.col("p").alias("start"), (F.col("p") + DEPTH).alias("end"))
+
+
+def repeated_spans(docs: DataFrame, scratch: Scratch, group_runs: int = GROUP_RUNS) -> DataFrame:
     """(doc, start, end) byte spans that repeat an earlier window; they overlap."""
-    spark = docs.sparkSession
     known = docs.where("doc_id is not null")
-    repeated = written(anchors(known, True).groupBy("kg").count().where("count > 1").select("kg"), "anchors")
-    free_shuffles(spark)
-    members = written(anchors(known, False).join(repeated, "kg", "left_semi"), "runs")
-    free_shuffles(spark)
+    repeated = scratch.keep(anchors(known, True).groupBy("kg").count().where("count > 1").select("kg"), "anchors")
+    members = scratch.keep(anchors(known, False).join(repeated, "kg", "left_semi"), "runs")
+    scratch.drop("anchors")
     first = F.min(F.struct("doc", "lo", "n")).alias("first")
-    classes = written(members.where("not own").groupBy("kg", "rh").agg(first, F.count("*").alias("m")), "classes")
-    free_shuffles(spark)
+    classes = scratch.keep(members.where("not own").groupBy("kg", "rh").agg(first, F.count("*").alias("m")), "classes")
     span = ["doc", F.col("lo").alias("start"), (F.col("lo") + F.col("n") + (DEPTH - 1)).alias("end")]
     copies = members.where("not own").join(classes.where("m > 1").select("kg", "rh", F.col("first.doc").alias("d0"), F.col("first.lo").alias("l0")), ["kg", "rh"])
     copies = copies.where("doc <> d0 or lo <> l0").select(*span).unionByName(members.where("own").select(*span))
     shared = classes.groupBy("kg").count().where("count > 1").select("kg", (F.col("count") > group_runs).alias("large"))
     asked = classes.join(shared, "kg").select(F.col("first.doc").alias("doc"), F.struct("kg", "large", F.col("first.lo").alias("lo"), F.col("first.n").alias("n")).alias("r"))
     asked = asked.groupBy("doc").agg(F.collect_list("r").alias("asked"))  # of one document, no longer than it
-    reps = written(contexts(known.join(asked, known.doc_id == asked.doc).select("doc", "text", "asked")), "contexts")
-    free_shuffles(spark)
-    cut = windows(reps.where("large"))
-    lowest = cut.groupBy("kg", "wh").agg(F.min(F.struct("doc", "p")).alias("first"), F.count("*").alias("m")).where("m > 1")
-    lowest = lowest.select("kg", "wh", F.col("first.doc").alias("d0"), F.col("first.p").alias("p0"))
-    parts = cut.join(lowest, ["kg", "wh"]).where("doc <> d0 or p <> p0").select("doc", F.col("p").alias("start"), (F.col("p") + DEPTH).alias("end"))
-    return copies.unionByName(sorted_groups(reps.where("not large"))).unionByName(parts)
+    reps = scratch.keep(contexts(known.join(asked, known.doc_id == asked.doc).select("doc", "text", "asked")), "contexts")
+    spans = copies.unionByName(sorted_groups(reps.where("not large")))
+    large = reps.where("large")
+    if large.isEmpty():
+        return spans
+    # repeated rows of one document give the same suffixes
+    return spans.unionByName(radix_passes(windows(large.dropDuplicates(["kg", "doc", "lo"])), scratch))
 
 
 def deduplicated(docs: DataFrame, texts: bool = False, group_runs: int = GROUP_RUNS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of (doc_id, text), and
     with ``texts`` the bytes that stay."""
-    spark = docs.sparkSession
-    spans = repeated_spans(docs, group_runs).groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    spans = written(spans, "spans")
-    free_shuffles(spark)
+    scratch = Scratch(docs.sparkSession, "suffix-dedup")
+    spans = repeated_spans(docs, scratch, group_runs).groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    spans = scratch.keep(spans, "spans")
+    scratch.drop("runs", "classes", "contexts", *(f"pass-{k}" for k in range(len(DEPTHS))))
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + texts]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
 
