@@ -114,6 +114,17 @@ def clear_of(found: list[tuple[int, int]], taken: list[tuple[int, int]]) -> list
     return out
 
 
+def opened(uri: str, mode: str):
+    """A file of any store that Arrow knows, to read, or with "w" to write."""
+    from pyarrow import fs
+
+    store, at = fs.FileSystem.from_uri(uri)
+    if mode == "w":
+        store.create_dir(at.rsplit("/", 1)[0], recursive=True)
+        return store.open_output_stream(at, compression=None)
+    return store.open_input_file(at)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 

@@ -8,9 +8,10 @@ separator. All distinct test phrases are searched backward through the wavelet
 matrix together, their occurrences located by sampled suffix positions, and the
 word spans merged. No row is shuffled.
 
-The benchmark goes to the executors in blocks of at most ``BLOCK_BYTES`` of
-text. Each shard is searched for one block after another, a task holds one block
-at a time, and spans and items are brought together row by row, so ids may repeat.
+The benchmark is cut into blocks of at most ``BLOCK_BYTES`` of text by tasks that
+write each block's phrases as a file in the shared folder; the driver sees the
+files' names only. Each shard is searched for one block after another, a worker
+holds one block at a time, and spans and items are brought together row by row.
 
 Defined results: null, empty and wordless texts have no words and are clean;
 wordless items match nothing; an item of fewer than 8 words is one phrase;
@@ -21,6 +22,8 @@ table gives no rows; other columns are unread.
 from __future__ import annotations
 
 import hashlib
+import pickle
+import uuid
 from itertools import repeat
 
 import numpy as np
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_and_text, map_text
+from .common import Scratch, id_and_text, map_text, opened
 from .fm_index import FmIndex
 
 WINDOW = 8
@@ -126,33 +129,67 @@ def shards(batches, n_cols: int, shard_words: int):
         yield held, texts, cut
 
 
-def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[Phrases]:
-    """The benchmark (item_id, text) in blocks of bounded size."""
-    out, held, size = [], [], 0
-    for item, text in benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).toLocalIterator():
-        n = len((text or "").encode())
-        if held and size + n > block_bytes:
-            out.append(Phrases(held))
-            held, size = [], 0
-        held.append((item or "", text))
-        size += n
-    return [*out, Phrases(held)]
+def blocks(benchmark: DataFrame, scratch: Scratch, block_bytes: int = BLOCK_BYTES) -> list[str]:
+    """Names of the files with the benchmark's (item_id, text) in blocks. A longer
+    item is cut where the pieces share ``WINDOW`` - 1 words, so no window is lost."""
+    rows = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string"))
+    n = max(1, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes))
+    folder = f"{scratch.folder}/blocks"
+
+    def items(batches):
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if len(text or "") * 4 <= block_bytes:
+                    yield item or "", text
+                    continue
+                cut, step = words(text), max(1, block_bytes // 16)
+                for at in range(0, max(1, len(cut) - WINDOW + 1), step):
+                    yield item or "", b" ".join(cut[at : at + step + WINDOW - 1]).decode()
+
+    def store(held) -> pa.RecordBatch:
+        uri = f"{folder}/{uuid.uuid4().hex}"
+        with opened(uri, "w") as out:
+            out.write(pickle.dumps(Phrases(held)))
+        return pa.RecordBatch.from_pydict({"path": [uri]})
+
+    def run(batches):
+        held, size = [], 0
+        for item, text in items(batches):
+            n = len((text or "").encode())
+            if held and size + n > block_bytes:
+                yield store(held)
+                held, size = [], 0
+            held.append((item, text))
+            size += n
+        if held:
+            yield store(held)
+
+    return sorted(r.path for r in rows.coalesce(n).mapInArrow(run, "path string").collect())
+
+
+_HELD: dict[str, Phrases] = {}
+
+
+def block(uri: str) -> Phrases:
+    """A block's phrases; a worker keeps the last one it read."""
+    if uri not in _HELD:
+        _HELD.clear()
+        with opened(uri, "r") as f:
+            _HELD[uri] = pickle.loads(f.read())
+    return _HELD[uri]
 
 
-def spans_of(docs: DataFrame, found: list[Phrases], shard_words: int = SHARD_WORDS) -> DataFrame:
+def spans_of(docs: DataFrame, paths: list[str], shard_words: int = SHARD_WORDS) -> DataFrame:
     """doc_id, n_words, spans (flat: start, end, ...) and items of (doc_id, text), row by row; those of several blocks follow each other."""
-    shared = [docs.sparkSession.sparkContext.broadcast(b) for b in found]
     schema = "doc_id bigint, n_words bigint, spans array<bigint>, items array<string>"
 
     def run(batches):
         for (ids,), _, cut in shards(batches, 1, shard_words):
             spans, items = [[] for _ in cut], [[] for _ in cut]
-            for b in shared:
-                for k, (s, i) in enumerate(zip(*shard_hits(cut, b.value))):
+            for path in paths:
+                for k, (s, i) in enumerate(zip(*shard_hits(cut, block(path)))):
                     spans[k] += s.ravel().tolist()
                     items[k] += i
-                if len(shared) > 1:
-                    vars(b).pop("_value", None)  # read again for the next shard, so that one block is in memory
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array([len(c) for c in cut], pa.int64()),
                  pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))],
@@ -163,7 +200,7 @@ def spans_of(docs: DataFrame, found: list[Phrases], shard_words: int = SHARD_WOR
 
 def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, shard_words: int = SHARD_WORDS) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans."""
-    every = spans_of(docs, blocks(benchmark, block_bytes), shard_words)
+    every = spans_of(docs, blocks(benchmark, Scratch(docs.sparkSession, "benchmark"), block_bytes), shard_words)
 
     def run(batches):
         for batch in batches:
@@ -203,15 +240,15 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join(out) + text[last:]
 
 
-def cleaned(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", shard_words: int = SHARD_WORDS) -> DataFrame:
+def cleaned(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", shard_words: int = SHARD_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """All columns of ``docs``, every benchmark passage cut out of the text;
     block after block, so that spans of two blocks that meet are both cut."""
-    shared = [docs.sparkSession.sparkContext.broadcast(b) for b in blocks(benchmark)]
+    paths = blocks(benchmark, Scratch(docs.sparkSession, "benchmark"), block_bytes)
 
     def clean(part: list[str | None], cut: list[list[bytes]]) -> list[str | None]:
         found: dict[int, list[int]] = {}
-        for b in shared:
-            for k, s in enumerate(shard_hits(cut, b.value)[0]):
+        for path in paths:
+            for k, s in enumerate(shard_hits(cut, block(path))[0]):
                 if len(s):
                     found.setdefault(k, []).extend(s.ravel().tolist())
         return [without(t, merged(found[k])) if k in found else t for k, t in enumerate(part)]

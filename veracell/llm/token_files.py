@@ -12,7 +12,9 @@ A shard is a valid zstandard stream that any decoder reads whole:
 
 A reader fetches the trailer, then only the frames of the documents asked for.
 
-Shards are cut by ranges of doc_id, so shard order is document order. A task
+Shards are cut by ranges of doc_id, so shard order is document order; rows of one
+id, or of none, are told apart by a number, so that they too can be cut. There is a shard for
+each ``SHARD_BYTES`` of text, and at least one for each core. A task
 attempt writes a file of its own and names it in the manifest that Spark keeps
 from the attempt that succeeded; a lost executor costs a rerun of its tasks and
 an orphaned file, never a wrong one.
@@ -25,6 +27,7 @@ other than id and text are not read.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import uuid
@@ -37,32 +40,22 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import vocab
-from .common import free_shuffles, id_and_text, shared_dir, written
+from .common import Scratch, id_and_text, opened
 
-FRAME_BYTES = 1 << 18
+FRAME_BYTES, SHARD_BYTES = 1 << 18, 128 << 20
 SEEK_MAGIC, SEEK_FOOTER, INDEX_MAGIC = 0x184D2A5E, 0x8F92EAB1, 0x184D2A50
 ENTRY = struct.Struct("<qBIII")
 #: Entries of each of the two generations of a worker's memos, of pieces and of pre-tokens.
 MEMO, WORDS = 300_000, 800_000
 
 
-def _open(uri: str, mode: str):
-    from pyarrow import fs
-
-    store, at = fs.FileSystem.from_uri(uri)
-    if mode == "w":
-        store.create_dir(at.rsplit("/", 1)[0], recursive=True)
-        return store.open_output_stream(at, compression=None)
-    return store.open_input_file(at)
-
-
 class ShardWriter:
     """Writes one shard; documents come in file order."""
 
     def __init__(self, uri: str, frame_bytes: int = FRAME_BYTES, level: int = 3):
         import zstandard
 
-        self.out, self.frame_bytes = _open(uri, "w"), frame_bytes
+        self.out, self.frame_bytes = opened(uri, "w"), frame_bytes
         self.zstd = zstandard.ZstdCompressor(level=level, write_checksum=True, write_content_size=True)
         self.held: list[bytes] = []
         self.held_bytes = self.n_docs = self.n_ids = 0
@@ -104,7 +97,7 @@ class ShardReader:
     def __init__(self, uri: str):
         import zstandard
 
-        self.file = _open(uri, "r")
+        self.file = opened(uri, "r")
         self.zstd = zstandard.ZstdDecompressor()
         size = self.file.size()
         n, _, magic = struct.unpack("<IBI", self._at(size - 9, 9))
@@ -118,6 +111,12 @@ class ShardReader:
             raise ValueError(f"{uri}: no document table")
         self.docs = list(ENTRY.iter_unpack(zlib.decompress(self._at(self.offsets[-1] + 8, length))))
 
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        self.file.close()
+
     def _at(self, offset: int, n: int) -> bytes:
         self.file.seek(offset)
         return self.file.read(n)
@@ -170,6 +169,10 @@ class PieceEncoder:
 
     def __init__(self, name: str):
         self.tok = vocab.hf(name)
+        split = json.loads(self.tok.to_str())
+        plan = split["pre_tokenizer"] or {}
+        if split["normalizer"] or plan.get("type") != "ByteLevel" or not plan.get("use_regex") or plan.get("add_prefix_space"):
+            raise ValueError(f"{name}: texts are cut for a byte-level splitter without a normalizer only")
         self.model = self.tok.model
         self.letters = byte_letters()
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
@@ -240,36 +243,38 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str = "byte_bpe_50k.js
                  frame_bytes: int = FRAME_BYTES) -> DataFrame:
     """Encodes (doc_id, text) into shards; returns the manifest, one row a shard.
 
-    One range shuffle of the texts on doc_id; Spark's sampling finds the ranges
-    and adaptive execution may join neighbours, which keeps the order.
+    A count of bytes, then one range shuffle of the texts; Spark's sampling finds the ranges.
     """
     end = b"" if end_id is None else struct.pack("<I", end_id)
 
     def run(batches):
         coder = vocab.once(("pieces", tokenizer), lambda: PieceEncoder(tokenizer))
-        writer = first = None
+        writer = first = part_id = None
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 ids = part.column(0).to_pylist()
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 if writer is None:
-                    first, uri = ids[0], f"{folder}/{uuid.uuid4().hex}.tok"
+                    first, part_id, uri = ids[0], part.column(2)[0].as_py(), f"{folder}/{uuid.uuid4().hex}.tok"
                     writer = ShardWriter(uri, frame_bytes)
                 for doc_id, coded in zip(ids, coder.encode(texts)):
                     writer.add(doc_id, coded + end)
         if writer is not None:
             writer.close()
-            yield pa.RecordBatch.from_pydict({"path": [uri], "first_doc": pa.array([first], pa.int64()), "n_docs": [writer.n_docs], "n_ids": [writer.n_ids]})
+            yield pa.RecordBatch.from_pydict({"path": [uri], "first_doc": pa.array([first], pa.int64()), "n_docs": [writer.n_docs], "n_ids": [writer.n_ids], "part": pa.array([part_id], pa.int32())})
 
-    ordered = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    return ordered.mapInArrow(run, "path string, first_doc bigint, n_docs bigint, n_ids bigint")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(-(-size // SHARD_BYTES), docs.sparkSession.sparkContext.defaultParallelism, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ordered = docs.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    ordered = ordered.select("doc_id", "text", F.spark_partition_id().alias("part"))
+    return ordered.mapInArrow(run, "path string, first_doc bigint, n_docs bigint, n_ids bigint, part int")
 
 
 def shard_starts(manifest: DataFrame) -> DataFrame:
     """Adds ``start``: the ids of all shards before. One row a shard, so the
     window's single partition holds file names only."""
-    before = Window.orderBy(F.col("first_doc").asc_nulls_first(), "path").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
 
@@ -281,17 +286,18 @@ def read_shards(manifest: DataFrame, doc_ids: frozenset[int] | None = None) -> D
     def run(batches):
         for batch in batches:
             for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                reader, rows = ShardReader(path), []
-                if doc_ids is None:
-                    for (doc_id, ids), entry in zip(reader, reader.docs):
-                        rows.append((doc_id, start, len(ids) // 4, zlib.crc32(ids), entry[2]))
-                        start += len(ids) // 4
-                else:
-                    for k, (doc_id, _, frame, _, n) in enumerate(reader.docs):
-                        if doc_id in doc_ids:
-                            ids = reader.document(k)[1]
-                            rows.append((doc_id, start, n, zlib.crc32(ids), frame))
-                        start += n
+                rows = []
+                with ShardReader(path) as reader:
+                    if doc_ids is None:
+                        for (doc_id, ids), entry in zip(reader, reader.docs):
+                            rows.append((doc_id, start, len(ids) // 4, zlib.crc32(ids), entry[2]))
+                            start += len(ids) // 4
+                    else:
+                        for k, (doc_id, _, frame, _, n) in enumerate(reader.docs):
+                            if doc_id in doc_ids:
+                                ids = reader.document(k)[1]
+                                rows.append((doc_id, start, n, zlib.crc32(ids), frame))
+                            start += n
                 cols = list(zip(*rows)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()))],
@@ -303,8 +309,7 @@ def read_shards(manifest: DataFrame, doc_ids: frozenset[int] | None = None) -> D
 def op1_seekable_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the shards of the whole ``documents`` table, reads them back."""
     docs = id_and_text(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    folder = f"{shared_dir(spark)}/token-shards-{uuid.uuid4().hex}"
-    manifest = written(write_shards(docs, folder), "token-manifest")
-    free_shuffles(spark)
+    scratch = Scratch(spark, "token-files")
+    manifest = scratch.keep(write_shards(docs, f"{scratch.folder}/shards"), "manifest")
     # a task a shard: adaptive execution would put rows this small all in one
     return read_shards(shard_starts(manifest).repartition(max(1, manifest.count())))
