@@ -6,7 +6,8 @@ to all its positions. Ranks that occur are applied in ascending order: one rank
 merges at all its positions at once, and the pairs that appear to the left and
 right join the lists of their ranks. This equals merging each pre-token by its
 lowest rank first as long as a merge never makes a pair of lower rank, which is
-checked for the vocabulary once; results are kept in a bounded memo.
+checked for the vocabulary once (the library merges the words of one that fails);
+results are kept in a bounded memo. Texts are decoded from the ids.
 
 The vocabulary's normalizer and splitter are the library's. Neither looks
 across white space, so texts are cut there: strings of plain Latin letters need
@@ -22,6 +23,7 @@ rows; other columns are unread.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from heapq import heapify, heappop, heappush
 
@@ -48,8 +50,6 @@ class PairIndex:
     """Merges many symbol sequences together."""
 
     def __init__(self, tokenizer):
-        import json
-
         model = json.loads(tokenizer.to_str())["model"]
         self.suffix = model.get("end_of_word_suffix") or ""
         ids, prefix = model["vocab"], len(model.get("continuing_subword_prefix") or "")
@@ -118,22 +118,25 @@ class PairIndex:
 
 
 class PairCoder:
-    """Encodes and decodes whole texts; memo of (n, ids, tokens) by string."""
+    """Encodes and decodes whole texts; memo of (n, decimal ids) by string."""
 
     def __init__(self, name: str):
         from .token_files import byte_letters
 
         self.tok = tok = vocab.hf(name)
         self.index = PairIndex(tok)
-        if not self.index.ascending:
-            raise ValueError("a merge of this vocabulary makes a pair of lower rank: the index can't apply ranks in order")
+        rules = json.loads(tok.to_str())
+        kinds = lambda x, many: [k["type"] for k in (x or {}).get(many, [x] if x else [])]
+        known = kinds(rules["normalizer"], "normalizers"), kinds(rules["pre_tokenizer"], "pretokenizers")
+        if known != (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]) or rules["decoder"] or rules["model"].get("continuing_subword_prefix"):
+            raise ValueError(f"{name}: texts are cut at white space for another normalizer, splitter and decoder than this vocabulary's")
         self.letters = byte_letters()
         self.bytes = {chr(c): b for b, c in self.letters.items()}
-        self.names = {i: t for t, i in tok.get_vocab(with_added_tokens=True).items()}
+        self.names = {str(i): t for t, i in tok.get_vocab(with_added_tokens=True).items()}
         self.added = {t.content: i for i, t in tok.get_added_tokens_decoder().items()}
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.memo: dict[str, tuple[int, str, str]] = {}
-        self.words: dict[str, tuple[int, str, str]] = {}
+        self.memo: dict[str, tuple[int, str]] = {}
+        self.words: dict[str, tuple[int, str]] = {}
 
     def _learn(self, pieces: list[str]) -> None:
         """Splits new strings into pre-tokens and merges those that are new together."""
@@ -146,18 +149,20 @@ class PairCoder:
                          self.tok.pre_tokenizer.pre_tokenize_str(self.tok.normalizer.normalize_str(p))]
             split.append(parts)
             new.update(dict.fromkeys([w for w in parts if w and w not in words]))
-        names = self.names
-        for w, ids in zip(new, self.index.merge([w.encode().decode("latin-1").translate(letters) for w in new])):
-            words[w] = (len(ids), " ".join(map(str, ids)), " ".join([names[i] for i in ids]))
+        mapped = [w.encode().decode("latin-1").translate(letters) for w in new]
+        # ranks that don't ascend can't be applied in order: the library's model merges such a vocabulary's words
+        merged = self.index.merge(mapped) if self.index.ascending else [[t.id for t in self.tok.model.tokenize(w)] for w in mapped]
+        for w, ids in zip(new, merged):
+            words[w] = (len(ids), " ".join(map(str, ids)))
         for p, parts in zip(pieces, split):
             if len(parts) == 1:
                 memo[p] = words[parts[0]]
             else:
                 got = [words[w] for w in parts if w]
-                memo[p] = (sum([x[0] for x in got]), " ".join([x[1] for x in got]), " ".join([x[2] for x in got]))
+                memo[p] = (sum([x[0] for x in got]), " ".join([x[1] for x in got]))
 
-    def encode(self, texts: list[str]) -> list[list[tuple[int, str, str]]]:
-        """For each text its strings' (n, decimal ids, tokens), in order."""
+    def encode(self, texts: list[str]) -> list[list[tuple[int, str]]]:
+        """For each text its strings' (n, decimal ids), in order."""
         memo, cut, missing = self.memo, [], {}
         for text in texts:
             if self.special and self.special.search(text):
@@ -175,12 +180,18 @@ class PairCoder:
                 missing = dict.fromkeys(p for c in cut for p in c)
             for content, i in self.added.items():
                 if content in missing:
-                    memo[content] = (1, str(i), self.names[i])
+                    memo[content] = (1, str(i))
                     del missing[content]
             self._learn(list(missing))
         return [list(map(memo.__getitem__, c)) for c in cut]
 
 
+    def decode(self, coded: str) -> str:
+        """The tokens of decimal ids, joined as the library joins those of a
+        vocabulary without a decoder; unknown ids are left out."""
+        return " ".join(filter(None, map(self.names.get, coded.split())))
+
+
 def encode(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of (doc_id, text), and with
     ``ids`` the ids themselves; no shuffle."""
@@ -194,9 +205,10 @@ def encode(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", ids: bool = Fa
                 part = batch.slice(at, SLICE_ROWS)
                 out = coder.encode([t or "" for t in part.column(1).to_pylist()])
                 coded = [" ".join([x[1] for x in d]) for d in out]
+                decoded = map(coder.decode, coded)
                 cols = [part.column(0), pa.array([sum([x[0] for x in d]) for d in out], pa.int64()),
                         pa.array([sha(c.encode()).hexdigest() for c in coded], pa.string()),
-                        pa.array([sha(" ".join([x[2] for x in d]).encode()).hexdigest() for d in out], pa.string())]
+                        pa.array([sha(d.encode()).hexdigest() for d in decoded], pa.string())]
                 if ids:
                     cols.append(pa.array([list(map(int, c.split())) for c in coded], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(cols)])
@@ -209,9 +221,9 @@ def decode(coded: DataFrame, tokenizer: str = "word_bpe_49k.json") -> DataFrame:
     joins those of a vocabulary without a decoder; nulls are empty."""
 
     def run(batches):
-        names = vocab.once(("pairs", tokenizer), lambda: PairCoder(tokenizer)).names
+        coder = vocab.once(("pairs", tokenizer), lambda: PairCoder(tokenizer))
         for batch in batches:
-            texts = [" ".join([names[i] for i in x or () if i in names]) for x in batch.column(1).to_pylist()]
+            texts = [coder.decode(" ".join(map(str, x or ()))) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     return coded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, text string")

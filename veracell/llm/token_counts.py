@@ -22,7 +22,8 @@ from .common import arrow_map, id_and_text
 
 SPACE = "▁"
 LIMIT = 4096
-MEMO = 1_200_000
+#: Most strings that a worker remembers, and most characters of one.
+MEMO, LONG = 1_200_000, 100
 RUNS = re.compile(" +[^ ]*")
 
 
@@ -34,15 +35,15 @@ class WholeTokenCounter:
         pieces = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
         plain = [p for i, p in enumerate(pieces) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
         # cutting is exact only if spaces stand nowhere but in front, and stay as they are
-        self.exact = not any(SPACE in p.lstrip(SPACE) for p in plain) and len(sp.encode("a  b ", out_type=str)) == len(
+        exact = not any(SPACE in p.lstrip(SPACE) for p in plain) and len(sp.encode("a  b ", out_type=str)) == len(
             sp.encode("a")) + len(sp.encode(" b")) + 1
+        if not exact:
+            raise ValueError(f"{name}: a text of this model can't be cut before spaces")
         alone = [p[1:] for p in plain if p[0] == SPACE and len(p) > 1 and p[1] != SPACE]
         self.whole = {w: 1 for w, ids in zip(alone, sp.encode(alone)) if len(ids) == 1}
         self.memo = dict(self.whole)
 
     def count(self, texts: list[str]) -> list[int]:
-        if not self.exact:
-            return [len(x) for x in self.sp.encode(texts, num_threads=1)]
         memo = self.memo
         if len(memo) > MEMO:
             memo.clear()
@@ -64,7 +65,11 @@ class WholeTokenCounter:
         for p in rest:
             if not p:  # a lone space in front, of nothing: the library takes an empty text as none
                 memo[p] = 1
-        return [sum(map(memo.__getitem__, pieces)) for pieces in cut]
+        out = [sum(map(memo.__getitem__, pieces)) for pieces in cut]
+        for p in rest:
+            if len(p) > LONG:
+                del memo[p]
+        return out
 
 
 def count_tokens(docs: DataFrame, model: str = "piece_bpe_32k.model", limit: int = LIMIT) -> DataFrame:
