@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_shuffles, written
+from .common import Scratch
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -31,23 +31,18 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first())
 
 
-def smallest_reachable(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def smallest_reachable(edges: DataFrame) -> DataFrame:
     """(node, component) of every node with an edge; ``edges`` has a and b.
 
     Self-loops, repeats and either direction are allowed; nulls are dropped.
     """
-    spark = edges.sparkSession
-    edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    mark = _mark(edges)
-    for _ in range(rounds):
-        if not mark[0]:
-            break
-        edges = written(_small(written(_large(edges).distinct(), "large")).distinct(), "small")
-        free_shuffles(spark)
+    scratch = Scratch(edges.sparkSession, "components")
+    edges = scratch.keep(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges-0")
+    mark, before, step = _mark(edges), None, 0
+    while mark[0] and mark != before:
+        large = scratch.keep(_large(edges).distinct(), f"large-{step}")
+        edges = scratch.keep(_small(large).distinct(), f"edges-{step + 1}")
         before, mark = mark, _mark(edges)
-        if mark == before:
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    nodes = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return nodes
+        scratch.drop(f"large-{step}", f"edges-{step}")
+        step += 1
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -11,13 +11,20 @@ Within a cell the Manhattan bound is tested first, then the exact distance.
 
 Only distinct fingerprints are joined; copies follow their fingerprint. A cell
 gives the edges of a spanning forest of its links, not all pairs. A cell of more
-than ``CELL_ROWS`` fingerprints is cut into chunks, and each pair of chunks is a
+than ``CELL_ROWS`` fingerprints is cut finer by the bits themselves: links differ
+in four bits at most, so they agree in all bits of some pair of groups, and then
+in one of ``PIECES`` pieces of the other bits. A finer cell fixes about 30 bits;
+one that is still too large is cut into chunks, and each pair of chunks is a
 task of its own, so no task holds more than two chunks.
 
 Defined results: a null or empty text has fingerprint zero and links like any
 other; a row with a null doc_id gets its fingerprint but a null component and
 links nothing; repeated rows come back each; an empty table gives no rows; other
-columns are unread.
+columns are unread. Where one document of each group stays (``one_of_each``) rows
+are nodes of their own, so two texts under one doc_id are told apart: of a group
+the row with the smallest doc_id stays (then by a hash of the text), one of rows
+equal in both; rows without a doc_id all stay; all other columns, of any names,
+are kept.
 """
 
 from __future__ import annotations
@@ -29,13 +36,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, free_shuffles, id_and_text, written
+from .common import Scratch, arrow_map, id_and_text, quoted
 from .components import smallest_reachable
 
 SEED, SHINGLE, NEAR = 42, 4, 4
 CELL_ROWS = 4096
 #: Bit ranges of the six groups of segments.
 GROUPS = ((0, 10), (10, 20), (20, 30), (30, 40), (40, 52), (52, 64))
+PIECES = NEAR + 1
 
 
 def fingerprint(text: str | None) -> int:
@@ -184,30 +192,47 @@ def cell_edges(cells: DataFrame) -> DataFrame:
     return cells.select("c1", "c2", "c3", "fp", "rep").mapInArrow(run, "a bigint, b bigint")
 
 
+def bits(places) -> int:
+    return signed(sum(1 << k for k in places))
+
+
+def grid() -> list[tuple[int, int, list[int]]]:
+    """(number, mask, masks of the finer cells) of each pair of groups."""
+    out = []
+    for t, pair in enumerate(combinations(GROUPS, 2)):
+        own = {k for a, b in pair for k in range(a, b)}
+        rest = [k for k in range(64) if k not in own]
+        out.append((t, bits(own), [bits(own | set(rest[j::PIECES])) for j in range(PIECES)]))
+    return out
+
+
 def links(distinct: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Edges between representatives of (fp, rep), fp distinct."""
-    masks = []
-    for (a, b), (c, d) in combinations(GROUPS, 2):
-        masks.append(signed(((1 << b) - (1 << a)) | ((1 << d) - (1 << c))))
     emb = distinct.withColumn("emb", embedding(F.col("fp")))
-    cell = F.explode(F.array(*[F.struct(F.lit(t).alias("c1"), F.col("emb").bitwiseAND(F.lit(m)).alias("c2")) for t, m in enumerate(masks)]))
-    cells = emb.select("fp", "rep", cell.alias("c")).select("c.c1", "c.c2", "fp", "rep")
-    large = cells.groupBy("c1", "c2").count().where(F.col("count") > cell_rows).select("c1", "c2", F.ceil(F.col("count") / cell_rows).cast("int").alias("chunks"))
+    coarse = F.array(*[F.struct(F.lit(t).alias("c1"), F.col("emb").bitwiseAND(F.lit(m)).alias("c2")) for t, m, _ in grid()])
+    cells = emb.select("fp", "rep", F.explode(coarse).alias("c")).select("c.c1", "c.c2", "fp", "rep")
+    full = cells.groupBy("c1", "c2").count().where(F.col("count") > cell_rows).select("c1", "c2", F.lit(True).alias("full"))
+    cells = cells.join(full, ["c1", "c2"], "left")
+    fine = F.array(*[F.struct(F.lit(100 + 10 * t + j).alias("c1"), F.col("fp").bitwiseAND(F.lit(m)).alias("c2")) for t, _, masks in grid() for j, m in enumerate(masks)])
+    own = F.slice(fine, F.col("c1") * PIECES + 1, F.lit(PIECES))
+    cells = cells.select("fp", "rep", "full", F.explode(F.when(F.col("full"), own).otherwise(F.array(F.struct("c1", "c2")))).alias("c"))
+    cells = cells.select("c.c1", "c.c2", "fp", "rep", "full")
+    large = cells.where("full").groupBy("c1", "c2").count().where(F.col("count") > cell_rows).select("c1", "c2", F.ceil(F.col("count") / cell_rows).cast("int").alias("chunks"))
     cells = cells.join(large, ["c1", "c2"], "left")
-    own = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("chunks")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.least(own, k) * F.col("chunks") + F.greatest(own, k))
+    part = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("chunks")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.least(part, k) * F.col("chunks") + F.greatest(part, k))
     cells = cells.withColumn("c3", F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(-1))).otherwise(pairs)))
-    return cell_edges(cells.drop("chunks").repartition("c1", "c2", "c3").sortWithinPartitions("c1", "c2", "c3"))
+    return cell_edges(cells.repartition("c1", "c2", "c3").sortWithinPartitions("c1", "c2", "c3"))
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (hexadecimal), component_id of (doc_id, text)."""
-    spark = docs.sparkSession
-    prints = written(fingerprints(docs), "fingerprints")
-    distinct = written(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-    edges = written(links(distinct).distinct(), "links")
-    free_shuffles(spark)
+    scratch = Scratch(docs.sparkSession, "simhash")
+    prints = scratch.keep(fingerprints(docs), "fingerprints")
+    distinct = scratch.keep(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
+    edges = scratch.keep(links(distinct).distinct(), "links")
     groups = smallest_reachable(edges)
+    scratch.drop("links")
     by_print = distinct.join(groups, distinct.rep == groups.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     out = prints.join(by_print, "fp", "left")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
@@ -215,17 +240,27 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """All columns of the documents that stay: of each group of near duplicates
-    the one with the smallest doc_id, once; documents without a doc_id stay.
+    """All columns of the rows that stay, one of each group of near duplicates.
 
-    The texts are shuffled once, by doc_id, to meet the ids that stay.
+    The texts are shuffled once, by id and hash, to meet the keys that stay.
     """
-    spark = docs.sparkSession
-    groups = written(near_groups(id_and_text(docs)), "groups")
-    free_shuffles(spark)
-    stay = groups.where("doc_id = component_id").select(F.col("doc_id").alias("stays"))
-    known = docs.join(stay.distinct(), docs["doc_id"] == F.col("stays"), "left_semi").dropDuplicates(["doc_id"])
-    return known.unionByName(docs.where("doc_id is null"))
+    scratch = Scratch(docs.sparkSession, "one-of-each")
+    plain = id_and_text(docs)
+
+    def build():
+        return lambda ids, hashes, texts: {"doc_id": ids, "hash": hashes, "fp": [signed(fingerprint(t)) for t in texts]}
+
+    prints = arrow_map(plain.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("hash"), "text"), "doc_id bigint, hash bigint, fp bigint", build)
+    distinct = scratch.keep(prints.groupBy("fp").agg(F.min(F.struct("doc_id", "hash")).alias("k")), "distinct")
+    edges = scratch.keep(links(distinct.select("fp", F.col("fp").alias("rep"))).distinct(), "links")
+    groups = smallest_reachable(edges)
+    scratch.drop("links")
+    each = distinct.join(groups, distinct.fp == groups.node, "left").groupBy(F.coalesce("component", "fp").alias("g")).agg(F.min("k").alias("k"))
+    stay = scratch.keep(each.select(F.col("k.doc_id").alias("s_id"), F.col("k.hash").alias("s_hash")).distinct(), "stay")
+    rows = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"), F.col("doc_id").cast("bigint").alias("k_id"),
+                       F.xxhash64(F.col("text").cast("string")).alias("k_hash"))
+    met = rows.join(stay, (F.col("k_id") == F.col("s_id")) & (F.col("k_hash") == F.col("s_hash")), "left_semi").dropDuplicates(["k_id", "k_hash"])
+    return met.unionByName(rows.where("k_id is null")).select("row.*")
 
 
 def op5_simhash_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
