@@ -7,8 +7,8 @@ read a text again: they are bitwise operations on the ledger, and a histogram of
 the distinct bit sets (at most 2 to the number of rules) answers all of them.
 
 Words are runs without space, tab, line feed, vertical tab, form feed or
-carriage return. Repeated windows are compared by 64-bit hashes of five word
-hashes within one document.
+carriage return. Repeated windows are sought by hashes of five word hashes; in
+the texts where a hash repeats, the words themselves are compared.
 
 Defined results: a null or empty text has no words and fails the word count;
 repeated rows get a row each; an empty table gives no rows; other columns are
@@ -19,11 +19,12 @@ of its window hashes, made only where some window repeats.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_and_text, spread
+from .common import Scratch, id_and_text, quoted, spread, table
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -90,7 +91,7 @@ def measure(docs: DataFrame, key: str = "doc_id") -> DataFrame:
         settled(F.filter(F.split("text", "\n"), lambda line: F.length(F.translate(line, SPACES, "")) > 0)).alias("lines"),
     )
     d = d.select(
-        key, "word_chars", "n_symbols",
+        key, "word_chars", "n_symbols", "words",
         F.size("words").cast("bigint").alias("n_words"),
         F.size("lines").cast("bigint").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"),
@@ -102,11 +103,10 @@ def measure(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     d = d.withColumn("windows", settled(windows)).drop("hashes")
     # most texts repeat no window: theirs need no sort
     pairs = F.when(F.size(F.array_distinct("windows")) < F.size("windows"),
-                   F.sort_array(F.transform("windows", lambda h, k: F.struct(h.alias("h"), k.alias("k")))))
-    d = d.withColumn("pairs", settled(pairs)).drop("windows")
-    h = lambda k: F.get("pairs", k)["h"]
-    starts = F.sort_array(F.transform(
-        F.filter("pairs", lambda p, k: h(k - 1).eqNullSafe(p["h"]) | h(k + 1).eqNullSafe(p["h"])), lambda p: p["k"]))
+                   F.sort_array(F.transform("windows", lambda h, k: F.struct(h.alias("h"), F.array_join(F.slice("words", k + 1, WINDOW), " ").alias("w"), k.alias("k")))))
+    d = d.withColumn("pairs", settled(pairs)).drop("windows", "words")
+    same = lambda p, k: F.get("pairs", k)["h"].eqNullSafe(p["h"]) & F.get("pairs", k)["w"].eqNullSafe(p["w"])
+    starts = F.sort_array(F.transform(F.filter("pairs", lambda p, k: same(p, k - 1) | same(p, k + 1)), lambda p: p["k"]))
     d = d.withColumn("starts", settled(starts)).drop("pairs")
     return d.withColumn("n_repeat_words", settled(F.coalesce(repeated_words(F.col("starts")), F.lit(0).cast("bigint")))).drop("starts")
 
@@ -130,7 +130,7 @@ def verdicts(book: DataFrame, version: str = CURRENT) -> DataFrame:
 def kept_rows(docs: DataFrame, version: str = CURRENT) -> DataFrame:
     """The rows of ``docs``, with all their columns, that a policy keeps."""
     docs = spread(docs)
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
+    whole = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
     return verdicts(ledger(whole, "row"), version).where("kept").select("row.*")
 
 
@@ -157,12 +157,24 @@ def by_group(docs_book: DataFrame, key: str) -> DataFrame:
 COLUMNS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
 
 
+def stored(docs: DataFrame) -> DataFrame:
+    """The ledger of (doc_id, text), written once; policies and ablations read it."""
+    return Scratch(docs.sparkSession, "ledger").keep(ledger(docs), "rows")
+
+
 def op4_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return verdicts(ledger(id_and_text(spark.read.parquet(f"{sf_dir}/documents.parquet")))).select(*COLUMNS)
+    return verdicts(stored(id_and_text(table(spark, sf_dir, "documents")))).select(*COLUMNS)
+
+
+def ledger_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy fails, alone and in all: from the stored ledger."""
+    book = stored(id_and_text(table(spark, sf_dir, "documents")))
+    out = [ablations(book, version) for version in POLICIES]
+    return reduce(DataFrame.unionByName, out)
 
 
 _SQL_BITS = " | ".join(f"(CASE WHEN {r.failed} THEN {BIT[r.name]} ELSE 0 END)" for r in RULES)
-OP4_SQL = rf"""
+_SQL_BOOK = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT rid, doc_id, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
              list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
@@ -176,6 +188,12 @@ m AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words,
              CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
              CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN c USING (rid)),
 b AS (SELECT *, CAST({_SQL_BITS} AS BIGINT) AS fail_bits FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+"""
+OP4_SQL = _SQL_BOOK + f"""SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (fail_bits & {BASE}) <> 0 AS base_failed, (fail_bits & {POLICIES[CURRENT].mask | BASE}) = 0 AS kept, fail_bits FROM b
 """
+_SQL_RULES = " UNION ALL ".join(f"SELECT '{p.version}' AS policy, '{r.name}' AS rule, {BIT[r.name]} AS bit, {p.mask} AS mask" for p in POLICIES.values() for r in RULES if BIT[r.name] & p.mask)
+ABLATIONS_SQL = _SQL_BOOK + f""", p AS ({_SQL_RULES})
+SELECT policy, rule, CAST(count(*) FILTER ((fail_bits & bit) <> 0) AS BIGINT) AS n_failed, CAST(count(*) FILTER ((fail_bits & mask) = bit) AS BIGINT) AS n_failed_alone,
+       CAST(count(*) FILTER ((fail_bits & mask) = 0) AS BIGINT) AS n_kept FROM b, p GROUP BY 1, 2
+"""
