@@ -5,7 +5,7 @@ import pytest
 
 import brute
 from veracell.llm import chat, components, decontaminate, fm_index, simhash, suffix_dedup
-from veracell.llm.common import id_and_text
+from veracell.llm.common import Scratch, id_and_text
 
 
 def test_fingerprints_and_components(docs, table, texts, rowless):
@@ -49,6 +49,40 @@ def test_cells_lose_no_link(spark, cell_rows):
     assert {k: got.get(k, k) for k in rows} == want
 
 
+def test_full_cells_of_equal_bits_are_cut_finer(spark):
+    """Fingerprints that differ in a few low bits only: one cell of the grid holds all."""
+    r = random.Random(4)
+    prints = sorted({(0x123456789ABC << 16) | r.getrandbits(16) for _ in range(300)})
+    df = spark.createDataFrame([(simhash.signed(p), k) for k, p in enumerate(prints)], "fp bigint, rep bigint")
+    got = {x.node: x.component for x in components.smallest_reachable(simhash.links(df, 8)).collect()}
+    assert {k: got.get(k, k) for k in range(len(prints))} == brute.components(dict(enumerate(prints)))
+
+
+def test_rows_stay_by_row_whatever_their_id_and_columns(spark):
+    rows = [(5, "one two three four five"), (5, "quite other words are in this text"), (6, "one two three four five"), (None, "one two three four five"),
+            (None, "a text without id that stays"), (7, "twice the same row here"), (7, "twice the same row here")]
+    df = spark.createDataFrame([(i, t, k, "x") for k, (i, t) in enumerate(rows)], "doc_id bigint, text string, stays int, `a``b` string")
+    out = simhash.one_of_each(df)
+    assert out.columns == df.columns
+    assert sorted((str(r.doc_id), r.text) for r in out.collect()) == sorted(
+        [("5", rows[0][1]), ("5", rows[1][1]), ("None", rows[3][1]), ("None", rows[4][1]), ("7", rows[5][1])])
+    assert simhash.one_of_each(df.limit(0)).count() == 0
+
+
+def test_very_long_texts(table):
+    r = random.Random(5)
+    long = " ".join("".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(60_000))
+    passage = "jumps over the lazy dog while seven wise wizards mix a very potent brew"
+    docs = table([(1, long + " " + passage), (2, long), (3, "short one")])
+    rows = {x.doc_id: x for x in simhash.near_groups(id_and_text(docs)).collect()}
+    assert int(rows[1].fingerprint, 16) == brute.simhash(long + " " + passage) and rows[1].component_id == rows[2].component_id == 1
+    cut = {x.doc_id: x for x in suffix_dedup.deduplicated(id_and_text(docs)).collect()}
+    assert cut[2].n_removed == len(long) and cut[1].n_removed == 0
+    bench = docs.sparkSession.createDataFrame([("b", passage)], "item_id string, text string")
+    hit = {x.doc_id: x for x in decontaminate.contamination(id_and_text(docs), bench).collect()}
+    assert hit[1].n_hit == 14 and hit[2].n_hit == 0 and hit[1].n_words == 60_014
+
+
 def test_the_embedding_is_a_lower_bound():
     r = np.random.RandomState(1)
     a, b = (r.randint(0, 1 << 62, 5000, dtype=np.int64).view(np.uint64) for _ in range(2))
@@ -85,6 +119,12 @@ def test_long_texts_are_cut_into_pieces(table, monkeypatch):
     assert sorted(starts) == list(range(1401)) and len(parts) > 3
 
 
+@pytest.mark.parametrize("n", [1, 5, 40, 99, 100])
+def test_tables_of_short_texts_only(table, n):
+    rows = suffix_dedup.deduplicated(id_and_text(table([(1, "x" * n), (2, "x" * n)]))).collect()
+    assert sorted((r.doc_id, r.n_removed) for r in rows) == [(1, 0), (2, 100 * (n == 100))]
+
+
 def test_rows_without_id_or_twice(table):
     r = random.Random(1)
     t = "".join(r.choice("abcdefgh ") for _ in range(300))
@@ -118,7 +158,7 @@ def test_contamination(spark, table, texts, rowless, block_bytes, shard_words):
     assert rows[1].contaminated and not rows[6].contaminated and rows[9].n_items == 1
     assert decontaminate.contamination(id_and_text(rowless), b).count() == 0
     assert {r.n_hit for r in decontaminate.contamination(id_and_text(table([(1, "a b")])), b.limit(0)).collect()} == {0}
-    out = {r.doc_id: r for r in decontaminate.cleaned(table(list(texts.items())), b, shard_words=shard_words).collect()}
+    out = {r.doc_id: r for r in decontaminate.cleaned(table(list(texts.items())), b, shard_words=shard_words, block_bytes=block_bytes).collect()}
     assert "lazy" not in out[1].text and out[6].text == texts[6] and out[2].text is None and out[1].kg == 1
 
 
@@ -126,7 +166,7 @@ def test_contamination(spark, table, texts, rowless, block_bytes, shard_words):
 def test_contamination_judges_each_row_of_a_repeated_id(spark, table, texts, block_bytes):
     bench = {"7": "jumps over the lazy dog while seven wise wizards mix a very potent brew", "3": "straße", "w": " ".join(f"w{k}" for k in range(690, 699))}
     b = spark.createDataFrame(list(bench.items()), "item_id string, text string")
-    assert (len(decontaminate.blocks(b, block_bytes)) > 1) == (block_bytes == 60)
+    assert (len(decontaminate.blocks(b, Scratch(spark, "test"), block_bytes)) > 1) == (block_bytes == 60)
     one, two = "say jumps over the lazy dog while seven wise wizards mix a very potent brew", "straße"
     rows = [(None, one), (None, "clean"), (None, None), (5, one), (5, two), (5, two), (5, f"{one} {two}"), *texts.items()]
     want = brute.contamination({k: t for k, (_, t) in enumerate(rows)}, bench)

@@ -22,4 +22,4 @@ def test_stages_keep_columns_and_clean_documents(spark, tmp_path):
 
 
 def test_eleven_queries():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")) == list(range(1, 11))

@@ -200,3 +200,31 @@ def test_policies_and_ablations_need_no_text(docs):
 def test_kept_rows_have_all_columns(docs):
     out = quality.kept_rows(docs)
     assert out.columns == docs.columns and 1 in {r.doc_id for r in out.collect()}
+
+
+def test_any_column_names_and_repeated_rows(spark):
+    text = "these are ten and more plain words that no rule of quality rejects here"
+    df = spark.createDataFrame([(1, text, 0)] * 3 + [(None, "few", 1)], "doc_id bigint, text string, `a``b` int")
+    assert [r.text for r in quality.kept_rows(df).collect()] == [text] * 3
+    assert quality.ledger(id_and_text(df)).count() == 4
+
+
+def test_windows_are_compared_by_words(spark):
+    r = random.Random(6)
+    texts = {k: " ".join(r.choice("abc") for _ in range(r.randint(5, 60))) for k in range(200)}
+    texts[200] = " ".join(f"w{k}" for k in range(40_000)) + " w1 w2 w3 w4 w5"
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    for x in quality.verdicts(quality.ledger(df)).collect():
+        assert (x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words, x.base_failed) == brute.quality(texts[x.doc_id])
+
+
+def test_ledger_queries_against_their_sql(spark):
+    import duckdb
+
+    db = duckdb.connect()
+    db.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    for f, sql in ((quality.ledger_ablations, quality.ABLATIONS_SQL), (quality.op4_rule_ledger, quality.OP4_SQL)):
+        out = f(spark, "/root/testdata/sf0.001")
+        names = sorted(out.columns)
+        want = db.execute(f"SELECT {', '.join(names)} FROM ({sql})").fetchall()
+        assert sorted(map(str, (tuple(r) for r in out.select(*names).collect()))) == sorted(map(str, want))

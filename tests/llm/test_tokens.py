@@ -102,3 +102,32 @@ def test_memo_is_bounded(monkeypatch):
         assert " ".join(x[1] for x in c.encode([text])[0]) == " ".join(map(str, c.tok.encode(text, add_special_tokens=False).ids))
         assert e.encode([text])[0] == e._library([text])[0]
         assert len(c.memo) <= 90 and len(e.memo) <= 90
+
+
+def test_very_long_texts_and_repeated_rows(spark, table):
+    long = "Some words, and 12 numbers; x" + "y" * 5000 + " é ü\n" * 20_000 + "tail  of   it " * 20_000
+    df = table([(1, long), (1, long), (2, "a b"), (None, "a b")])
+    tok, word, sp = vocab.hf("byte_bpe_50k.json"), vocab.hf("word_bpe_49k.json"), vocab.sp("piece_bpe_32k.model")
+    _, back = read_back(spark, id_and_text(df))
+    want = tok.encode(long, add_special_tokens=False).ids + [2]
+    rows = [r for r in back.collect() if r.doc_id == 1]
+    assert [(r.n_tokens, r.ids_crc32) for r in rows] == [(len(want), brute.crc(want))] * 2
+    assert sorted(r.n_tokens for r in token_counts.count_tokens(id_and_text(df)).collect()) == sorted([len(sp.encode(long))] * 2 + [len(sp.encode("a b"))] * 2)
+    n = len(word.encode(long, add_special_tokens=False).ids)
+    assert sorted(r.n_tokens for r in pair_bpe.encode(id_and_text(df)).collect()) == [2, 2, n, n]
+
+
+def test_vocabularies_that_texts_cannot_be_cut_for():
+    with pytest.raises(ValueError):
+        token_files.PieceEncoder("word_bpe_49k.json")
+    with pytest.raises(ValueError):
+        pair_bpe.PairCoder("byte_bpe_50k.json")
+
+
+def test_ranks_that_do_not_ascend_are_merged_by_the_library(monkeypatch):
+    coder = pair_bpe.PairCoder("word_bpe_49k.json")
+    coder.index.ascending = False
+    text = "internationalization of strange wörds, 123 & more"
+    ids = " ".join(x[1] for x in coder.encode([text])[0])
+    assert ids == " ".join(map(str, coder.tok.encode(text, add_special_tokens=False).ids))
+    assert coder.decode(ids) == coder.tok.decode(list(map(int, ids.split())), skip_special_tokens=False)

@@ -79,6 +79,9 @@ def runs(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray):
     ``starts`` and ``sizes`` are of the pieces laid end to end in ``data``.
     """
     n, span = len(data), DEPTH - GRAM + 1
+    if n < DEPTH:
+        none = np.empty(0, np.int64)
+        return none, none, none, none, np.empty(0, np.uint64)
     hashes = gram_hashes(data)
     low = (hashes & ~np.uint64((1 << _POSITION) - 1)) | np.arange(n, dtype=np.uint64)
     size = 1
@@ -307,6 +310,7 @@ def radix_passes(cut: DataFrame, scratch: Scratch) -> DataFrame:
         digit = F.substring("w", 1, depth) if depth < DEPTH else F.col("w")
         cut = cut.withColumn("d", digit)
         groups = cut.groupBy("kg", "d").agg(F.min(F.struct("doc", "p")).alias("first"), F.count("*").alias("m")).where("m > 1")
+        groups = scratch.keep(groups, f"groups-{k}")  # so that the join below reads plain shuffles, which can be split
         if depth < DEPTH:
             cut = scratch.keep(cut.join(groups.select("kg", "d"), ["kg", "d"], "left_semi").drop("d"), f"pass-{k}")
             if k:
@@ -345,7 +349,7 @@ def deduplicated(docs: DataFrame, texts: bool = False, group_runs: int = GROUP_R
     scratch = Scratch(docs.sparkSession, "suffix-dedup")
     spans = repeated_spans(docs, scratch, group_runs).groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     spans = scratch.keep(spans, "spans")
-    scratch.drop("runs", "classes", "contexts", *(f"pass-{k}" for k in range(len(DEPTHS))))
+    scratch.drop("runs", "classes", "contexts", *(f"{name}-{k}" for name in ("pass", "groups") for k in range(len(DEPTHS))))
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + texts]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
 
