@@ -76,8 +76,9 @@ def robust_z(x: Column, median: Column, mad: Column) -> Column:
     return F.least(F.lit(1.0), F.abs(x - median) / F.greatest(mad, F.lit(1e-9)) / 8)
 
 
-def hash_bucket(v: Column, n: int) -> Column:
-    return F.pmod(F.conv(F.substring(F.md5(v.cast("string")), 1, 8), 16, 10).cast("bigint"), F.lit(n))
+def hash_bucket(v: Column, n: int | Column) -> Column:
+    n = n if isinstance(n, Column) else F.lit(n)
+    return F.pmod(F.conv(F.substring(F.md5(v.cast("string")), 1, 8), 16, 10).cast("bigint"), n)
 
 
 def modulo_share(x: Column, n: int) -> Column:

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veracell.functions import numeric
+
 
 def normalised(v: Column) -> Column:
     """Null words become <NA>, numbers one spelling, text lower case."""
@@ -78,14 +80,26 @@ def sequence_ratio(a: Column, b: Column) -> Column:
 
 
 def looks_like_typo(a: Column, b: Column, least: float = 0.85) -> Column:
-    return (a != b) & (sequence_ratio(a, b) >= least)
+    """Different, but with matching blocks of ``least`` of both lengths. Blocks that
+    match are at most what no edit touches: only pairs that pass that bound in the
+    JVM reach Python."""
+    n, m = F.length(a), F.length(b)
+    # each edit leaves one character of one side unmatched, or of both
+    most = n + m - F.greatest(F.abs(n - m), F.levenshtein(a, b))
+    near = (a != b) & (most >= least * (n + m))
+    return near & F.coalesce(sequence_ratio(F.when(near, a), F.when(near, b)) >= least, F.lit(False))
 
 
 def made_errors(seeds: DataFrame, column: str, family: str) -> DataFrame:
-    """Deliberately wrong values of one family from clean ones."""
+    """Deliberately wrong values of one family from clean ones. ``relationship`` takes
+    the next of the values that share a bucket of 64."""
     v = F.col(column).cast("string")
-    wrong = {"missing": F.element_at(F.array(*map(F.lit, ("", "n/a", "null"))), (F.pmod(F.xxhash64(v), F.lit(3)) + 1).cast("int")), "pattern": F.concat(v, F.lit("#?")), "outlier": F.when(v.rlike(r"^-?\d+(\.\d+)?$"), (v.try_cast("double") * 1000).cast("string")).otherwise(F.repeat(v, 3)),
-             "relationship": F.lead(v).over(Window.partitionBy(F.pmod(F.xxhash64(v), F.lit(64))).orderBy(v))}
+    blank = F.element_at(F.array(*map(F.lit, ("", "n/a", "null"))), (numeric.hash_bucket(v, 3) + 1).cast("int"))
+    wrong = {
+        "missing": blank, "pattern": F.concat(v, F.lit("#?")),
+        "outlier": F.when(v.rlike(r"^-?\d+(\.\d+)?$"), (v.try_cast("double") * 1000).cast("string")).otherwise(F.repeat(v, 3)),
+        "relationship": F.lead(v).over(Window.partitionBy(numeric.hash_bucket(v, 64)).orderBy(v)),
+    }
     if family not in wrong:
         raise ValueError(f"unknown family {family}")
     return seeds.select(v.alias("clean"), wrong[family].alias("wrong"), F.lit(family).alias("family")).where("not (clean <=> wrong) and wrong is not null")

@@ -7,10 +7,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veracell.functions import numeric
+
 
 def typo(v: Column, seed: Column) -> Column:
     """One character doubled at a place the seed decides."""
-    at = F.pmod(F.abs(F.hash(seed)), F.greatest(F.length(v), F.lit(1))) + 1
+    at = numeric.hash_bucket(seed, F.greatest(F.length(v), F.lit(1))) + 1
     return F.concat(F.substring(v, F.lit(1), at), F.substring(v, at, F.lit(1)), F.substring(v, at + 1, F.lit(1 << 20)))
 
 
@@ -28,11 +30,27 @@ def corrupted(df: DataFrame, key: str, column: str, every: int = 50) -> DataFram
 
 
 def fd_violations_made(df: DataFrame, key: str, determinant: str, dependent: str, every: int = 50) -> DataFrame:
-    """Each ``every``-th row takes the dependent value of the next determinant."""
-    groups = df.groupBy(determinant).agg(F.min(dependent).alias("own"))
-    nxt = groups.select(determinant, F.coalesce(F.lead("own").over(Window.orderBy(determinant)), F.col("own")).alias("other"))  # a row a determinant
+    """Each ``every``-th row takes the dependent value of the next determinant, by
+    value; under the last one it keeps its own."""
+    groups = df.groupBy(F.col(determinant).alias("_d")).agg(F.min(dependent).alias("other"))
     hit = F.pmod(F.col(key), F.lit(every)) == 0
-    return df.join(F.broadcast(nxt), determinant).withColumn(dependent, F.when(hit, F.col("other")).otherwise(F.col(dependent))).drop("other")
+    joined = df.join(_following(groups), F.col(determinant) == F.col("_from"), "left")
+    return joined.withColumn(dependent, F.when(hit, F.coalesce("other", F.col(dependent))).otherwise(F.col(dependent))).drop("_from", "other")
+
+
+def _parted(rows: DataFrame, *order: str) -> DataFrame:
+    """The rows in global order, sorted inside range partitions, with ``_p``, the partition."""
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
+
+
+def _following(groups: DataFrame) -> DataFrame:
+    """_from and the ``other`` of the next row in order of _d: a lead inside ranges,
+    and for a range's last row the first one of the next."""
+    rows = _parted(groups, "_d").persist()
+    heads = rows.groupBy("_p").agg(F.min_by("other", "_d").alias("head"))
+    beyond = heads.select("_p", F.lead("head").over(Window.orderBy("_p")).alias("beyond"))  # a row a partition
+    inside = F.lead(F.struct("other")).over(Window.partitionBy("_p").orderBy("_d"))
+    return rows.withColumn("n", inside).join(F.broadcast(beyond), "_p").select(F.col("_d").alias("_from"), F.when(F.col("n").isNotNull(), F.col("n.other")).otherwise(F.col("beyond")).alias("other"))
 
 
 def serialised(df: DataFrame, columns: list[str]) -> Column:
@@ -41,9 +59,15 @@ def serialised(df: DataFrame, columns: list[str]) -> Column:
 
 
 def encoded(df: DataFrame, column: str, order: str = "row_idx") -> DataFrame:
-    """Values numbered from 1 in order of first appearance; one row a value."""
+    """Values numbered from 1 in order of first appearance; one row a value.
+
+    Places inside range partitions, plus the values of the partitions before."""
     first = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.min(order).alias("first_row"))
-    return first.withColumn("id", F.row_number().over(Window.orderBy("first_row", "value")).cast("bigint"))
+    rows = _parted(first, "first_row", "value").persist()
+    sizes = rows.groupBy("_p").agg(F.count("*").alias("n"))
+    before = sizes.select("_p", (F.sum("n").over(Window.orderBy("_p")) - F.col("n")).alias("before"))  # a row a partition
+    place = F.row_number().over(Window.partitionBy("_p").orderBy("first_row", "value"))
+    return rows.withColumn("place", place).join(F.broadcast(before), "_p").select("value", "first_row", (F.col("place") + F.col("before")).cast("bigint").alias("id"))
 
 
 def key_blocks(d: DataFrame, key: str, rows: int, most: int = 4096) -> DataFrame:

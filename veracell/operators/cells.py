@@ -18,10 +18,17 @@ def with_rows(df: DataFrame, key: str) -> DataFrame:
 
 
 def numbered(df: DataFrame) -> DataFrame:
-    """Contiguous ``row_idx`` in file order, for tables without a key: one count
-    of each partition, then positions within them; no sort and no shuffle."""
-    schema = df.schema.add("row_idx", "long", False)
-    return df.rdd.zipWithIndex().map(lambda r: (*r[0], r[1])).toDF(schema)
+    """Contiguous ``row_idx`` in file order, for tables without a key: one count of
+    each partition, then the place in it plus the rows of those before; no sort,
+    no shuffle, and no row leaves the JVM."""
+    placed = df.withColumn("_at", F.monotonically_increasing_id())
+    part = F.shiftright("_at", 33)
+    sizes = placed.select(part.alias("p")).groupBy("p").agg(F.count("*").alias("n"))
+    starts = {r.p: r.start for r in sizes.select("p", (F.sum("n").over(Window.orderBy("p")) - F.col("n")).alias("start")).collect()}  # a row a partition
+    if not starts:
+        return placed.withColumn("row_idx", F.col("_at")).drop("_at")
+    start = F.element_at(F.array(*[F.lit(starts.get(p, 0)).cast("bigint") for p in range(max(starts) + 1)]), (part + 1).cast("int"))
+    return placed.withColumn("row_idx", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + start).drop("_at")
 
 
 def cells(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -58,7 +65,11 @@ def round_robin(df: DataFrame, group: str, order: list, n: int) -> DataFrame:
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    """One row: count, and order-free sums over hashes of rows with their index."""
-    h = F.xxhash64(*df.columns)
-    return df.agg(F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.sum(F.pmod(h, F.lit(1 << 31))).alias("s")).select(
-        "n", F.sha2(F.concat_ws("|", F.lit(df.schema.simpleString()), F.col("n").cast("string"), F.col("x").cast("string"), F.col("s").cast("string")), 256).alias("sha256"))
+    """One row: count, and a hash over sums of the rows' hashes. A row's hash takes
+    in its ``row_idx``, so the order of rows counts, and tells null from any text."""
+    if "row_idx" not in df.columns:
+        raise ValueError("a fingerprint needs row_idx, the order of the rows")
+    row = F.concat_ws("\x1f", *[F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`").cast("string")), F.lit("-")) for c in df.columns])
+    h = F.conv(F.substring(F.md5(row), 1, 15), 16, 10).cast("bigint")
+    return df.agg(F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.sum(h.cast("decimal(20,0)")).alias("s")).select(
+        "n", F.sha2(F.concat_ws("|", F.lit(df.schema.simpleString()), F.col("n").cast("string"), F.coalesce(F.col("x"), F.lit(0)).cast("string"), F.coalesce(F.col("s"), F.lit(0)).cast("string")), 256).alias("sha256"))

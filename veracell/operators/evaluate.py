@@ -65,3 +65,33 @@ def key_check(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     y = b.groupBy(key).agg(F.count("*").alias("n_right"))
     j = x.join(y, key, "full_outer").na.fill(0, ["n_left", "n_right"])
     return j.where((F.col("n_left") != 1) | (F.col("n_right") != 1))
+
+
+def column_errors(truths: DataFrame, n: int = 5) -> DataFrame:
+    """column, error type, number, share of the column's rows and the first examples."""
+    total = truths.groupBy("column").agg(F.count("*").alias("n_rows"))
+    wrong = truths.where("label = 1").withColumn("error_type", error_type(F.col("dirty"), F.col("clean")))
+    shown = F.concat(F.coalesce("dirty", F.lit("(null)")), F.lit(" -> "), F.coalesce("clean", F.lit("(null)")))
+    rank = F.row_number().over(Window.partitionBy("column", "error_type").orderBy("row_idx"))
+    first = wrong.select("column", "error_type", "row_idx", shown.alias("shown")).withColumn("r", rank).where(F.col("r") <= n)
+    examples = first.groupBy("column", "error_type").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "shown"))), lambda e: e["shown"]), "; ").alias("examples"))
+    counts = wrong.groupBy("column", "error_type").agg(F.count("*").alias("n")).join(F.broadcast(total), "column")  # a row a column
+    return counts.join(examples, ["column", "error_type"]).select("column", "error_type", "n", (F.col("n") / F.col("n_rows")).alias("rate"), "examples")
+
+
+def typed_metrics(flags: DataFrame) -> DataFrame:
+    """Recall of each error type, and over all the share of dirty cells whose
+    proposed repair is right; of (predicted, label, dirty, clean, repair)."""
+    wrong = flags.where("label = 1").withColumn("error_type", error_type(F.col("dirty"), F.col("clean")))
+    right = F.col("repair").eqNullSafe(F.col("clean"))
+    return wrong.rollup("error_type").agg(F.count("*").alias("n"), F.count_if(F.col("predicted") == 1).alias("found"), F.count("repair").alias("n_repairs"), F.count_if(F.col("repair").isNotNull() & right).alias("n_right")).select(
+        F.coalesce("error_type", F.lit("<all>")).alias("error_type"), "n", "found", (F.col("found") / F.col("n")).alias("recall"), "n_repairs", "n_right",
+        F.when(F.col("n_repairs") > 0, F.col("n_right") / F.col("n_repairs")).otherwise(0.0).alias("repair_accuracy"))
+
+
+def preparation(dirty: DataFrame, clean: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """One row: rows of both tables that share a key, cells compared, cells that differ."""
+    a = dirty.select(key, *[F.col(c).cast("string").alias(f"a_{k}") for k, c in enumerate(columns)])
+    b = clean.select(key, *[F.col(c).cast("string").alias(f"b_{k}") for k, c in enumerate(columns)])
+    differ = sum((F.when(F.col(f"a_{k}").eqNullSafe(F.col(f"b_{k}")), 0).otherwise(1) for k in range(len(columns))), F.lit(0))
+    return a.join(b, key).agg(F.count("*").alias("n_rows"), (F.count("*") * len(columns)).alias("n_cells"), F.sum(differ).alias("n_differing"))

@@ -9,14 +9,20 @@ for each distinct value and joined to its cells.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veracell.functions import numeric, text
 
-OBSERVATION = "struct<source:string,family:string,polarity:string,strength:double,hard:boolean>"
+from .cells import top
+
 STRUCTURAL_SUPPORT, STRUCTURAL_RATE, ACCEPTED_RATIO = 5, 0.02, 0.05
+#: Pass ratio of the pattern rules that speaks for a cell, mismatch that speaks against it.
+PASSING, MISMATCH = 0.75, 0.55
+#: Violation rate up to which a relation is strong, share of distinct values from which a domain is open.
+STRONG_RATE, OPEN_SET = 0.10, 0.20
 
 
 @dataclass
@@ -33,6 +39,7 @@ class ColumnSpec:
     legal: tuple[str, ...] = ()
     prototypes: tuple[str, ...] = ()
     quantiles: dict[str, float] = field(default_factory=dict)
+    open_set: float = 1.0  # share of distinct values; 1 where it isn't known
     shapes: tuple[str, ...] = ()
     grammars: tuple[str, ...] = ()
     n_rows: int = 0
@@ -45,12 +52,21 @@ class ColumnSpec:
 def _obs(cond: Column, source: str, family: str, polarity: str, strength: Column | float, hard: Column | bool = False) -> Column:
     s = strength if isinstance(strength, Column) else F.lit(float(strength))
     h = hard if isinstance(hard, Column) else F.lit(hard)
-    return F.when(cond & (s > 0), F.struct(F.lit(source).alias("source"), F.lit(family).alias("family"), F.lit(polarity).alias("polarity"), s.cast("double").alias("strength"), h.alias("hard")))
+    named = [F.lit(source).alias("source"), F.lit(family).alias("family"), F.lit(polarity).alias("polarity")]
+    return F.when(cond & (s > 0), F.struct(*named, s.cast("double").alias("strength"), h.alias("hard")))
 
 
-def _emit(df: DataFrame, keys: list[str], scope: str, generated: list[Column]) -> DataFrame:
+def _kept(df: DataFrame, keys: list[str], scope: str, generated: list[Column]) -> DataFrame:
+    """The keys and ``obs``, the array of what the generators say."""
     found = F.filter(F.array(*generated), lambda o: o.isNotNull())
-    return df.select(*keys, F.lit(scope).alias("scope"), F.explode(found).alias("o")).select(*keys, "scope", "o.*")
+    scoped = F.transform(found, lambda o: F.struct(F.lit(scope).alias("scope"), *[o[c].alias(c) for c in ("source", "family", "polarity", "strength", "hard")]))
+    return df.select(*keys, scoped.alias("obs"))
+
+
+def flat(kept: DataFrame) -> DataFrame:
+    """A row for each observation of frames with an ``obs`` array."""
+    keys = [c for c in kept.columns if c != "obs"]
+    return kept.select(*keys, F.explode("obs").alias("o")).select(*keys, "o.*")
 
 
 def _spec_column(specs: list[ColumnSpec], get) -> Column:
@@ -74,20 +90,23 @@ def _common(specs: list[ColumnSpec], raw: Column):
     return matches, is_num, number, trusted, gone, legal, structural
 
 
-def value_evidence(values: DataFrame, specs: list[ColumnSpec]) -> DataFrame:
-    """Observations of (column, sig, support, first_raw)."""
+def value_arrays(values: DataFrame, specs: list[ColumnSpec]) -> DataFrame:
+    """column, sig, support and the array of observations of (column, sig,
+    support, first_raw), and of ``ratio`` if it is there: the share of the pattern
+    rules that the value's first row passes."""
     raw = F.col("first_raw")
+    ratio = F.col("ratio") if "ratio" in values.columns else F.lit(None).cast("double")
     matches, is_num, number, trusted, gone, illegal, structural = _common(specs, raw)
-    v = values.select("column", "sig", "support", "first_raw", matches.alias("_m"), is_num.alias("_n"), number.alias("_x"), trusted.alias("_t"), gone.alias("_g"), illegal.alias("_i"), structural.alias("_s"))
-    m, n, x, t, g, i = (F.col(c) for c in ("_m", "_n", "_x", "_t", "_g", "_i"))
+    v = values.select("column", "sig", "support", "first_raw", matches.alias("_m"), is_num.alias("_n"), number.alias("_x"), trusted.alias("_t"),
+                      gone.alias("_g"), illegal.alias("_i"), structural.alias("_s"), ratio.alias("_r"))
+    m, n, x, t, g, i, r = (F.col(c) for c in ("_m", "_n", "_x", "_t", "_g", "_i", "_r"))
     open_ = ~g & ~i
     rate = _spec_column(specs, lambda s: min(1.0, max(0.6, s.pattern_rate)))
     q = {p: _spec_column(specs, lambda s, p=p: F.lit(s.quantiles.get(p)).cast("double")) for p in ("p01", "p05", "p95", "p99")}
-    measure = _spec_column(specs, lambda s: s.archetype in ("numeric_measure", "unit_measure", "temporal_measure"))
-    best = _spec_column(specs, lambda s: F.greatest(F.lit(0.0), F.lit(0.0), *[text.similarity(F.trim(raw), F.lit(p)) for p in s.prototypes]) if s.prototypes else F.lit(None).cast("double"))
-    near, far = text.prototype_evidence(best)
-    has = best.isNotNull() & open_ & ~n
-    return _emit(v, ["column", "sig"], "value", [
+    open_measure = _spec_column(specs, lambda s: s.archetype in ("numeric_measure", "unit_measure", "temporal_measure") and s.open_set >= OPEN_SET)
+    near, far = text.prototype_evidence(_spec_column(specs, lambda s: nearest(raw, s.prototypes)))
+    has = _spec_column(specs, lambda s: bool(s.prototypes)) & open_ & ~n
+    return _kept(v, ["column", "sig", "support"], "value", [
         _obs(g, "missing_token", "missing", "dirty", F.when(F.col("_s"), 0.15).otherwise(1.0), ~F.col("_s")),
         _obs(~g & i, "closed_set_invalid", "outlier", "dirty", 1.0, True),
         _obs(open_ & n & x.isNull(), "parse_failure", "outlier", "dirty", 1.0, t),
@@ -97,66 +116,105 @@ def value_evidence(values: DataFrame, specs: list[ColumnSpec]) -> DataFrame:
         _obs(open_ & n & x.isNotNull(), "rarity_high", "outlier", "dirty", numeric.rarity(x, q["p01"], q["p05"], q["p95"], q["p99"])),
         _obs(open_ & ~n & m, "regex_pass", "pattern", "clean", 1.0),
         _obs(open_ & ~n & m, "parser_success", "pattern", "clean", 0.8),
-        _obs(open_ & ~n & ~measure, "rarity_high", "pattern", "dirty", numeric.low_frequency(F.col("support"))),
+        _obs(open_ & ~n & ~m & (r >= PASSING), "parser_success", "pattern", "clean", r),
+        _obs(open_ & ~n & ~open_measure, "rarity_high", "pattern", "dirty", numeric.low_frequency(F.col("support"))),
         _obs(has & (near > 0), "prototype_close", "prototype_lexical", "clean", near),
         _obs(has & (far > 0), "prototype_far", "prototype_lexical", "dirty", far),
     ])
 
 
-def cell_evidence(cells: DataFrame, values: DataFrame, specs: list[ColumnSpec]) -> DataFrame:
-    """Observations of the cells themselves: row_idx, column, and the rest."""
-    c = cells.join(values.select("column", "sig", "support"), ["column", "sig"])
+def nearest(raw: Column, prototypes: tuple[str, ...]) -> Column:
+    """The best similarity to a prototype; null without any."""
+    if not prototypes:
+        return F.lit(None).cast("double")
+    return F.greatest(F.lit(0.0), F.lit(0.0), *[text.similarity(F.trim(raw), F.lit(p)) for p in prototypes])
+
+
+def value_evidence(values: DataFrame, specs: list[ColumnSpec]) -> DataFrame:
+    """The observations of values, a row each."""
+    return flat(value_arrays(values, specs).drop("support"))
+
+
+def cell_arrays(c: DataFrame, specs: list[ColumnSpec], keep: tuple[str, ...] = ()) -> DataFrame:
+    """row_idx, column, ``keep`` and the array of observations of cells with their
+    value's ``support``. Where they are there, ``ratio`` is the share of the pattern
+    rules a cell passes and ``related`` the observations of its relations."""
     raw = F.col("raw")
+    ratio = F.col("ratio") if "ratio" in c.columns else F.lit(None).cast("double")
     matches, is_num, number, trusted, gone, illegal, structural = _common(specs, raw)
-    odd_shape = _spec_column(specs, lambda s: ~text.shape(raw).isin(*s.shapes) if s.shapes else False)
-    odd_grammar = _spec_column(specs, lambda s: ~text.grammar(raw).isin(*s.grammars) if s.grammars else False)
-    v = c.select("row_idx", "column", "support", matches.alias("_m"), is_num.alias("_n"), number.alias("_x"), trusted.alias("_t"), gone.alias("_g"), illegal.alias("_i"), structural.alias("_s"), (odd_shape | odd_grammar).alias("_o"))
-    m, n, x, t, g, i = (F.col(k) for k in ("_m", "_n", "_x", "_t", "_g", "_i"))
+    far = lambda known, of: F.when(F.lit(bool(known)) & ~of.isin(*(known or ("",))), 1.0).otherwise(0.0)
+    odd = _spec_column(specs, lambda s: F.greatest(far(s.shapes, text.shape(raw)), far(s.grammars, text.grammar(raw))))
+    violated = F.exists("related", lambda o: o["polarity"] == "dirty") if "related" in c.columns else F.lit(False)
+    v = c.select("row_idx", "column", *keep, matches.alias("_m"), is_num.alias("_n"), number.alias("_x"), trusted.alias("_t"), gone.alias("_g"), illegal.alias("_i"),
+                 structural.alias("_s"), odd.alias("_o"), ratio.alias("_r"), violated.alias("_v"))
+    m, n, x, t, g, i, r = (F.col(k) for k in ("_m", "_n", "_x", "_t", "_g", "_i", "_r"))
     open_ = ~g & ~i
-    patterned = _spec_column(specs, lambda s: s.pattern is not None)
+    rate = _spec_column(specs, lambda s: min(1.0, max(0.6, s.pattern_rate)))
     strong = _spec_column(specs, lambda s: s.pattern is not None and s.pattern_rate >= 0.60)
-    return _emit(v, ["row_idx", "column"], "cell", [
+    mismatch = F.greatest(F.col("_o"), F.coalesce(1 - r, F.lit(0.0)))
+    return _kept(v, ["row_idx", "column", *keep], "cell", [
         _obs(g, "missing_token", "missing", "dirty", F.when(F.col("_s"), 0.15).otherwise(1.0), ~F.col("_s")),
         _obs(~g & i, "closed_set_invalid", "outlier", "dirty", 1.0, True),
         _obs(open_ & n & x.isNull(), "cell_parse_failure", "outlier", "dirty", 1.0, t),
         _obs(open_ & n & x.isNull(), "cell_type_conflict", "outlier", "dirty", 1.0, t),
-        _obs(open_ & n & patterned & m, "pattern_match", "pattern", "clean", 1.0),
+        _obs(open_ & n & m, "pattern_match", "pattern", "clean", rate),
         _obs(open_ & n & x.isNotNull() & strong & ~m, "pattern_mismatch", "pattern", "dirty", 0.6),
         _obs(open_ & ~n & m, "pattern_match", "pattern", "clean", 1.0),
-        _obs(open_ & ~n & ~m & F.col("_o"), "pattern_mismatch", "pattern", "dirty", 1.0),
-        _obs(open_ & n & x.isNotNull(), "cell_parser_success", "outlier", "clean", 1.0),
+        _obs(open_ & ~n & ~m & (r >= PASSING), "pattern_match", "pattern", "clean", r),
+        _obs(open_ & ~n & ~m & (mismatch >= MISMATCH), "pattern_mismatch", "pattern", "dirty", mismatch),
+        _obs(open_ & n & x.isNotNull() & ~F.col("_v"), "cell_parser_success", "outlier", "clean", 1.0),
     ])
 
 
-def relation_evidence(df: DataFrame, target: str, relations: list[tuple[str, str, float]]) -> DataFrame:
-    """Observations of one column from its relations (other column, kind, profile
-    violation rate): strong and weak violations, satisfaction, local consistency."""
-    v = F.col(target).cast("string")
+def cell_evidence(cells: DataFrame, values: DataFrame, specs: list[ColumnSpec]) -> DataFrame:
+    """The observations of the cells themselves, a row each."""
+    return flat(cell_arrays(cells.join(values.select("column", "sig", "support"), ["column", "sig"]), specs))
+
+
+def relation_arrays(df: DataFrame, relations: dict[str, list[tuple[str, str, float]]]) -> DataFrame:
+    """row_idx, column and the observations of each column's relations (other
+    column, kind, profile violation rate); all columns in one projection."""
     one = lambda c: F.when(c, 1).otherwise(0)
-    applies, bad, strong = F.lit(0), F.lit(0), F.lit(False)
-    for other, kind, rate in relations:
-        o = F.col(other).cast("string")
-        ok = ~text.missing_like(v) & ~text.missing_like(o)
-        fails = ok & ~text.relation_holds(kind, v, o)
-        applies, bad = applies + one(ok), bad + one(fails)
-        if rate <= 0.10:
-            strong = strong | fails
-    d = df.select("row_idx", F.lit(target).alias("column"), applies.alias("_a"), bad.alias("_b"), strong.alias("_s"))
-    a, b, s = F.col("_a"), F.col("_b"), F.col("_s")
-    sat = a - b
-    return _emit(d, ["row_idx", "column"], "cell", [
-        _obs(s, "strong_relationship_violation", "relationship", "dirty", 1.0, True),
-        _obs(~s & (b > 0), "weak_relationship_violation", "relationship", "dirty", F.least(F.lit(1.0), 0.35 + b / a)),
-        _obs(sat > 0, "relationship_satisfied", "relationship", "clean", F.least(F.lit(1.0), 0.4 + sat / a)),
-        _obs((a >= 2) & (b == 0), "local_consistency_pass", "relationship", "clean", 0.75),
-        _obs((a >= 2) & (b / a >= 0.5), "local_consistency_fail", "relationship", "dirty", 0.75),
+    each = []
+    for target, known in relations.items():
+        v = F.col(f"`{target}`").cast("string")
+        applies, weak, strong = F.lit(0), F.lit(0), F.lit(0)
+        for other, kind, rate in known:
+            o = F.col(f"`{other}`").cast("string")
+            ok = ~text.missing_like(v) & ~text.missing_like(o)
+            fails = one(ok & ~text.relation_holds(kind, v, o))
+            applies = applies + one(ok)
+            strong, weak = (strong + fails, weak) if rate <= STRONG_RATE else (strong, weak + fails)
+        each.append(F.struct(F.lit(target).alias("column"), applies.alias("a"), weak.alias("w"), strong.alias("s")))
+    d = df.select("row_idx", F.inline(F.array(*each)))
+    a, w, s = F.col("a"), F.col("w"), F.col("s")
+    return _kept(d, ["row_idx", "column"], "cell", [
+        _obs(s > 0, "strong_relationship_violation", "relationship", "dirty", 1.0, True),
+        _obs((s == 0) & (w > 0), "weak_relationship_violation", "relationship", "dirty", F.least(F.lit(1.0), 0.35 + w / a)),
+        _obs((s + w == 0) & (a > 0), "relationship_satisfied", "relationship", "clean", 1.0),
+        _obs((a >= 2) & (s + w == 0), "local_consistency_pass", "relationship", "clean", 0.75),
+        _obs((a >= 2) & ((s + w) / a >= 0.5), "local_consistency_fail", "relationship", "dirty", 0.75),
     ])
 
 
+def relation_evidence(df: DataFrame, target: str, relations: list[tuple[str, str, float]]) -> DataFrame:
+    """The observations of one column's relations, a row each."""
+    return flat(relation_arrays(df, {target: relations}))
+
+
 def consensus_evidence(best: DataFrame) -> DataFrame:
     """Observations of ``relations.consensus`` rows."""
-    name = F.when(F.col("polarity") == "dirty", "contextual_disagreement").otherwise("contextual_agreement")
-    return best.where("strength > 0").select("row_idx", F.col("tgt").alias("column"), F.lit("cell").alias("scope"), name.alias("source"), F.lit("contextual").alias("family"), "polarity", "strength", F.lit(False).alias("hard"))
+    name = F.when(F.col("rule"), "llm_fd_disagreement").when(F.col("polarity") == "dirty", "contextual_disagreement").otherwise("contextual_agreement")
+    family = F.when(F.col("rule"), "relationship").otherwise("contextual")
+    return best.where("strength > 0").select("row_idx", F.col("tgt").alias("column"), F.lit("cell").alias("scope"), name.alias("source"), family.alias("family"),
+                                             "polarity", "strength", F.lit(False).alias("hard"))
+
+
+def gathered(extra: list[DataFrame]) -> DataFrame:
+    """row_idx, column and one array of the observations of several long frames."""
+    parts = ["scope", "source", "family", "polarity", "strength", "hard"]
+    rows = [e.select("row_idx", "column", F.struct(*parts).alias("o")) for e in extra]
+    return reduce(DataFrame.unionByName, rows).groupBy("row_idx", "column").agg(F.collect_list("o").alias("more"))
 
 
 def on_cells(cells: DataFrame, value_obs: DataFrame, cell_obs: DataFrame) -> DataFrame:
@@ -166,8 +224,9 @@ def on_cells(cells: DataFrame, value_obs: DataFrame, cell_obs: DataFrame) -> Dat
 
 
 def strongest(obs: DataFrame) -> DataFrame:
-    """One observation of each cell, scope, source and polarity: the strongest."""
-    return obs.groupBy("row_idx", "column", "scope", "source", "family", "polarity").agg(F.max("strength").alias("strength"), F.bool_or("hard").alias("hard"))
+    """One observation of each cell, scope, source and polarity: the strongest. A
+    hard one stays beside a weaker one that isn't."""
+    return obs.groupBy("row_idx", "column", "scope", "source", "family", "polarity", "hard").agg(F.max("strength").alias("strength"))
 
 
 def hard_labels(obs: DataFrame) -> DataFrame:
@@ -181,21 +240,29 @@ def coverage(obs: DataFrame) -> DataFrame:
     return obs.groupBy("scope", "source", "polarity").agg(F.count_distinct("row_idx", "column").alias("n_cells"), F.count("*").alias("n"))
 
 
-def infer_specs(values: DataFrame, cells: DataFrame, kinds: dict[str, str], patterns: dict[str, str], quantiles: dict[str, dict[str, float]], archetypes: dict[str, str]) -> list[ColumnSpec]:
+def infer_specs(values: DataFrame, cells: DataFrame, kinds: dict[str, str], patterns: dict[str, str], quantiles: dict[str, dict[str, float]],
+                archetypes: dict[str, str], legal: dict[str, tuple[str, ...]] | None = None, n_prototypes: int = 0) -> list[ColumnSpec]:
     """Specs from the table's own distributions: one job over distinct raw values,
     of which totals and the shapes and grammars of a twentieth of a column or more
-    are collected."""
+    are collected, and with ``n_prototypes`` each column's most frequent values."""
     raw = F.col("raw")
     raws = cells.groupBy("column", "raw").agg(F.count("*").alias("n"))
     item = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.alias("key"))
-    parsed = F.when(numeric.strict(raw).isNotNull(), F.col("n")).otherwise(0)
+    count = lambda ok: F.when(ok, F.col("n")).otherwise(0)
     each = F.array(item("all", F.lit("")), F.when(raw.isNotNull(), item("shape", text.shape(raw))), F.when(raw.isNotNull(), item("grammar", text.grammar(raw))))
-    long = raws.select("column", "n", parsed.alias("parsed"), F.when(raw.isNotNull(), F.col("n")).otherwise(0).alias("kept"), F.explode(F.array_compact(each)).alias("i")).select("column", "n", "parsed", "kept", "i.*")
-    sums = long.groupBy("column", "kind", "key").agg(F.sum("n").alias("n"), F.sum("parsed").alias("parsed"), F.sum("kept").alias("kept"))
+    matched = _any_pattern(patterns, raw)
+    long = raws.select("column", "n", count(numeric.strict(raw).isNotNull()).alias("parsed"), count(raw.isNotNull()).alias("kept"), count(matched).alias("matched"),
+                       F.explode(F.array_compact(each)).alias("i")).select("column", "n", "parsed", "kept", "matched", "i.*")
+    sums = long.groupBy("column", "kind", "key").agg(*[F.sum(c).alias(c) for c in ("n", "parsed", "kept", "matched")], F.count("*").alias("distinct"))
     total = F.broadcast(sums.where("kind = 'all'").select("column", F.col("kept").alias("total")))  # a row a column
     found: dict[str, dict] = {}
     for r in sums.join(total, "column").where((F.col("kind") == "all") | (F.col("n") / F.col("total") >= ACCEPTED_RATIO)).collect():
         found.setdefault(r.column, {}).setdefault(r.kind, []).append(r)
+    heads: dict[str, list[str]] = {}
+    if n_prototypes:
+        texts = values.where(F.col("column").isin(*[c for c, k in kinds.items() if k != "numeric"]) & ~text.missing_like(F.col("first_raw")))
+        for r in top(texts.withColumnRenamed("support", "n"), ["column"], n_prototypes, ["first_row"]).orderBy("column", "rank").collect():  # n a column
+            heads.setdefault(r.column, []).append(r.first_raw.strip())
 
     def accepted(c: str, kind: str) -> tuple[str, ...]:
         return tuple(sorted(r.key for r in found.get(c, {}).get(kind, ())))
@@ -204,6 +271,16 @@ def infer_specs(values: DataFrame, cells: DataFrame, kinds: dict[str, str], patt
     for c, k in kinds.items():
         whole = found.get(c, {}).get("all", [None])[0]
         # shares of parsed values are of all cells, missing ones included
-        out.append(ColumnSpec(c, kind=k, archetype=archetypes.get(c, "open_entity"), pattern=patterns.get(c), parsed_share=whole.parsed / whole.n if whole else 0.0, quantiles=quantiles.get(c, {}),
-                              shapes=accepted(c, "shape"), grammars=accepted(c, "grammar"), n_rows=whole.n if whole else 0))
+        share = lambda part, of, empty, w=whole: w[part] / w[of] if w and w[of] else empty
+        out.append(ColumnSpec(c, kind=k, archetype=archetypes.get(c, "open_entity"), pattern=patterns.get(c), pattern_rate=share("matched", "kept", 0.0) if c in patterns else 1.0,
+                              parsed_share=share("parsed", "n", 0.0), open_set=share("distinct", "kept", 1.0), legal=tuple((legal or {}).get(c, ())), prototypes=tuple(heads.get(c, ())),
+                              quantiles=quantiles.get(c, {}), shapes=accepted(c, "shape"), grammars=accepted(c, "grammar"), n_rows=whole.n if whole else 0))
+    return out
+
+
+def _any_pattern(patterns: dict[str, str], raw: Column) -> Column:
+    """Whether a raw value matches its column's pattern."""
+    out = F.lit(False)
+    for c, p in patterns.items():
+        out = F.when(F.col("column") == c, text.full_match(F.trim(raw), p)).otherwise(out)
     return out

@@ -32,7 +32,6 @@ def missing_tokens(cell: DataFrame, n: int = 10) -> DataFrame:
 def uniqueness(value: DataFrame) -> DataFrame:
     """unique_count, unique_ratio, singleton_ratio, top10_coverage, percent_ratio by column."""
     kept = value.where("sig <> '<na>'")
-    rank = F.row_number().over(Window.partitionBy("column").orderBy(F.desc("support"), "sig"))
     # ranks need all of a column's values sorted; its heaviest ten are found by a bounded top-k instead
     heads = top(kept.select("column", "sig", F.col("support").alias("n")), ["column"], 10, ["sig"]).groupBy("column").agg(F.sum("n").alias("head"))
     base = kept.groupBy("column").agg(F.count("*").alias("unique_count"), F.sum("support").alias("total"), F.count_if(F.col("support") == 1).alias("singles"),
@@ -47,6 +46,12 @@ def top_values(value: DataFrame, n: int = 20) -> DataFrame:
     return best.join(F.broadcast(total), "column").select("column", "sig", "n", (F.col("n") / F.col("total")).alias("ratio"), "first_raw", "rank")
 
 
+def prototypes(value: DataFrame, n: int = 10) -> DataFrame:
+    """column, prototype, n, rank and the share that it and those before it cover."""
+    cover = F.sum("ratio").over(Window.partitionBy("column").orderBy("rank"))  # n rows a column
+    return top_values(value, n).select("column", F.col("first_raw").alias("prototype"), "n", "rank", cover.alias("coverage"))
+
+
 def low_frequency_values(value: DataFrame, most: int = 3, n: int = 20) -> DataFrame:
     rare = value.where((F.col("sig") != "<na>") & (F.col("support") <= most)).withColumnRenamed("support", "n")
     return top(rare, ["column"], n, ["first_row"]).select("column", "sig", "n", "rank")

@@ -1,9 +1,12 @@
 """Exact percentiles of any number of rows.
 
 The built-in exact percentile holds a group's distinct values in one task. Here
-distinct values are counted, put into buckets between approximate pivots, and
-only the buckets that hold an asked-for rank are sorted, each in a task of its
-own. The driver gets a row for each column and bucket, and two for each answer.
+a first scan finds approximate percentiles, whose error is bounded, and so a
+bracket of values for each asked-for rank. A second scan counts the values
+inside brackets and, between them, rows only. The counts are sorted on the driver
+if they are few; else put into buckets between approximate pivots, of which only
+those that hold an asked-for rank are sorted, each in a task of its own. The driver
+gets a row for each column and bucket, and two for each answer.
 """
 
 from __future__ import annotations
@@ -13,10 +16,12 @@ from bisect import bisect_right
 from itertools import accumulate
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 128
+#: Approximate ranks are off by a share of 1 / ACCURACY at most; brackets reach twice as far.
+ACCURACY = 10_000
 #: Distinct (column, value) rows up to which counts are sorted on the driver.
 FEW = 1 << 20
 
@@ -41,11 +46,36 @@ def sorted_here(counts: DataFrame, ps: list[float]) -> dict[str, list[float]]:
     return out
 
 
+def bracketed(known: DataFrame, ps: list[float]) -> Column:
+    """x where it is in a bracket of its column; the rows of a gap between brackets
+    have one number that stands in their place. Short columns are one bracket."""
+    x, reach = F.col("x"), 2 / ACCURACY
+    edges = [e for p in ps for e in (max(0.0, p - reach), min(1.0, p + reach))]
+    rows = known.groupBy("column").agg(F.count("*").alias("n"), F.percentile_approx("x", F.array(*map(F.lit, edges)), F.lit(ACCURACY)).alias("q")).collect()  # a row a column
+    out = x
+    for r in rows:
+        if r.n <= 4 * ACCURACY:
+            continue
+        ends = [-math.inf if e == 0 else math.inf if e == 1 else v for e, v in zip(edges, r.q)]
+        held: list[list[float]] = []
+        for lo, hi in sorted(zip(ends[::2], ends[1::2])):
+            if held and lo <= held[-1][1]:
+                held[-1][1] = max(held[-1][1], hi)
+            else:
+                held.append([lo, hi])
+        own = F.lit(math.nextafter(held[-1][1], math.inf))
+        for lo, hi in reversed(held):
+            own = F.when(x < lo, F.lit(math.nextafter(lo, -math.inf))).when(x <= hi, x).otherwise(own)
+        out = F.when(F.col("column") == r.column, own).otherwise(out)
+    return out
+
+
 def exact(long: DataFrame, ps: list[float], buckets: int = BUCKETS, few: int = FEW) -> dict[str, list[float]]:
     """Linearly interpolated percentiles of (column, x) by column; nulls and not-
     a-numbers are left out, a column without numbers is missing from the result."""
     x = F.col("x")
-    counts = long.where(x.isNotNull() & ~F.isnan(x)).groupBy("column", "x").agg(F.count("*").alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
+    known = long.where(x.isNotNull() & ~F.isnan(x))
+    counts = known.select("column", bracketed(known, ps).alias("x")).groupBy("column", "x").agg(F.count("*").alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         if counts.limit(few + 1).count() <= few:
             return sorted_here(counts, ps)

@@ -44,27 +44,39 @@ def modes(counts: DataFrame) -> DataFrame:
     return group
 
 
-def consensus(df: DataFrame, columns: list[str], n_rows: int) -> DataFrame:
+FD_GROUP, FD_MODE, FD_SHARE = 3, 2, 0.50
+
+
+def consensus(df: DataFrame, columns: list[str], n_rows: int, identifiers: frozenset[str] = frozenset(),
+              dependencies: frozenset[tuple[str, str]] = frozenset()) -> DataFrame:
     """The best dis/agreement of each cell with its context groups: row_idx, tgt,
-    polarity, ctx, expected, strength.
+    polarity, ctx, expected, strength, rule.
 
-    Only groups reliable enough to say anything are joined to the rows.
+    What a group says of a value is settled once for each distinct pair of
+    signatures; rows meet only pairs that say something. Columns of ``identifiers``
+    agree on weaker support, and so do disagreements under an accepted dependency
+    (determinant, dependent), which have ``rule`` set. Missing cells are left out.
     """
     counts = pair_counts(df, columns)
-    strong = predictiveness(counts).where(F.col("predictiveness") >= MIN_PREDICTIVE)
-    groups = modes(counts).where((F.col("g") >= MIN_GROUP) & (F.col("mode_n") >= MIN_MODE) & (F.col("mode_n") / F.col("g") >= MIN_SHARE)).join(F.broadcast(strong), ["ctx", "tgt"])
+    known = predictiveness(counts).where(F.col("predictiveness") >= MIN_PREDICTIVE)
+    groups = modes(counts).where(F.col("g") >= MIN_GROUP).join(F.broadcast(known), ["ctx", "tgt"])  # a row a column pair
+    p, share = F.col("n") / F.col("g"), F.col("mode_n") / F.col("g")
+    sound = (F.col("mode_n") >= MIN_MODE) & (share >= MIN_SHARE)
+    named = F.lit(False)
+    for left, right in sorted(dependencies):
+        named = named | ((F.col("ctx") == left) & (F.col("tgt") == right))
+    rule = named & (F.col("mode_n") >= FD_MODE) & (F.col("mode_n") > F.col("n")) & (share >= FD_SHARE)
+    agrees = F.col("tgt_sig") == F.col("mode_sig")
+    ok = F.when(agrees, sound | F.col("tgt").isin(*identifiers)).otherwise(sound | rule)
+    base = F.least(F.lit(1.0), F.col("predictiveness") * F.log(F.col("g").cast("double")) / F.log(F.lit(float(1 + max(n_rows, 2)))))
+    said = counts.join(groups, ["ctx", "tgt", "ctx_sig"]).where(ok & ~F.col("tgt_sig").isin("<na>", "<empty>", *[m for m in text.RULE_MISSING if m])).select(
+        "ctx", "ctx_sig", "tgt", "tgt_sig", F.when(agrees, "clean").otherwise("dirty").alias("polarity"), F.col("mode_sig").alias("expected"),
+        (base * F.when(agrees, p).otherwise(1 - p)).alias("strength"), (~agrees & rule & ~sound).alias("rule"))
     sig = {c: text.signature(F.col(f"`{c}`").cast("string")) for c in columns}
     pairs = [F.struct(F.lit(a).alias("ctx"), sig[a].alias("ctx_sig"), F.lit(b).alias("tgt"), sig[b].alias("tgt_sig")) for a in columns for b in columns if a != b]
-    long = df.select("row_idx", F.explode(F.array(*pairs)).alias("p")).select("row_idx", "p.*")
-    own = counts.select("ctx", "ctx_sig", "tgt", "tgt_sig", F.col("n").alias("own"))
-    met = long.join(groups, ["ctx", "tgt", "ctx_sig"]).join(own, ["ctx", "ctx_sig", "tgt", "tgt_sig"])
-    base = F.least(F.lit(1.0), F.col("predictiveness") * F.log(F.col("g").cast("double")) / F.log(F.lit(float(1 + max(n_rows, 2)))))
-    p = F.col("own") / F.col("g")
-    polarity = F.when(F.col("tgt_sig") == F.col("mode_sig"), "clean").otherwise("dirty")
-    met = met.withColumn("polarity", polarity).withColumn("strength", base * F.when(F.col("polarity") == "clean", p).otherwise(1 - p))
-    order = {c: k for k, c in enumerate(columns)}
-    first = F.create_map(*[x for c, k in order.items() for x in (F.lit(c), F.lit(-k))])[F.col("ctx")]
-    best = F.max_by(F.struct("ctx", F.col("mode_sig").alias("expected"), "strength"), F.struct(F.round("strength", 12), first))
+    met = df.select("row_idx", F.explode(F.array(*pairs)).alias("p")).select("row_idx", "p.*").join(said, ["ctx", "ctx_sig", "tgt", "tgt_sig"])
+    first = F.create_map(*[x for k, c in enumerate(columns) for x in (F.lit(c), F.lit(-k))])[F.col("ctx")]
+    best = F.max_by(F.struct("ctx", "expected", "strength", "rule"), F.struct(F.round("strength", 12), first))
     return met.groupBy("row_idx", "tgt", "polarity").agg(best.alias("b")).select("row_idx", "tgt", "polarity", "b.*")
 
 

@@ -82,10 +82,11 @@ def candidates(df: DataFrame, ops: list[Operation]) -> DataFrame:
         if op.kind == "split_trailing_token":
             known = df.select(text.token(F.col(f"`{op.target}`").cast("string")).alias("_k")).distinct()
             d = d.join(known, text.token(F.col("_t")) == F.col("_k"), "left_semi")
-        d = d.where("candidate is not null").select("row_idx", F.lit(op.column).alias("column"), F.lit(op.kind).alias("mechanism"), "candidate", F.lit(op.confidence * (1 - 0.10 * op.ambiguity)).alias("score"))
+        d = d.where("candidate is not null").select("row_idx", F.lit(op.column).alias("column"), F.lit(op.kind).alias("mechanism"), "candidate", F.lit(op.confidence * (1 - 0.10 * op.ambiguity)).alias("score"),
+                                                     F.lit(op.ambiguity).alias("ambiguity"), F.to_json(F.create_map(F.lit(op.column), F.col("candidate"))).alias("changed"))
         out = d if out is None else out.unionByName(d)
     if out is None:
-        return df.sparkSession.createDataFrame([], "row_idx bigint, column string, mechanism string, candidate string, score double, rank bigint")
+        return df.sparkSession.createDataFrame([], "row_idx bigint, column string, mechanism string, candidate string, score double, ambiguity double, changed string, rank bigint")
     rank = F.row_number().over(Window.partitionBy("row_idx", "column").orderBy(F.desc("score"), "mechanism")).cast("bigint")
     return out.withColumn("rank", rank)
 

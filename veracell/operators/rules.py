@@ -9,6 +9,7 @@ Python: each node becomes a column, and a null or failing rule is false.
 from __future__ import annotations
 
 import ast
+import re
 from dataclasses import dataclass
 from functools import reduce
 
@@ -97,6 +98,8 @@ class _Compiler:
     def on_BinOp(self, n):
         if type(n.op) not in _ARITH:
             raise Rejected("unknown operator")
+        if isinstance(n.op, ast.Add) and any(isinstance(x, ast.Constant) and isinstance(x.value, str) for x in (n.left, n.right)):
+            return F.concat(self.column(n.left), self.column(n.right))
         return _ARITH[type(n.op)](self.column(n.left), self.column(n.right))
 
     def on_IfExp(self, n):
@@ -203,7 +206,8 @@ def validate(df: DataFrame, rules: list[Rule], least: float = 0.5) -> list[tuple
         for r in good:
             p = rates[r.name]
             verdict = "accepted" if r.family == "missing" or p >= least else f"pass rate {p:.3f} below {least}"
-            out.append((r, "degenerate: never true" if p == 0 and r.family != "missing" else verdict))
+            constant = r.family != "missing" and p in (0, 1)
+            out.append((r, f"degenerate: {'never' if p == 0 else 'always'} true" if constant else verdict))
     return out
 
 
@@ -217,6 +221,13 @@ def provenance(df: DataFrame, rules: list[Rule]) -> DataFrame:
                     (1 - F.size(failed) / F.size("r")).alias("pass_ratio"))
 
 
+def pass_ratios(df: DataFrame, by_column: dict[str, list[Rule]]) -> DataFrame:
+    """row_idx, column and the share of the column's rules that the row passes."""
+    one = lambda r: compile_rule(r.text, r.column, df.columns).cast("int")
+    each = [F.struct(F.lit(c).alias("column"), (sum((one(r) for r in rs), F.lit(0)) / len(rs)).alias("ratio")) for c, rs in by_column.items()]
+    return df.select("row_idx", F.inline(F.array(*each)))
+
+
 def fallback_rules(column: str, kind: str, low: float | None = None, high: float | None = None, lengths: tuple[int, int] | None = None, tokens: tuple[str, ...] = ()) -> list[Rule]:
     """Deterministic clean rules: completeness, range with 5 % to spare, lengths."""
     out = [Rule(f"{column}_complete", column, "missing", f"lambda value, row=None: value is not None and value.strip().lower() not in {tuple(sorted(set(tokens) | {''}))!r}")]
@@ -235,3 +246,111 @@ def dirty_fallbacks(column: str, low: float | None = None, high: float | None =
     if low is not None and low >= 0:
         out.append(Rule(f"{column}_negative", column, "outlier", "lambda value, row=None: safe_float(value) < 0"))
     return out
+
+
+GUESSES = (("zip", r"[0-9]{5}"), ("phone", r"[0-9]{10}"), ("damaged_code", r"[0-9x]{5}"), ("short_code", r"[0-9.]{3,5}"), ("digits", r"[0-9]+"))
+
+
+def guess_pattern(samples: list[str]) -> str:
+    """What kind of code a column's samples (at most 20 are asked) look like."""
+    few = [s for s in samples if s][:20]
+    if not few:
+        return "none"
+    kind = next((k for k, p in GUESSES if all(re.fullmatch(p, s) for s in few[:10])), "unclear")
+    return f"{kind}:{'even' if len({len(s) for s in few}) <= 2 else 'mixed'}" if kind == "digits" else kind
+
+
+def pattern_fallbacks(column: str, samples: list[str], guess: str | None = None) -> list[Rule]:
+    """Clean rules of form: a postal code, a telephone number, or one fixed length."""
+    guess, low = guess or guess_pattern(samples), column.lower()
+    rule = lambda name, body: [Rule(f"{column}_{name}", column, "pattern", f"lambda value, row=None: {body}")]
+    if guess == "zip" or "zip" in low or "postal" in low:
+        return rule("postal", "bool(re.fullmatch(r'[0-9]{5}', value.strip()))")
+    if guess == "phone" or "phone" in low:
+        return rule("phone", "bool(re.fullmatch(r'([^0-9]*[0-9]){10}[^0-9]*', value))")
+    sizes = {len(s.strip()) for s in samples if s and s.strip()}
+    return rule("length", f"len(value.strip()) == {sizes.pop()}") if len(sizes) == 1 else []
+
+
+def relation_rules(relations: list[tuple[str, str, str]]) -> list[Rule]:
+    """Clean rules of (column, other column, kind); a missing side passes."""
+    body = {
+        "prefix_match": "value.strip().lower().startswith(row[{o!r}].strip().lower())",
+        "contains": "row[{o!r}].strip().lower() in value.strip().lower()",
+        "stateavg_format": "value.strip().lower().startswith(row[{o!r}].strip().lower() + '_')",
+        "zip_prefix": "value.strip()[0:3] == row[{o!r}].strip()[0:3]",
+    }
+    text = "lambda value, row=None: True if value is None or row[{o!r}] is None else "
+    return [Rule(f"{c}_{kind}_{o}", c, "relationship", (text + body[kind]).format(o=o)) for c, o, kind in relations]
+
+
+def order_rule(first: str, then: str) -> Rule:
+    """A clean rule: of two dates written year first the second isn't earlier."""
+    return Rule(f"{then}_not_before_{first}", then, "relationship", f"lambda value, row=None: True if value is None or row[{first!r}] is None else value >= row[{first!r}]")
+
+
+def typo_rules(column: str, typos: list[str], most: int = 5) -> list[Rule]:
+    """Dirty rules from values known as typos: one for each length, then one of all."""
+    groups: dict[int, list[str]] = {}
+    for t in sorted({t.strip().lower() for t in typos if t.strip()}):
+        groups.setdefault(len(t), []).append(t)
+    out = []
+    for n, own in sorted(groups.items()):
+        kind = "value.strip().isdigit() and " if all(t.isdigit() for t in own) else "value.strip().isalpha() and " if all(t.isalpha() for t in own) else ""
+        out.append(Rule(f"{column}_typo_{n}", column, "typo", f"lambda value, row=None: {kind}len(value.strip()) == {n} and value.strip().lower() in {tuple(own)!r}"))
+    every = tuple(t for own in groups.values() for t in own)[:20]
+    return [*out[: most - 1], Rule(f"{column}_typo", column, "typo", f"lambda value, row=None: value.strip().lower() in {every!r}")] if every else []
+
+
+def pattern_negation(column: str, patterns: list[str], samples: list[str] = ()) -> list[Rule]:
+    """A dirty rule: the value has none of the patterns, or, without any, isn't a
+    number of the samples' length."""
+    if patterns:
+        either = "|".join(f"(?:{p})" for p in patterns)
+        return [Rule(f"{column}_off_pattern", column, "pattern", f"lambda value, row=None: value is not None and not bool(re.fullmatch({either!r}, value.strip()))")]
+    few = [s for s in samples if s][:10]
+    if few and all(s.isdigit() for s in few):
+        return [Rule(f"{column}_off_digits", column, "pattern", f"lambda value, row=None: value is not None and not (value.isdigit() and len(value) == {len(few[0])})")]
+    return [Rule(f"{column}_blank", column, "pattern", "lambda value, row=None: len(value.strip()) == 0")] if few else []
+
+
+DUAL_MISSING = ("", "n/a", "na", "nan", "none", "null", "unknown")
+
+
+def dual_fallbacks(column: str, kind: str, top_values: tuple[str, ...] = (), bound: float = 1e9) -> tuple[list[Rule], list[Rule]]:
+    """A clean rule that accepts what is plausible and a dirty one that takes the
+    rest: numbers within a bound, known values, or anything that isn't missing."""
+    gone = f"value.strip().lower() in {DUAL_MISSING!r}"
+    if kind == "numeric":
+        ok, bad = f"-{bound!r} <= safe_float(value) <= {bound!r}", f"safe_float(value) < -{bound!r} or safe_float(value) > {bound!r}"
+    elif kind == "categorical" and top_values:
+        known = tuple(sorted({v.strip().lower() for v in top_values if v.strip()}))
+        ok, bad = f"value.strip().lower() in {known!r}", f"value.strip().lower() not in {known!r}"
+    else:
+        ok, bad = "len(value.strip()) > 0", "len(value.strip()) == 0"
+    return ([Rule(f"{column}_plausible", column, "dual", f"lambda value, row=None: value is not None and not ({gone}) and ({ok})")],
+            [Rule(f"{column}_implausible", column, "dual", f"lambda value, row=None: value is None or {gone} or ({bad})")])
+
+
+FAMILY = {"completeness": "missing", "accuracy": "outlier", "pattern_consistency": "pattern", "column_relationship": "relationship"}
+
+
+def rule_pool(df: DataFrame, proposals: dict[str, list[tuple[str, str]]], least: float = 0.5) -> tuple[dict[str, list[Rule]], list[dict]]:
+    """The accepted rules of each column, and every proposal with its verdict.
+
+    ``proposals`` has (agent, rule text) by column; an agent decides the family,
+    unknown ones are left out. All rules are judged in one aggregation.
+    """
+    named = [(agent, Rule(f"{c}_{agent}_{k}", c, FAMILY[agent], text)) for c, own in proposals.items() for k, (agent, text) in enumerate(own) if agent in FAMILY]
+    verdicts = {r.name: v for r, v in validate(df, [r for _, r in named], least)}
+    pool: dict[str, list[Rule]] = {}
+    for _, r in named:
+        if verdicts[r.name] == "accepted":
+            pool.setdefault(r.column, []).append(r)
+    return pool, [{"column": r.column, "agent": a, "family": r.family, "rule": r.name, "text": r.text, "verdict": verdicts[r.name]} for a, r in named]
+
+
+def shown(value, most: int = 80) -> str:
+    """A rule's value for display."""
+    text = str(value)
+    return text if len(text) <= most else text[: most - 3] + "..."

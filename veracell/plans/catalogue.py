@@ -249,7 +249,7 @@ CONSENSUS = MODES + f""", rel AS (SELECT md.*, mode_sig, predictiveness FROM md
    WHERE predictiveness >= 0.20 AND g >= 3 AND mode_n >= 3 AND mode_n / g >= 0.80),
  met AS (SELECT pair.row_idx, ctx, tgt, CASE WHEN tgt_sig = mode_sig THEN 'clean' ELSE 'dirty' END AS polarity, mode_sig AS expected,
    least(1.0, predictiveness * ln(g) / ln(1 + greatest((SELECT count(*) FROM src), 2))) * CASE WHEN tgt_sig = mode_sig THEN n / g ELSE 1 - n / g END AS strength
-   FROM pair JOIN rel USING (ctx, tgt, ctx_sig) JOIN cnt USING (ctx, ctx_sig, tgt, tgt_sig)),
+   FROM pair JOIN rel USING (ctx, tgt, ctx_sig) JOIN cnt USING (ctx, ctx_sig, tgt, tgt_sig) WHERE tgt_sig NOT IN ('<na>', '<empty>', {_list(t for t in text.RULE_MISSING if t)})),
  best AS (SELECT *, row_number() OVER (PARTITION BY row_idx, tgt, polarity ORDER BY round(strength, 12) DESC, {_ORD}) AS r FROM met)
  SELECT row_idx, tgt, ctx, expected, round(strength, 6) AS strength FROM best WHERE r = 1"""
 

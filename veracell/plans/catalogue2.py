@@ -141,10 +141,9 @@ def labelled(spark, d):
     return post.join(t.select("row_idx", "column", "label"), ["row_idx", "column"]).withColumn("predicted", (F.col("posterior") >= 0.2).cast("int"))
 
 
-@query(OBS + TRUTH + "," + LABELLED + """, g AS (SELECT col, count(*) AS n, max(posterior) FILTER (label = 0) AS c, min(posterior) FILTER (label = 1) AS d FROM fl WHERE row_idx % 7 = 0 GROUP BY 1)
+@query(OBS + TRUTH + "," + LABELLED + """, g AS (SELECT col, count(*) AS n, max(posterior) FILTER (label = 0) AS c, min(posterior) FILTER (label = 1) AS d FROM fl GROUP BY 1)
  SELECT col AS "column", n, round(greatest(0.05, least(0.95, (1 - n / (n + 5.0)) * 0.5 + n / (n + 5.0) * CASE WHEN c < d THEN (c + d) / 2 WHEN c IS NOT NULL THEN greatest(0.5, c + 0.05) ELSE least(0.5, d - 0.05) END)), 6) AS threshold FROM g WHERE n >= 2""")
 def column_thresholds(spark, d):
-    """Thresholds from all labelled rows; the SQL takes a seventh of them."""
     return inf.thresholds(labelled(spark, d)).select("column", "n", F.round("threshold", 6).alias("threshold"))
 
 
@@ -219,7 +218,7 @@ def rule_violation_rates(spark, d):
     return ru.violation_rates(_orders(spark, d), ORDER_RULES).withColumn("rate", F.round("rate", 9))
 
 
-@query(" UNION ALL ".join(f"SELECT '{r.name}' AS rule, CASE WHEN count(*) FILTER ({s}) = 0 THEN 'degenerate: never true' WHEN count(*) FILTER ({s}) / count(*) >= 0.5 THEN 'accepted' ELSE 'rejected' END AS verdict FROM orders" for r, s in zip(ORDER_RULES, RULE_SQL)))
+@query(" UNION ALL ".join(f"SELECT '{r.name}' AS rule, CASE WHEN count(*) FILTER ({s}) = 0 THEN 'degenerate: never true' WHEN count(*) FILTER ({s}) = count(*) THEN 'degenerate: always true' WHEN count(*) FILTER ({s}) / count(*) >= 0.5 THEN 'accepted' ELSE 'rejected' END AS verdict FROM orders" for r, s in zip(ORDER_RULES, RULE_SQL)))
 def rule_acceptance(spark, d):
     got = ru.validate(_orders(spark, d), ORDER_RULES)
     return spark.createDataFrame([(r.name, v if v.startswith(("accepted", "degenerate")) else "rejected") for r, v in got], "rule string, verdict string")
@@ -305,7 +304,7 @@ REPAIRS = [rp.Operation("strip_suffix", "p_size", suffix=" cm"), rp.Operation("r
  UNION ALL SELECT row_idx, 'p_size', 'truncate_at_marker', split_part(trim(p_size), ' ', 1), 0.55 FROM src WHERE strpos(trim(p_size), ' ') > 1)
  SELECT row_idx, col AS "column", mechanism, candidate, round(score, 6) AS score, row_number() OVER (PARTITION BY row_idx, col ORDER BY score DESC, mechanism) AS rank FROM c""")
 def repair_candidates(spark, d):
-    return rp.candidates(dirty_part(spark, d), REPAIRS).withColumn("score", F.round("score", 6))
+    return rp.candidates(dirty_part(spark, d), REPAIRS).withColumn("score", F.round("score", 6)).drop("ambiguity", "changed")
 
 
 @query(f"""WITH src AS ({PART_SQL}), m AS (SELECT row_idx, p_brand AS dirty, clean_brand AS clean FROM src WHERE p_brand IS DISTINCT FROM clean_brand),
@@ -328,9 +327,15 @@ def cosine_topk(spark, d):
     return ar.cosine_topk(table(spark, d, "embeddings").select("vec_id", "embedding")).withColumn("cosine", F.round("cosine", 5))
 
 
-@query("""SELECT p_partkey, CASE WHEN p_partkey % 50 = 0 AND (p_partkey // 50) % 3 = 0 THEN '' WHEN p_partkey % 50 = 0 AND (p_partkey // 50) % 3 = 2 THEN substr(p_brand, 2, 1) || substr(p_brand, 1, 1) || substr(p_brand, 3) ELSE p_brand END AS p_brand FROM part WHERE NOT (p_partkey % 50 = 0 AND (p_partkey // 50) % 3 = 1)""")
+BUCKET = "(('0x' || substr(md5(CAST({0} AS VARCHAR)), 1, 8))::BIGINT % {1})"
+_AT = BUCKET.format("p_partkey", "greatest(length(p_brand), 1)")
+
+
+@query(f"""WITH t AS (SELECT p_partkey, p_brand, p_partkey % 50 = 0 AS hit, (p_partkey // 50) % 3 AS turn, {_AT} + 1 AS place FROM part)
+ SELECT p_partkey, CASE WHEN hit AND turn = 0 THEN '' WHEN hit AND turn = 1 THEN substr(p_brand, 1, place) || substr(p_brand, place, 1) || substr(p_brand, place + 1)
+  WHEN hit THEN substr(p_brand, 2, 1) || substr(p_brand, 1, 1) || substr(p_brand, 3) ELSE p_brand END AS p_brand FROM t""")
 def corrupted_values(spark, d):
-    """Blanked, doubled and swapped values; the SQL leaves out the doubled ones, whose place Spark's hash decides."""
+    """Blanked, doubled and swapped values among all."""
     return ar.corrupted(table(spark, d, "part").select("p_partkey", "p_brand"), "p_partkey", "p_brand")
 
 
@@ -352,7 +357,8 @@ def label_propagation(spark, d):
     return ar.propagated(v, "cluster", "quality").select("doc_id", "cluster", "spread")
 
 
-@query("WITH p AS (SELECT s_suppkey AS a, s_nationkey AS va, lead(s_suppkey) OVER (PARTITION BY s_suppkey // 4096 ORDER BY s_suppkey) AS b, lead(s_nationkey) OVER (PARTITION BY s_suppkey // 4096 ORDER BY s_suppkey) AS vb FROM supplier) SELECT * FROM p WHERE b IS NOT NULL AND va <> vb")
+@query("""WITH p AS (SELECT s_suppkey AS a, s_nationkey AS va FROM supplier), j AS (SELECT p.a, p.va, min(q.a) AS b FROM p JOIN p q ON q.a > p.a AND q.va IS DISTINCT FROM p.va GROUP BY 1, 2)
+ SELECT j.a, j.va, j.b, q.va AS vb FROM j JOIN p q ON q.a = j.b""")
 def mismatched_pairs(spark, d):
     return ar.mismatched_pairs(table(spark, d, "supplier"), "s_suppkey", "s_nationkey")
 
@@ -362,9 +368,11 @@ def hash_buckets(spark, d):
     return table(spark, d, "customer").select("c_custkey", numeric.hash_bucket(F.col("c_custkey"), 16).alias("bucket"), F.round(numeric.modulo_share(F.col("c_custkey"), 7), 9).alias("share"))
 
 
-@query("WITH k AS (SELECT o_custkey AS c FROM orders GROUP BY 1), j AS (SELECT c_custkey, 1 AS n_left, CASE WHEN c IS NULL THEN 0 ELSE 1 END AS n_right FROM customer LEFT JOIN k ON c = c_custkey) SELECT c_custkey, CAST(n_left AS BIGINT) AS n_left, CAST(n_right AS BIGINT) AS n_right FROM j WHERE n_right <> 1")
+@query("""WITH l AS (SELECT c_custkey, count(*) AS n FROM customer GROUP BY 1), r AS (SELECT o_custkey AS c_custkey, count(*) AS n FROM orders GROUP BY 1),
+ j AS (SELECT c_custkey, coalesce(l.n, 0) AS n_left, coalesce(r.n, 0) AS n_right FROM l FULL JOIN r USING (c_custkey)) SELECT * FROM j WHERE n_left <> 1 OR n_right <> 1""")
 def key_alignment(spark, d):
-    right = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct()
+    """Customers whose key isn't met exactly once on either side: repeats and gaps."""
+    right = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
     return ev.key_check(table(spark, d, "customer").select("c_custkey"), right, "c_custkey")
 
 
@@ -374,6 +382,13 @@ def round_robin_selection(spark, d):
     return ce.round_robin(p, "p_brand", ["p_partkey"], 24).withColumn("turn", F.col("turn").cast("bigint"))
 
 
-@query("SELECT doc_id, length(text) AS n_chars, " + SHAPE.format("substr(text, 1, 0)") + " IS NOT NULL AS has_text, lang FROM documents")
-def text_lengths(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.length("text").cast("bigint").alias("n_chars"), F.col("text").isNotNull().alias("has_text"), "lang")
+@query(f"""WITH t AS (SELECT 'documents' AS source, source AS raw FROM documents UNION ALL SELECT 'pages', url FROM pages UNION ALL SELECT 'conversations', text FROM conversations),
+ s AS (SELECT source, CASE WHEN raw IS NULL OR trim(raw) = '' THEN '<empty>' ELSE regexp_replace(regexp_replace(regexp_replace({SHAPE.format("regexp_replace(raw, '[^ -~]', '', 'g')")}, 'D+', 'D', 'g'), 'A+', 'A', 'g'), 'S+', 'S', 'g') END AS shape, raw FROM t),
+ c AS (SELECT source, shape, count(*) AS n, max(length(raw)) AS longest FROM s GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, shape) AS rank FROM c) SELECT * FROM r WHERE rank <= 20""")
+def text_shape_profile(spark, d):
+    """The commonest run shapes of whole texts (ASCII signs), by table."""
+    named = lambda t, c: table(spark, d, t).select(F.lit(t).alias("source"), F.col(c).alias("raw"))
+    rows = named("documents", "source").unionByName(named("pages", "url")).unionByName(named("conversations", "text"))
+    shape = text.run_shape(F.regexp_replace("raw", "[^ -~]", ""))
+    counts = rows.groupBy("source", F.when(F.trim("raw") == "", "<empty>").otherwise(shape).alias("shape")).agg(F.count("*").alias("n"), F.max(F.length("raw")).cast("bigint").alias("longest"))
+    return ce.top(counts, ["source"], 20, ["shape"])

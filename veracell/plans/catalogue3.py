@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veracell.operators import annotations as an
 from veracell.operators import cells as ce
+from veracell.operators import profile as pr
 from veracell.operators import semantics as se
 from veracell.streaming import score
 
-from .catalogue import CUSTOMER_COLUMNS, PAIRS, query, table
-from .catalogue2 import DIRTY, CLEAN, ORDER_RULES, RULE_SQL, _orders
+from .catalogue import CUSTOMER_COLUMNS, CUSTOMER_SQL, PAIRS, cells_sql, query, table
+from .catalogue2 import BUCKET, CLEAN, DIRTY, ORDER_RULES, RULE_SQL, _orders
 from .inputs import dirty_customer, dirty_part
 from veracell.operators import dual as du
 from veracell.operators import rules as ru
@@ -38,11 +42,18 @@ def dependency_disagreement(spark, d):
     return se.dependency_disagreement(dirty_customer(spark, d), "nationkey", "nation").withColumn("strength", F.round("strength", 6))
 
 
-@query("""SELECT * FROM (VALUES ('c_name', 'open_entity'), ('c_nationkey', 'numeric_measure'), ('o_orderdate', 'free_text'), ('o_orderstatus', 'free_text'), ('ps_size', 'unit_measure'), ('city', 'geo_name'), ('ship_date', 'temporal_measure'), ('brewery_id', 'identifier')) t("column", archetype)""")
+PROFILED = ["c_name", "c_mktsegment", "nationkey", "nation", "region"]
+
+
+@query(cells_sql(PROFILED, CUSTOMER_SQL) + """, v AS (SELECT col, sig, count(*) AS n FROM cell WHERE sig <> '<na>' GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY col ORDER BY n DESC, sig) AS k FROM v),
+ s AS (SELECT col, count(*) / sum(n) AS unique_ratio, sum(n) FILTER (k <= 10) / sum(n) AS top_coverage FROM r GROUP BY 1)
+ SELECT col AS "column", round(unique_ratio, 9) AS unique_ratio, round(top_coverage, 9) AS top_coverage, CASE WHEN col = 'region' THEN 'geo_name' WHEN col = 'c_name' OR unique_ratio >= 0.5 THEN 'open_entity'
+  WHEN unique_ratio <= 0.10 AND top_coverage >= 0.30 THEN 'closed_enum' ELSE 'free_text' END AS archetype FROM s""")
 def column_archetypes(spark, d):
-    kinds = {"c_nationkey": "numeric"}
-    names = ["c_name", "c_nationkey", "o_orderdate", "o_orderstatus", "ps_size", "city", "ship_date", "brewery_id"]
-    return spark.createDataFrame([(c, se.archetype(c, kinds.get(c, "text"), 0.2, 0.1).archetype) for c in names], "column string, archetype string")
+    """Archetypes from names and from how the columns' values are spread."""
+    spread = pr.uniqueness(ce.values(ce.cells(dirty_customer(spark, d), PROFILED))).collect()  # a row a column
+    rows = [(r.column, round(r.unique_ratio, 9), round(r.top10_coverage, 9), se.archetype(r.column, "text", r.unique_ratio, r.top10_coverage).archetype) for r in spread]
+    return spark.createDataFrame(rows, "column string, unique_ratio double, top_coverage double, archetype string")
 
 
 @query()
@@ -85,9 +96,19 @@ def event_windows(spark, d):
     return score.event_windows(e).withColumn("total", F.round("total", 6))
 
 
-@query("""WITH p AS (SELECT DISTINCT p_type AS clean FROM part) SELECT clean, concat(clean, '#?') AS wrong, 'pattern' AS family FROM p""")
+_BLANK = "[\'\', \'n/a\', \'null\'][" + BUCKET.format("clean", "3") + " + 1]"
+
+
+@query(f"""WITH p AS (SELECT DISTINCT CAST(p_type AS VARCHAR) AS clean FROM part UNION SELECT DISTINCT CAST(p_size AS VARCHAR) FROM part),
+ e AS (SELECT clean, {_BLANK} AS wrong, 'missing' AS family FROM p UNION ALL SELECT clean, clean || '#?', 'pattern' FROM p
+  UNION ALL SELECT clean, CASE WHEN regexp_full_match(clean, '-?[0-9]+') THEN CAST(CAST(clean AS DOUBLE) * 1000 AS VARCHAR) ELSE repeat(clean, 3) END, 'outlier' FROM p
+  UNION ALL SELECT clean, lead(clean) OVER (PARTITION BY {BUCKET.format("clean", "64")} ORDER BY clean), 'relationship' FROM p) SELECT * FROM e WHERE wrong IS NOT NULL AND wrong <> clean""")
 def made_errors(spark, d):
-    return an.made_errors(table(spark, d, "part").select("p_type").distinct(), "p_type", "pattern")
+    """Wrong values of all four families from the types and sizes of parts."""
+    p = table(spark, d, "part")
+    seeds = p.select("p_type").unionByName(p.select(F.col("p_size").cast("string").alias("p_type"))).distinct()
+    families = [an.made_errors(seeds, "p_type", f) for f in ("missing", "pattern", "outlier", "relationship")]
+    return reduce(DataFrame.unionByName, families)
 
 
 @query()
@@ -97,7 +118,13 @@ def likely_typos(spark, d):
     return p.where(an.looks_like_typo(F.col("p_brand"), F.col("clean_brand")))
 
 
-@query("SELECT count(*) AS n FROM part")
+_PART = ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]
+_ROW = "concat_ws(chr(31), " + ", ".join(f"coalesce('=' || CAST({c} AS VARCHAR), '-')" for c in [*_PART, "p_partkey"]) + ")"
+_SCHEMA = "struct<p_partkey:bigint,p_name:string,p_brand:string,p_type:string,p_size:int,p_retailprice:double,row_idx:bigint>"
+
+
+@query(f"""WITH h AS (SELECT ('0x' || substr(md5({_ROW}), 1, 15))::BIGINT AS h FROM part), a AS (SELECT count(*) AS n, bit_xor(h) AS x, sum(h) AS s FROM h)
+ SELECT n, sha256('{_SCHEMA}|' || n || '|' || x || '|' || s) AS sha256 FROM a""")
 def table_fingerprint(spark, d):
-    """Count and hash over all columns of the table; the SQL has the count only."""
-    return ce.fingerprint(table(spark, d, "part"))
+    """Count and hash over all rows, columns and the order of the table."""
+    return ce.fingerprint(ce.with_rows(table(spark, d, "part").select(*_PART), "p_partkey"))

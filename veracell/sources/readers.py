@@ -46,7 +46,7 @@ METRIC = r"(?i)precision[=: ]+([0-9.]+).*?recall[=: ]+([0-9.]+).*?f1[=: ]+([0-9.
 
 def read_metric_logs(spark: SparkSession, path: str) -> DataFrame:
     """file, precision, recall, f1 of the first metrics found in each log."""
-    t = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.regexp_replace("value", r"\s+", " ").alias("t"))
+    t = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.regexp_replace("value", r"\s+", " ").alias("t"))
     return t.where(F.col("t").rlike(METRIC)).select("file", *[F.regexp_extract("t", METRIC, k).try_cast("double").alias(n) for k, n in ((1, "precision"), (2, "recall"), (3, "f1"))])
 
 

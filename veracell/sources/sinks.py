@@ -7,12 +7,21 @@ import math
 import os
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PRIVATE = ("active_oracle_label", "queried_for_calibration", "cell_confidence", "confidence")
 
 
+def workspace(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a temporary one only in one process."""
+    context = spark.sparkContext
+    known = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not known and not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (known or "file://" + tempfile.mkdtemp(prefix="veracell-")).rstrip("/")
+
+
 def write_scores(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Scores, highest first within the files' global order."""
     df.orderBy(F.desc("posterior"), "row_idx", "column").write.mode("overwrite").format(fmt).option("header", True).save(path)
