@@ -251,3 +251,10 @@ def explain(contrib: DataFrame, intercept: float, threshold: float = 0.5) -> Dat
     pro = F.filter("items", lambda i: F.when(dirty, i["c"] > 1e-12).otherwise(i["c"] < -1e-12))
     con = F.filter("items", lambda i: F.when(dirty, i["c"] < -1e-12).otherwise(i["c"] > 1e-12))
     return g.select("row_idx", "column", "posterior", F.when(dirty, "dirty").otherwise("clean").alias("decision"), names(pro, 1, 1).alias("primary_reason"), names(pro, 2, 3).alias("supporting"), names(con, 1, 3).alias("counter"))
+
+
+def seed_values(priors: DataFrame, n: int = 20, most: float = 0.5) -> DataFrame:
+    """Each column's n commonest values whose mean posterior is below ``most``."""
+    from .cells import top
+
+    return top(priors.where(F.col("prior") < most), ["column"], n, ["sig"]).select("column", "sig", "n", "rank")

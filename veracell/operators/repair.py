@@ -13,6 +13,10 @@ from veracell.functions import numeric, text
 KINDS = ("regex_replace", "strip_suffix", "split_trailing_token", "truncate_at_marker", "normalize_surface")
 
 
+#: Characters that an operation may be written with.
+PLAN_CHARS = 4000
+
+
 @dataclass(frozen=True)
 class Operation:
     kind: str
@@ -36,6 +40,8 @@ def check(op: Operation) -> str:
         return "low_confidence"
     if len(op.pattern) > 500:
         return "pattern_too_long"
+    if len(op.pattern) + len(op.replacement) + len(op.suffix) + len(op.marker) + sum(len(str(x)) for kv in op.mapping.items() for x in kv) > PLAN_CHARS:
+        return "plan_too_long"
     if op.kind == "regex_replace":
         try:
             re.compile(op.pattern)

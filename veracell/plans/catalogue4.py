@@ -84,6 +84,14 @@ def evidence_signatures(spark, d):
     return s.select(F.size("vector").cast("bigint").alias("n_features"), F.col("n").alias("n_cells"), F.col("cell.row_idx").alias("first_row"))
 
 
+@query(OBS + f""", vp AS (SELECT cell.col, sig, round(avg(coalesce(posterior, {SIGMOID.format("ln(0.05 / 0.95)")})), 6) AS prior, count(*) AS n FROM cell LEFT JOIN po ON cell.row_idx = po.row_idx AND cell.col = po.col GROUP BY 1, 2),
+ r AS (SELECT *, row_number() OVER (PARTITION BY col ORDER BY n DESC, sig) AS rank FROM vp WHERE prior < 0.5) SELECT col AS "column", sig, n, rank FROM r WHERE rank <= 20""")
+def seed_values(spark, d):
+    """The commonest values that look clean."""
+    cell, obs = observed(spark, d)
+    return inf.seed_values(inf.value_priors(cell, inf.posteriors(inf.features(obs), INTERCEPT, None), INTERCEPT))
+
+
 # ---- gates, scales and promotion
 
 _COUNTS = {("closed_enum", "pattern_mismatch"): (3, 1), ("numeric_measure", "rarity_high"): (2, 2)}

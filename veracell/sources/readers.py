@@ -73,3 +73,20 @@ def mock_employees(spark: SparkSession, n: int) -> DataFrame:
     num = lambda salt, lo, hi: (F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(hi - lo)) + lo).cast("int")
     return spark.range(n).select((F.col("id") + 1).alias("employee_id"), pick(1, ["Ana", "Ben", "Chloe", "Dev", "Elif"]).alias("name"), num(2, 20, 65).alias("age"), pick(3, ["Sales", "Research", "Support"]).alias("department"),
                                  num(4, 30000, 120000).alias("salary"), pick(5, ["Lyon", "Oslo", "Porto", "Quito"]).alias("city"))
+
+
+def mock_sales(spark: SparkSession, n: int) -> DataFrame:
+    """Rows of a made-up order table, the same for the same n."""
+    pick = lambda salt, items: F.element_at(F.array(*map(F.lit, items)), (F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(len(items))) + 1).cast("int"))
+    share = lambda salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(10_000)) / 10_000
+    return spark.range(n).select(
+        F.format_string("ORD%06d", F.col("id") + 1).alias("order_id"), pick(6, ["Lamp", "Chair", "Desk", "Shelf"]).alias("product"), (1 + F.floor(share(7) * 20)).cast("int").alias("quantity"),
+        F.round(5 + share(8) * 495, 2).alias("price"), pick(9, ["North", "South", "East", "West"]).alias("region"),
+        F.date_format(F.date_add(F.lit("2024-01-01"), F.floor(share(10) * 366).cast("int")), "yyyy-MM-dd").alias("date"))
+
+
+def row_texts(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Each row's twin as sentences."""
+    from veracell.operators.archive import serialised
+
+    return df.select(key, serialised(df, columns).alias("text"))
