@@ -37,7 +37,8 @@ def test_every_cell_has_a_row_and_every_kind_of_evidence_speaks(table):
     assert len(cells) == 3 * len(ROWS) and all(0 <= r.posterior <= 1 for r in cells.values())
     families = {e.family for r in cells.values() for e in r.evidence}
     assert {"missing", "outlier", "pattern", "contextual", "relationship", "canonicalization", "prototype_lexical"} <= families
-    assert any(e.source == "contextual_disagreement" for e in cells[40, "code"].evidence)
+    against = next(e for e in cells[40, "code"].evidence if e.source == "contextual_disagreement")
+    assert against.detail == "expected no by city" and "(expected no by city)" in cells[40, "code"].explanation
     assert any(e.source == "canonicalization_strip_suffix" for e in cells[42, "city"].evidence)
     assert cells[41, "city"].hard_label == "hard_dirty" and "missing_token" in cells[41, "city"].hard_reasons
     assert set(found.labels) and all(t for t in (found.thresholds or {"a": 1}).values())
@@ -72,10 +73,10 @@ def test_arrays_say_what_long_rows_say(table):
 
 
 def test_one_of_each_keeps_the_strongest(spark):
-    rows = [(1, "a", [("cell", "s", "f", "dirty", x, h) for x, h in ((0.2, False), (0.7, False), (0.5, True))])]
-    df = spark.createDataFrame(rows, "row_idx bigint, column string, obs array<struct<scope:string,source:string,family:string,polarity:string,strength:double,hard:boolean>>")
+    rows = [(1, "a", [("cell", "s", "f", "dirty", x, h, None) for x, h in ((0.2, False), (0.7, False), (0.5, True))])]
+    df = spark.createDataFrame(rows, "row_idx bigint, column string, obs array<struct<scope:string,source:string,family:string,polarity:string,strength:double,hard:boolean,detail:string>>")
     assert sorted((o.strength, o.hard) for o in sc.one_of_each(df).first().obs) == [(0.5, True), (0.7, False)]
-    up = sc.promoted(spark.createDataFrame([(1, "a", [("cell", "missing_token", "missing", "dirty", 0.15, False)])], df.schema), ["a"]).first().obs[0]
+    up = sc.promoted(spark.createDataFrame([(1, "a", [("cell", "missing_token", "missing", "dirty", 0.15, False, None)])], df.schema), ["a"]).first().obs[0]
     assert (up.strength, up.hard) == (1.0, True)
     with pytest.raises(ValueError):
         sc.rules_scaled(df, -1)

@@ -59,7 +59,7 @@ def _obs(cond: Column, source: str, family: str, polarity: str, strength: Column
 def _kept(df: DataFrame, keys: list[str], scope: str, generated: list[Column]) -> DataFrame:
     """The keys and ``obs``, the array of what the generators say."""
     found = F.filter(F.array(*generated), lambda o: o.isNotNull())
-    scoped = F.transform(found, lambda o: F.struct(F.lit(scope).alias("scope"), *[o[c].alias(c) for c in ("source", "family", "polarity", "strength", "hard")]))
+    scoped = F.transform(found, lambda o: F.struct(F.lit(scope).alias("scope"), *[o[c].alias(c) for c in ("source", "family", "polarity", "strength", "hard")], F.lit(None).cast("string").alias("detail")))
     return df.select(*keys, scoped.alias("obs"))
 
 
@@ -207,12 +207,12 @@ def consensus_evidence(best: DataFrame) -> DataFrame:
     name = F.when(F.col("rule"), "llm_fd_disagreement").when(F.col("polarity") == "dirty", "contextual_disagreement").otherwise("contextual_agreement")
     family = F.when(F.col("rule"), "relationship").otherwise("contextual")
     return best.where("strength > 0").select("row_idx", F.col("tgt").alias("column"), F.lit("cell").alias("scope"), name.alias("source"), family.alias("family"),
-                                             "polarity", "strength", F.lit(False).alias("hard"))
+                                             "polarity", "strength", F.lit(False).alias("hard"), F.concat(F.lit("expected "), F.col("expected"), F.lit(" by "), F.col("ctx")).alias("detail"))
 
 
 def gathered(extra: list[DataFrame]) -> DataFrame:
     """row_idx, column and one array of the observations of several long frames."""
-    parts = ["scope", "source", "family", "polarity", "strength", "hard"]
+    parts = ["scope", "source", "family", "polarity", "strength", "hard", "detail"]
     rows = [e.select("row_idx", "column", F.struct(*parts).alias("o")) for e in extra]
     return reduce(DataFrame.unionByName, rows).groupBy("row_idx", "column").agg(F.collect_list("o").alias("more"))
 

@@ -15,6 +15,7 @@ import math
 from bisect import bisect_right
 from itertools import accumulate
 
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,10 +37,10 @@ def interpolated(at, n: int, ps: list[float]) -> list[float]:
     return out
 
 
-def sorted_here(counts: DataFrame, ps: list[float]) -> dict[str, list[float]]:
+def sorted_here(counts: pd.DataFrame, ps: list[float]) -> dict[str, list[float]]:
     """The same from a number of counts that is known to be small."""
     out = {}
-    for c, g in counts.toPandas().groupby("column"):
+    for c, g in counts.groupby("column"):
         g = g.sort_values("x")
         x, upto = g.x.to_numpy(), g.n.cumsum().to_numpy()
         out[c] = interpolated(lambda r, x=x, upto=upto: float(x[upto.searchsorted(r, side="right")]), int(upto[-1]), ps)
@@ -77,8 +78,9 @@ def exact(long: DataFrame, ps: list[float], buckets: int = BUCKETS, few: int = F
     known = long.where(x.isNotNull() & ~F.isnan(x))
     counts = known.select("column", bracketed(known, ps).alias("x")).groupBy("column", "x").agg(F.count("*").alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        if counts.limit(few + 1).count() <= few:
-            return sorted_here(counts, ps)
+        small = counts.limit(few + 1).toPandas()
+        if len(small) <= few:
+            return sorted_here(small, ps)
         steps = [F.lit(k / buckets) for k in range(1, buckets)]
         pivots = {r.column: sorted(set(r.p)) for r in counts.groupBy("column").agg(F.percentile_approx("x", F.array(*steps), 4096).alias("p")).collect()}
         if not pivots:

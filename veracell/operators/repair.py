@@ -119,4 +119,5 @@ def validated(df: DataFrame, ops: list[Operation], contract: dict[str, str], lea
 def repair_evidence(cand: DataFrame) -> DataFrame:
     """Each cell's best candidate as dirty evidence of its own family."""
     return cand.where("rank = 1").select("row_idx", "column", F.lit("cell").alias("scope"), F.concat(F.lit("canonicalization_"), F.col("mechanism")).alias("source"), F.lit("canonicalization").alias("family"),
-                                         F.lit("dirty").alias("polarity"), F.col("score").alias("strength"), F.lit(False).alias("hard"))
+                                         F.lit("dirty").alias("polarity"), F.col("score").alias("strength"), F.lit(False).alias("hard"),
+                                         F.concat(F.lit("candidate "), F.col("candidate")).alias("detail"))

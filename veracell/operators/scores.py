@@ -1,6 +1,6 @@
 """Scores and explanations of cells that hold their evidence as one array.
 
-``obs`` is an array of (scope, source, family, polarity, strength, hard). All
+``obs`` is an array of (scope, source, family, polarity, strength, hard, detail). All
 that follows from it (gates, score, contributions, reasons) is made of array
 functions in projections, so a cell's evidence is never shuffled again.
 """
@@ -14,7 +14,7 @@ from veracell.functions import numeric
 
 from .inference import GATED, GATES
 
-PARTS = ("scope", "source", "family", "polarity", "strength", "hard")
+PARTS = ("scope", "source", "family", "polarity", "strength", "hard", "detail")
 NOTHING = 1e-12
 
 REASONS = {
@@ -34,11 +34,11 @@ def _replaced(o: Column, **new: Column) -> Column:
 
 def one_of_each(cells: DataFrame) -> DataFrame:
     """Of the observations with equal scope, source, polarity and hardness the strongest."""
-    key = lambda o: F.struct(*[o[p].alias(p) for p in PARTS if p != "strength"])
-    ranked = F.array_sort(F.transform("obs", lambda o: F.struct(key(o).alias("k"), (-o["strength"]).alias("s"))))
+    key = lambda o: F.struct(*[o[p].alias(p) for p in PARTS if p not in ("strength", "detail")])
+    ranked = F.array_sort(F.transform("obs", lambda o: F.struct(key(o).alias("k"), (-o["strength"]).alias("s"), o["detail"].alias("d"))))
     out = cells.withColumn("_r", ranked)
     first = F.filter("_r", lambda r, i: (i == 0) | (r["k"] != F.get("_r", i - 1)["k"]))
-    back = F.transform(first, lambda r: F.struct(*[(-r["s"] if p == "strength" else r["k"][p]).alias(p) for p in PARTS]))
+    back = F.transform(first, lambda r: F.struct(*[(-r["s"] if p == "strength" else r["d"] if p == "detail" else r["k"][p]).alias(p) for p in PARTS]))
     return out.withColumn("obs", back).drop("_r")
 
 
@@ -154,7 +154,9 @@ def explained(cells: DataFrame, threshold: float = 0.5, column_thresholds: dict[
     names = lambda arr, a, n: F.array_join(F.transform(F.slice(arr, a, n), lambda e: e["source"]), ",")
     hard = F.filter("evidence", lambda e: e["hard"])
     words = F.create_map(*[x for k, v in REASONS.items() for x in (F.lit(k), F.lit(v))])
-    said = lambda arr, a, n: F.array_join(F.transform(F.slice(arr, a, n), lambda e: F.coalesce(F.try_element_at(words, e["source"]), F.regexp_replace(e["source"], "_", " "))), "; ")
+    phrase = lambda e: F.coalesce(F.try_element_at(words, e["source"]), F.regexp_replace(e["source"], "_", " "))
+    told = lambda e: F.concat(phrase(e), F.coalesce(F.concat(F.lit(" ("), e["detail"], F.lit(")")), F.lit("")))
+    said = lambda arr, a, n: F.array_join(F.transform(F.slice(arr, a, n), told), "; ")
     d = d.withColumn("decision", F.when(dirty, "dirty").otherwise("clean")).withColumn("primary_reason", names("_pro", 1, 1)).withColumn("supporting", names("_pro", 2, 3)).withColumn("counter", names("_con", 1, 3))
     d = d.withColumn("hard_label", F.when(F.exists(hard, lambda e: e["polarity"] == "dirty"), "hard_dirty").when(F.size(hard) > 0, "hard_clean").otherwise(""))
     d = d.withColumn("hard_reasons", F.array_join(F.array_sort(F.array_distinct(F.transform(hard, lambda e: e["source"]))), ","))

@@ -35,7 +35,7 @@ def write_explanations(df: DataFrame, path: str, audit: bool = False) -> None:
 
 
 def write_repairs(candidates: DataFrame, path: str) -> None:
-    candidates.select(F.concat_ws("::", F.col("row_idx").cast("string"), "column").alias("cell_key"), "row_idx", "column", "rank", "mechanism", "candidate", "score").write.mode("overwrite").option("header", True).csv(path)
+    candidates.select(F.concat_ws("::", F.col("row_idx").cast("string"), "column").alias("cell_key"), "row_idx", "column", "rank", "mechanism", "candidate", "score", *[c for c in ("ambiguity", "changed") if c in candidates.columns]).write.mode("overwrite").option("header", True).csv(path)
 
 
 def plain(x):
