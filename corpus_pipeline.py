@@ -1,8 +1,13 @@
 """The corpus pipeline: documents through five of the text operators.
 
 Each stage takes (spark, docs, sf_dir) and works on all its predecessor kept;
-all but the last return the columns of documents. Null texts fail the quality
-rules; the stages' other defined results are those of their operators.
+all but the last return the columns of documents, whatever else they are called.
+
+Defined results: null, empty and very short texts fail the quality rules and go;
+very long texts are judged and rewritten whole; of near duplicates, repeated rows
+among them, one row stays, and two different texts under one doc_id are told
+apart; rows without a doc_id all stay; a text that is a passage or personal data
+altogether becomes empty or a mark and stays a row; an empty table gives no rows.
 """
 
 from __future__ import annotations
