@@ -381,7 +381,7 @@ def redacted(text: str, spans) -> str:
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
-    """doc_id, base counts, base_sha256, spans and n_added of (doc_id, text);
+    """doc_id, base counts, base_sha256, spans, n_added and n_spans of (doc_id, text);
     code points, ends exclusive; no shuffle."""
     weights = field()
 
@@ -390,11 +390,11 @@ def find_pii(docs: DataFrame) -> DataFrame:
             found = [scan(weights, t or "") for t in texts]
             out = {f"n_{kind}": [sum(s[0] == k for s in base) for base, _ in found] for k, kind in enumerate(KINDS)}
             return {"doc_id": ids, **out, "base_sha256": [hashlib.sha256(told(base).encode()).hexdigest() for base, _ in found],
-                    "spans": [told(every) for _, every in found], "n_added": [len(every) - len(base) for base, every in found]}
+                    "spans": [told(every) for _, every in found], "n_added": [len(every) - len(base) for base, every in found], "n_spans": [len(every) for _, every in found]}
 
         return work
 
-    return arrow_map(docs, "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_added bigint", build)
+    return arrow_map(docs, "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_added bigint, n_spans bigint", build)
 
 
 def redact_text(docs: DataFrame, text_col: str = "text") -> DataFrame:
