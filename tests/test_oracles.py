@@ -8,7 +8,11 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-NAMES = ["value_registry", "grammar_distribution", "char_trigram_support", "numeric_profile", "prototype_nearest", "context_disagreement", "dependency_candidates", "evidence_features", "gate_weak_prior", "four_zone", "repair_candidates", "cosine_topk"]
+NAMES = [
+    "value_registry", "grammar_distribution", "char_trigram_support", "numeric_profile", "prototype_nearest", "context_disagreement", "dependency_candidates", "evidence_features",
+    "gate_weak_prior", "four_zone", "repair_candidates", "cosine_topk", "cell_scores", "rule_provenance", "relation_observations", "table_fingerprint", "corrupted_values", "made_errors",
+    "identifier_and_rule_consensus", "trace_file", "csv_cells", "disjoint_rules", "key_alignment", "text_shape_profile", "aligned_annotations",
+]
 
 
 @pytest.fixture(scope="module")
