@@ -131,3 +131,25 @@ def test_ranks_that_do_not_ascend_are_merged_by_the_library(monkeypatch):
     ids = " ".join(x[1] for x in coder.encode([text])[0])
     assert ids == " ".join(map(str, coder.tok.encode(text, add_special_tokens=False).ids))
     assert coder.decode(ids) == coder.tok.decode(list(map(int, ids.split())), skip_special_tokens=False)
+
+
+def test_strings_in_use_stay_when_the_memo_is_full(monkeypatch):
+    monkeypatch.setattr(pair_bpe, "MEMO", 100)
+    c, learned = pair_bpe.PairCoder("word_bpe_49k.json"), []
+    learn = c._learn
+    monkeypatch.setattr(c, "_learn", lambda pieces: (learned.append(pieces), learn(pieces)))
+    common = [f"Common{j}," for j in range(20)]
+    for k in range(12):
+        text = " ".join(common + [f"once{k}x{j}" for j in range(20)])
+        assert " ".join(x[1] for x in c.encode([text])[0]) == " ".join(map(str, c.tok.encode(text, add_special_tokens=False).ids))
+    assert learned[0][:20] == common and not any(set(common) & set(pieces) for pieces in learned[1:])
+
+
+def test_rounds_merge_as_lists_of_places_do():
+    import random
+
+    index, pick = pair_bpe.PairCoder("word_bpe_49k.json").index, random.Random(7)
+    letters = [chr(c) for c in token_files.byte_letters().values()]
+    words = ["".join(pick.choices(pick.choice([letters, "etaoinshr", "ab", "a"]), k=pick.randint(1, 2 * pair_bpe.SHORT))) for _ in range(2000)]
+    assert index.merge(words) == index.merge_long(words) and index.merge([]) == []
+    assert index.rounds(words) == index.merge_long(words)
