@@ -110,6 +110,27 @@ def test_repeated_bytes(table, texts, rowless, group_runs):
     assert suffix_dedup.deduplicated(id_and_text(rowless)).count() == 0
 
 
+def test_runs_of_pieces_hashed_together():
+    r = random.Random(4)
+    texts = ["".join(r.choice("abé ") for _ in range(r.choice([1, 60, 99, 100, 101, 300, 5000]))) for _ in range(400)]
+    groups, depth, gram = list(suffix_dedup.pieces(range(400), texts)), suffix_dedup.DEPTH, suffix_dedup.GRAM
+    assert all(len(g) == 1 or sum(len(p) for _, _, p in g) <= 1 << 17 for g in groups)  # arrays of eight bytes each that a cache holds
+    assert [d for g in groups for d, _, _ in g] == list(range(400))
+    parts = [p for _, _, p in groups[0]][:40]
+    sizes = np.array(list(map(len, parts)), np.int64)
+    starts = np.cumsum(sizes) - sizes
+    *found, hashes = suffix_dedup.runs(np.frombuffer(b"".join(parts), np.uint8), starts, sizes)
+    want, high = [], (hashes >> np.uint64(26)).tolist()
+    for k, (a, n) in enumerate(zip(starts.tolist(), sizes.tolist())):
+        for lo in range(a, a + n - depth + 1):
+            anchor = min(range(lo, lo + depth - gram + 1), key=lambda at: (high[at], at))
+            if want and want[-1][0] == k and want[-1][3] == anchor:
+                want[-1][2] += 1
+            else:
+                want.append([k, lo, 1, anchor])
+    assert [list(x) for x in zip(*[c.tolist() for c in found])] == want
+
+
 def test_long_texts_are_cut_into_pieces(table, monkeypatch):
     r = random.Random(2)
     t = "".join(r.choice("abcdefgh") for _ in range(1500))

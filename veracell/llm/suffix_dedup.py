@@ -35,6 +35,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,8 +50,10 @@ DEPTHS = (40, 70, DEPTH)
 GROUP_RUNS = 1 << 12
 #: Runs whose suffixes are sorted together.
 SORT_RUNS = 1 << 12
-#: Bytes that are hashed together, and the most window starts of one document in a piece.
+#: The most window starts of one document in a piece.
 PIECE = 1 << 22
+#: Bytes of the shorter pieces that are hashed together, so that arrays stay in a core's cache.
+TOGETHER = 1 << 17
 _POSITION = 26
 _R = np.random.RandomState(20240229)
 _BYTE = _R.randint(0, 1 << 62, 256, dtype=np.int64).view(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -83,24 +86,26 @@ def runs(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray):
         none = np.empty(0, np.int64)
         return none, none, none, none, np.empty(0, np.uint64)
     hashes = gram_hashes(data)
-    low = (hashes & ~np.uint64((1 << _POSITION) - 1)) | np.arange(n, dtype=np.uint64)
+    low = hashes & ~np.uint64((1 << _POSITION) - 1)
+    low |= np.arange(n, dtype=np.uint64)
     size = 1
     while size * 2 <= span:
-        low[: n - size] = np.minimum(low[: n - size], low[size:])
+        np.minimum(low[: n - size], low[size:], out=low[: n - size])
         size *= 2
     if span > size and n > span - size:
-        low[: n - (span - size)] = np.minimum(low[: n - (span - size)], low[span - size :])
-    windows = np.maximum(sizes - DEPTH + 1, 0)
-    first = np.repeat(starts - (np.cumsum(windows) - windows), windows)
-    at = first + np.arange(len(first))  # every window's start
-    piece = np.repeat(np.arange(len(starts)), windows)
-    anchor = (low[at] & np.uint64((1 << _POSITION) - 1)).astype(np.int64)
-    if not len(at):
-        return piece, at, at, anchor, hashes
-    fresh = np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (piece[1:] != piece[:-1])))
+        np.minimum(low[: n - (span - size)], low[span - size :], out=low[: n - (span - size)])
+    # a run begins where the anchor changes or a piece begins, and ends at its piece's last window
+    ends = starts + np.maximum(sizes - DEPTH + 1, 0)
+    fresh = np.ones(n, bool)
+    np.not_equal(low[1:], low[:-1], out=fresh[1:])
+    fresh[starts] = True
+    fresh[ends[ends < n]] = True
     lo = np.flatnonzero(fresh)
-    count = np.diff(np.concatenate((lo, [len(at)])))
-    return piece[lo], at[lo], count, anchor[lo], hashes
+    count = np.diff(np.append(lo, n))
+    piece = np.searchsorted(starts, lo, side="right") - 1
+    inside = lo < ends[piece]
+    piece, lo, count = piece[inside], lo[inside], count[inside]
+    return piece, lo, count, (low[lo] & np.uint64((1 << _POSITION) - 1)).astype(np.int64), hashes
 
 
 def pieces(ids, texts):
@@ -113,7 +118,7 @@ def pieces(ids, texts):
         raw = text.encode()
         for offset in range(0, max(1, len(raw) - DEPTH + 1), PIECE):
             part = raw[offset : offset + PIECE + DEPTH - 1]
-            if held and size + len(part) > PIECE:
+            if held and size + len(part) > TOGETHER:
                 yield held
                 held, size = [], 0
             held.append((doc_id, offset, part))
@@ -356,11 +361,14 @@ def deduplicated(docs: DataFrame, texts: bool = False, group_runs: int = GROUP_R
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                rows = []
-                for doc_id, text, own in zip(*[c.to_pylist() for c in batch.slice(at, 256).columns]):
+                rows, part = [], batch.slice(at, 256)
+                lists = part.column(2)
+                starts, ends = (x.to_pylist() for x in lists.flatten().flatten())
+                count = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+                for doc_id, text, lo, hi in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), (np.cumsum(count) - count).tolist(), np.cumsum(count).tolist()):
                     raw = (text or "").encode()
                     kept, last, removed, n = [], 0, 0, 0
-                    for a, b in merged([(s["start"], s["end"]) for s in own or ()]):
+                    for a, b in merged(list(zip(starts[lo:hi], ends[lo:hi]))):
                         kept.append(raw[last:a])
                         last, removed, n = b, removed + b - a, n + 1
                     kept.append(raw[last:])
