@@ -104,6 +104,56 @@ def test_memo_is_bounded(monkeypatch):
         assert len(c.memo) <= 90 and len(e.memo) <= 90
 
 
+def test_plain_texts_are_cut_together_and_each_word_is_merged_once(monkeypatch):
+    import pyarrow as pa
+
+    e, merged = token_files.WordEncoder("byte_bpe_50k.json"), []
+    model = e.pieces.model
+
+    class Counting:
+        def tokenize(self, word):
+            merged.append(word)
+            return model.tokenize(word)
+
+    e.pieces.model = Counting()
+    monkeypatch.setattr(e.pieces, "encode", lambda texts: pytest.fail("a text of its own") if texts else [])
+    plain = ["", "x", "'s it's 've we're  they'll'd", "one two\n\n three \n", " Élan vital, 12 34ab!? ", "ends in \n", "don't 'tis rock'n'roll ' s''t"]
+    for texts in (plain, plain[::-1] * 3, [t + "once" for t in plain]):
+        assert e.encode(pa.array([None, *texts])) == [b"", *e.pieces._library(texts)]
+    assert len(merged) == len(set(merged)) > 30
+
+
+def test_cut_texts_code_as_the_library(monkeypatch):
+    import random
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(token_files, "KNOWN", 200)
+    e, pick = token_files.WordEncoder("byte_bpe_50k.json"), random.Random(7)
+    plain = ["'s", "'ve", "'ll", "'", "'r", "'S", " ", "  ", "\n", " \n", "\n ", "a", "re", "word", "é", "Ā", "ɏ", "1", "23", ".", "##", "don't", "s", "ll"]
+    odd = [*plain, "×", "÷", "ɐ", "\t", "日本", "<|endoftext|>", "\xa0", "\x00", "😀", "<|endof"]
+    for _ in range(20):
+        texts = ["".join(pick.choices(odd if pick.random() < 0.2 else plain, k=pick.choice([0, 1, 2, 3, 12, 40]))) for _ in range(100)]
+        assert e.encode(pa.array(["left out", *texts])[1:]) == e._odd_ids(texts) == e.pieces._library(texts)
+        assert len(e.known) == len(e.ids) <= 200
+    assert e.encode(pa.array([], pa.string())) == [] and e.encode(pa.array(["a b"], pa.large_string())) == e.pieces._library(["a b"])
+    with pytest.raises(Exception):
+        e.encode(pa.array([b"\xc3", b"\xa9"], pa.binary()).view(pa.string()))
+
+
+def test_batches_are_cut_and_joined_by_bytes(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(token_files, "CHUNK_BYTES", 10)
+    texts = [None, "abcd", "efgh", "ijkl", "", "x" * 30, "y", None, "z" * 9, "", "tail"]
+    for size in (1, 3, 11):
+        batches = pa.table({"doc_id": range(11), "text": texts}).to_batches(max_chunksize=size)
+        parts = [p.column(1).to_pylist() for p in token_files.chunks(batches)]
+        assert sum(parts, []) == texts
+        assert all(sum(len(t or "") for t in p) <= 10 or [t for t in p if t] == ["x" * 30] for p in parts) and len(parts) == 5
+    assert list(token_files.chunks([])) == []
+
+
 def test_very_long_texts_and_repeated_rows(spark, table):
     long = "Some words, and 12 numbers; x" + "y" * 5000 + " é ü\n" * 20_000 + "tail  of   it " * 20_000
     df = table([(1, long), (1, long), (2, "a b"), (None, "a b")])

@@ -35,7 +35,9 @@ import zlib
 from array import array
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -47,6 +49,8 @@ SEEK_MAGIC, SEEK_FOOTER, INDEX_MAGIC = 0x184D2A5E, 0x8F92EAB1, 0x184D2A50
 ENTRY = struct.Struct("<qBIII")
 #: Entries of each of the two generations of a worker's memos, of pieces and of pre-tokens.
 MEMO, WORDS = 300_000, 800_000
+#: Bytes of text that are cut together, entries of the memo of their pre-tokens and its bytes.
+CHUNK_BYTES, KNOWN, KNOWN_BYTES = 8 << 20, 2_000_000, 64 << 20
 
 
 class ShardWriter:
@@ -239,6 +243,143 @@ class PieceEncoder:
         return out
 
 
+def byte_kinds() -> np.ndarray:
+    """Kinds of the bytes of plain texts: 1 letters, 2 digits, 3 signs, 4 white
+    space; 0 is in no plain text. Letters beyond ASCII have two bytes."""
+    kinds = np.zeros(256, np.uint8)
+    kinds[33:127] = 3
+    kinds[[10, 32]] = 4
+    kinds[48:58] = 2
+    kinds[[*range(65, 91), *range(97, 123), *range(0x80, 0xC0), *range(0xC3, 0xCA)]] = 1
+    return kinds
+
+
+def span(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets, from 0, and bytes of an array of strings without nulls."""
+    if not len(texts):
+        return np.zeros(1, np.int32), np.zeros(0, np.uint8)
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    return offsets - offsets[0], data
+
+
+class WordEncoder:
+    """The library's ids of many texts at once.
+
+    Plain texts (no characters but those of ``PLAIN`` and spaces, no string of an
+    added token) are cut into pre-tokens by passes over the bytes of them all;
+    Arrow tells the distinct ones apart, the library's model merges each once, and
+    the ids are gathered. Pre-tokens stay in a bounded memo; when it is full, those
+    of the last chunk remain. All other texts go through ``PieceEncoder``.
+    """
+
+    def __init__(self, name: str):
+        self.pieces = PieceEncoder(name)
+        self.kinds = byte_kinds()
+        letters = self.pieces.letters
+        self.letters = np.array([letters[b] for b in range(256)], "<u2")
+        self.known, self.ids = pa.array([], pa.binary()), pa.array([], pa.binary())
+
+    def _plain(self, texts: pa.Array) -> np.ndarray:
+        offsets, data = span(texts)
+        odd = [np.flatnonzero(self.kinds[data] == 0)]
+        # the two signs among the letters, and what follows them
+        for lead, bad in ((0xC3, (0x97, 0xB7)), (0xC9, range(0x90, 0xC0))):
+            at = np.flatnonzero(data == lead)
+            odd.append(at[np.isin(data[at + 1], bad)])
+        plain = np.diff(offsets) <= CHUNK_BYTES
+        plain[np.searchsorted(offsets, np.concatenate(odd), side="right") - 1] = False
+        for added in self.pieces.added:
+            plain &= ~pc.match_substring(texts, added).to_numpy(zero_copy_only=False)
+        return plain
+
+    def _starts(self, offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
+        """Where the pre-tokens of plain texts begin: what ``SPLIT`` finds."""
+        n, kind = len(data), self.kinds[data]
+        begin, end = offsets[:-1], offsets[1:]
+        begin, end = begin[begin < end], end[begin < end]
+        white, space = kind == 4, data == 32
+        start = np.ones(n, bool)
+        np.not_equal(kind[1:], kind[:-1], out=start[1:])
+        start[1:] &= white[1:] | ~space[:-1]  # a space belongs to what follows it
+        last = np.zeros(n, bool)  # so the last of several spaces stands apart
+        last[1:-1] = white[1:-1] & white[:-2] & ~white[2:]
+        last[end - 1] = False
+        start |= last
+        start[begin] = True
+        at = np.flatnonzero(data == 39)  # 's and the like, where a pre-token begins with the sign
+        if len(at):
+            text = np.searchsorted(begin, at, side="right") - 1
+            left, room = at - 1, end[text] - at
+            at, room = (x[(at == begin[text]) | ((kind[left] != 3) & ~space[left])] for x in (at, room))
+            one, two, three = (np.where(room > k, data[np.minimum(at + k, n - 1)], 0) for k in (1, 2, 3))
+            short = np.isin(one, list(b"stmd"))
+            long = ((one == 108) & (two == 108)) | (((one == 114) | (one == 118)) & (two == 101))
+            start[at[short | long] + 1] = False
+            for hit, size, after in ((short, 2, two), (long, 3, three)):
+                start[at[hit & (self.kinds[after] == 1)] + size] = True
+        return np.flatnonzero(start).astype(np.int32)
+
+    def _merge(self, words: pa.Array) -> pa.Array:
+        offsets, data = span(words)
+        text, tokenize = self.letters[data].tobytes().decode("utf-16-le"), self.pieces.model.tokenize
+        ids, ends, at = array("I"), [0], offsets.tolist()
+        for a, b in zip(at, at[1:]):
+            ids.extend([t.id for t in tokenize(text[a:b])])
+            ends.append(4 * len(ids))
+        return pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(array("i", ends)), pa.py_buffer(ids)])
+
+    def _plain_ids(self, texts: pa.Array) -> list[bytes]:
+        offsets, data = span(texts)
+        starts = self._starts(offsets, data)
+        bounds = np.append(starts, np.int32(len(data)))
+        words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(data)]).dictionary_encode()
+        found = pc.index_in(words.dictionary, value_set=self.known)
+        new = words.dictionary.filter(pc.is_null(found))
+        place = found.fill_null(-1).to_numpy().copy()
+        place[place < 0] = len(self.known) + np.arange(len(new))
+        known, ids = pa.concat_arrays([self.known, new]), pa.concat_arrays([self.ids, self._merge(new)])
+        at, raw = span(ids.take(pa.array(place[words.indices.to_numpy()])))
+        at, raw = at[np.searchsorted(starts, offsets)].tolist(), raw.tobytes()
+        if len(known) > KNOWN or known.nbytes + ids.nbytes > KNOWN_BYTES:
+            known, ids = words.dictionary, ids.take(pa.array(place))
+            if len(known) > KNOWN:
+                known, ids = known[:0], ids[:0]
+        self.known, self.ids = known, ids
+        return [raw[a:b] for a, b in zip(at, at[1:])]
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text, little-endian; a null is an empty text."""
+        texts = texts.cast(pa.string()).fill_null("")
+        texts.validate(full=True)  # what is not UTF-8 is refused
+        plain = self._plain(texts)
+        if plain.all():
+            return self._plain_ids(texts)
+        easy = iter(self._plain_ids(texts.filter(pa.array(plain))))
+        hard = iter(self._odd_ids(texts.filter(pa.array(~plain)).to_pylist()))
+        return [next(easy if p else hard) for p in plain.tolist()]
+
+    def _odd_ids(self, texts: list[str]) -> list[bytes]:
+        return [ids for at in range(0, len(texts), 512) for ids in self.pieces.encode(texts[at : at + 512])]
+
+
+def chunks(batches):
+    """Batches cut and joined to about ``CHUNK_BYTES`` of text, the second column."""
+    held, size = [], 0
+    for batch in batches:
+        sizes = pc.binary_length(batch.column(1)).fill_null(0).to_numpy()
+        at = 0
+        for k, n in enumerate(sizes.tolist()):
+            if size and size + n > CHUNK_BYTES:
+                held.append(batch.slice(at, k - at))
+                yield pa.Table.from_batches(held)
+                held, size, at = [], 0, k
+            size += n
+        held.append(batch.slice(at))
+    if sum(b.num_rows for b in held):
+        yield pa.Table.from_batches(held)
+
+
 def write_shards(docs: DataFrame, folder: str, tokenizer: str = "byte_bpe_50k.json", end_id: int | None = 2,
                  frame_bytes: int = FRAME_BYTES) -> DataFrame:
     """Encodes (doc_id, text) into shards; returns the manifest, one row a shard.
@@ -248,18 +389,15 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str = "byte_bpe_50k.js
     end = b"" if end_id is None else struct.pack("<I", end_id)
 
     def run(batches):
-        coder = vocab.once(("pieces", tokenizer), lambda: PieceEncoder(tokenizer))
+        coder = vocab.once(("words", tokenizer), lambda: WordEncoder(tokenizer))
         writer = first = part_id = None
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                ids = part.column(0).to_pylist()
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                if writer is None:
-                    first, part_id, uri = ids[0], part.column(2)[0].as_py(), f"{folder}/{uuid.uuid4().hex}.tok"
-                    writer = ShardWriter(uri, frame_bytes)
-                for doc_id, coded in zip(ids, coder.encode(texts)):
-                    writer.add(doc_id, coded + end)
+        for part in chunks(batches):
+            ids = part.column(0).to_pylist()
+            if writer is None:
+                first, part_id, uri = ids[0], part.column(2)[0].as_py(), f"{folder}/{uuid.uuid4().hex}.tok"
+                writer = ShardWriter(uri, frame_bytes)
+            for doc_id, coded in zip(ids, coder.encode(pa.concat_arrays(part.column(1).chunks))):
+                writer.add(doc_id, coded + end)
         if writer is not None:
             writer.close()
             yield pa.RecordBatch.from_pydict({"path": [uri], "first_doc": pa.array([first], pa.int64()), "n_docs": [writer.n_docs], "n_ids": [writer.n_ids], "part": pa.array([part_id], pa.int32())})
