@@ -458,9 +458,7 @@ def regex_candidates(spark, d):
  SELECT row_idx FROM x, t WHERE n <= 256 OR floor(i * 256 / n) <> floor((i - 1) * 256 / n)""")
 def even_sample(spark, d):
     """Rows at even distances in the table's order."""
-    o = table(spark, d, "orders").select("o_orderkey").orderBy("o_orderkey")
-    numbered = ce.numbered(o).withColumnsRenamed({"row_idx": "i"})
-    return ce.evenly_spaced(numbered, 256, "i").select(F.col("o_orderkey").alias("row_idx"))
+    return ar.evenly_placed(table(spark, d, "orders"), "o_orderkey", 256).select(F.col("o_orderkey").alias("row_idx"))
 
 
 @query("SELECT s_nationkey, round(avg(s_acctbal), 6) AS mean, round(stddev_pop(s_acctbal), 6) AS std, count(*) AS n FROM supplier GROUP BY 1")
