@@ -73,10 +73,15 @@ def bracketed(known: DataFrame, ps: list[float]) -> Column:
 
 def exact(long: DataFrame, ps: list[float], buckets: int = BUCKETS, few: int = FEW) -> dict[str, list[float]]:
     """Linearly interpolated percentiles of (column, x) by column; nulls and not-
-    a-numbers are left out, a column without numbers is missing from the result."""
+    a-numbers are left out, a column without numbers is missing from the result.
+    A row with ``n`` stands for so many."""
     x = F.col("x")
     known = long.where(x.isNotNull() & ~F.isnan(x))
-    counts = known.select("column", bracketed(known, ps).alias("x")).groupBy("column", "x").agg(F.count("*").alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
+    if "n" in long.columns:
+        counts = known.groupBy("column", "x").agg(F.sum("n").alias("n"))
+    else:
+        counts = known.select("column", bracketed(known, ps).alias("x")).groupBy("column", "x").agg(F.count("*").alias("n"))
+    counts = counts.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         small = counts.limit(few + 1).toPandas()
         if len(small) <= few:

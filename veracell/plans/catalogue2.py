@@ -55,6 +55,16 @@ OBS = cells_sql(COLUMNS, PART_SQL) + f""", n0 AS (SELECT count(*) AS n FROM src)
  ps AS (SELECT row_idx, col, greatest(-30, least(30, {BASE} + sum(x))) AS logit FROM ft GROUP BY 1, 2), po AS (SELECT *, {SIGMOID.format('logit')} AS posterior FROM ps)"""
 
 
+def seen(spark, d):
+    """The distinct raw values, and the observations of the first cell of each."""
+    forms = ce.Forms(dirty_part(spark, d), COLUMNS)
+    value = ce.values(forms.rows)
+    x = forms.rows.where("column = 'p_size'").select("column", "n", numeric.strict(F.col("raw")).alias("x"))
+    q = exact(x, [0.01, 0.05, 0.95, 0.99])["p_size"]
+    specs = evi.infer_specs(value, forms.rows, CONFIG.kinds, CONFIG.patterns, {"p_size": dict(zip(("p01", "p05", "p95", "p99"), q))}, CONFIG.archetypes)
+    return forms, evi.on_cells(forms.rows, evi.value_evidence(value, specs), evi.cell_evidence(forms.rows, value, specs))
+
+
 def observed(spark, d):
     df = dirty_part(spark, d)
     cell = ce.cells(df, COLUMNS)
@@ -190,7 +200,8 @@ def explanation_faithfulness(spark, d):
 @query()
 def dopt_queries(spark, d):
     """Cells to label first, by greedy design (rows only: an iterative algorithm)."""
-    chosen = inf.choose_queries(inf.features(observed(spark, d)[1]), 10)
+    forms, obs = seen(spark, d)
+    chosen = inf.choose_queries(forms.weighted(inf.evidence_vectors(inf.features(obs))), 10)
     return spark.createDataFrame([(k, r, c) for k, (r, c) in enumerate(chosen)], "place int, row_idx bigint, column string")
 
 
