@@ -8,6 +8,7 @@ import __spark_entry__ as entry
 SF, TIMES = "/root/testdata/sf0.001", 100
 NAMES = [
     "dopt_queries",
+    "column_thresholds",
 ]
 CUSTOMERS = ("context_agreement", "identifier_and_rule_consensus")
 

@@ -113,6 +113,11 @@ def gate_weak_prior(spark, d):
 INTERCEPT = -2.9444389791664403
 
 
+def weighed(spark, d):
+    forms, obs = seen(spark, d)
+    return forms, obs, inf.posteriors(inf.features(obs), INTERCEPT, None)
+
+
 def scored(spark, d):
     cell, obs = observed(spark, d)
     return cell, obs, inf.posteriors(inf.features(obs), INTERCEPT, None)
@@ -146,9 +151,9 @@ LABELLED = " fl AS (SELECT po.row_idx, po.col, posterior, label, CAST(posterior
 
 
 def labelled(spark, d):
-    post = scored(spark, d)[2]
-    t = ev.truth(dirty_part(spark, d), CONFIG.clean)
-    return post.join(t.select("row_idx", "column", "label"), ["row_idx", "column"]).withColumn("predicted", (F.col("posterior") >= 0.2).cast("int"))
+    forms, _, post = weighed(spark, d)
+    t = ev.truth(dirty_part(spark, d), CONFIG.clean).select("row_idx", "column", F.col("dirty").alias("raw"), "label")
+    return forms.to_cells(post, t).withColumn("predicted", (F.col("posterior") >= 0.2).cast("int"))
 
 
 @query(OBS + TRUTH + "," + LABELLED + """, g AS (SELECT col, count(*) AS n, max(posterior) FILTER (label = 0) AS c, min(posterior) FILTER (label = 1) AS d FROM fl GROUP BY 1)
