@@ -9,6 +9,7 @@ SF, TIMES = "/root/testdata/sf0.001", 100
 NAMES = [
     "dopt_queries",
     "column_thresholds",
+    "gate_summary",
 ]
 CUSTOMERS = ("context_agreement", "identifier_and_rule_consensus")
 

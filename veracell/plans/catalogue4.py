@@ -23,7 +23,7 @@ from veracell.operators import semantics as se
 from veracell.sources import readers, sinks
 
 from .catalogue import (COLLAPSED, CUSTOMER_COLUMNS, MODES, PART_CELLS, PART_SQL, SIMILAR, _list, part_cells, query, table)
-from .catalogue2 import (CLEAN, CONFIG, DIRTY, INTERCEPT, MISSING, OBS, ORDER_RULES, REPAIRS, RULE_SQL, SIGMOID, TRUTH, _gate_sql, _orders, _prf, observed)
+from .catalogue2 import (CLEAN, CONFIG, DIRTY, INTERCEPT, MISSING, OBS, ORDER_RULES, REPAIRS, RULE_SQL, SIGMOID, TRUTH, _gate_sql, _orders, _prf, observed, seen)
 from .detect import DetectConfig, detect, export
 from .inputs import dirty_customer, dirty_part
 
@@ -115,7 +115,8 @@ def gate_soft(spark, d):
 
 @query(OBS + f', g AS ({_SCALES} FROM obs) SELECT col AS "column", source, count(*) AS n, round(avg(strength), 6) AS before, round(avg(strength * gate_scale), 6) AS after FROM g WHERE gate_scale < 1 GROUP BY 1, 2')
 def gate_summary(spark, d):
-    return _prf(inf.gate_report(inf.gate(observed(spark, d)[1], CONFIG.archetypes)))
+    forms, obs = seen(spark, d)
+    return _prf(inf.gate_report(inf.gate(forms.weighted(obs), CONFIG.archetypes)))
 
 
 @query(OBS + """ SELECT row_idx, col AS "column", source, round(CASE WHEN source IN ('pattern_match', 'pattern_mismatch') THEN strength * 0.5 ELSE strength END, 6) AS strength FROM obs WHERE scope = 'cell'""")
