@@ -10,6 +10,7 @@ NAMES = [
     "dopt_queries",
     "column_thresholds",
     "gate_summary",
+    "evidence_coverage",
 ]
 CUSTOMERS = ("context_agreement", "identifier_and_rule_consensus")
 

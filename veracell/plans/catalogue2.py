@@ -82,7 +82,8 @@ def evidence_features(spark, d):
 
 @query(OBS + " SELECT scope, source, polarity, count(DISTINCT (row_idx, col)) AS n_cells, count(*) AS n FROM obs GROUP BY 1, 2, 3")
 def evidence_coverage(spark, d):
-    return evi.coverage(observed(spark, d)[1])
+    forms, obs = seen(spark, d)
+    return evi.coverage(forms.weighted(obs))
 
 
 @query(OBS + """ SELECT row_idx, col AS "column", CASE WHEN bool_or(polarity = 'dirty') THEN 'hard_dirty' ELSE 'hard_clean' END AS label, array_to_string(list_sort(list_distinct(list(source))), ',') AS reasons FROM obs WHERE hard GROUP BY 1, 2""")
