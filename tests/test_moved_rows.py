@@ -11,6 +11,7 @@ NAMES = [
     "column_thresholds",
     "gate_summary",
     "evidence_coverage",
+    "evidence_signatures",
 ]
 CUSTOMERS = ("context_agreement", "identifier_and_rule_consensus")
 

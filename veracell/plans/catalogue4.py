@@ -80,7 +80,8 @@ def calibrated_posteriors(spark, d):
  SELECT CAST(len(v) AS BIGINT) AS n_features, count(*) AS n_cells, min(row_idx) AS first_row FROM vx GROUP BY v""")
 def evidence_signatures(spark, d):
     """Distinct evidence vectors with their cells."""
-    s = inf.signatures(inf.evidence_vectors(inf.features(observed(spark, d)[1])))
+    forms, obs = seen(spark, d)
+    s = inf.signatures(forms.weighted(inf.evidence_vectors(inf.features(obs))))
     return s.select(F.size("vector").cast("bigint").alias("n_features"), F.col("n").alias("n_cells"), F.col("cell.row_idx").alias("first_row"))
 
 
