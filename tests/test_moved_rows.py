@@ -12,6 +12,7 @@ NAMES = [
     "gate_summary",
     "evidence_coverage",
     "evidence_signatures",
+    "gate_weak_prior",
 ]
 CUSTOMERS = ("context_agreement", "identifier_and_rule_consensus")
 

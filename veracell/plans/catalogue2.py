@@ -98,7 +98,9 @@ def _gate_sql(scale):
 
 
 def _gated(spark, d, **k):
-    return inf.gate(observed(spark, d)[1], CONFIG.archetypes, **k).where("gate_scale < 1").select("row_idx", "column", "scope", "source", F.round("strength", 6).alias("strength"), F.round("gate_scale", 6).alias("gate_scale"))
+    forms, obs = seen(spark, d)
+    out = inf.gate(obs, CONFIG.archetypes, **k).where("gate_scale < 1")
+    return forms.to_cells(out.select("row_idx", "column", "scope", "source", F.round("strength", 6).alias("strength"), F.round("gate_scale", 6).alias("gate_scale")))
 
 
 @query(_gate_sql(lambda t: t))

@@ -23,7 +23,7 @@ from veracell.operators import semantics as se
 from veracell.sources import readers, sinks
 
 from .catalogue import (COLLAPSED, CUSTOMER_COLUMNS, MODES, PART_CELLS, PART_SQL, SIMILAR, _list, part_cells, query, table)
-from .catalogue2 import (CLEAN, CONFIG, DIRTY, INTERCEPT, MISSING, OBS, ORDER_RULES, REPAIRS, RULE_SQL, SIGMOID, TRUTH, _gate_sql, _orders, _prf, observed, seen)
+from .catalogue2 import (CLEAN, CONFIG, DIRTY, INTERCEPT, MISSING, OBS, ORDER_RULES, REPAIRS, RULE_SQL, SIGMOID, TRUTH, _gate_sql, _gated, _orders, _prf, observed, seen)
 from .detect import DetectConfig, detect, export
 from .inputs import dirty_customer, dirty_part
 
@@ -110,8 +110,7 @@ def _soft_sql():
 
 @query(_soft_sql())
 def gate_soft(spark, d):
-    out = inf.gate(observed(spark, d)[1], CONFIG.archetypes, mode="soft", support=_COUNTS, confidence={c: 0.8 for c in CONFIG.columns}).where("gate_scale < 1")
-    return out.select("row_idx", "column", "scope", "source", F.round("strength", 6).alias("strength"), F.round("gate_scale", 6).alias("gate_scale"))
+    return _gated(spark, d, mode="soft", support=_COUNTS, confidence={c: 0.8 for c in CONFIG.columns})
 
 
 @query(OBS + f', g AS ({_SCALES} FROM obs) SELECT col AS "column", source, count(*) AS n, round(avg(strength), 6) AS before, round(avg(strength * gate_scale), 6) AS after FROM g WHERE gate_scale < 1 GROUP BY 1, 2')
