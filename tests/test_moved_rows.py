@@ -13,6 +13,7 @@ NAMES = [
     "evidence_coverage",
     "evidence_signatures",
     "gate_weak_prior",
+    "hard_labels",
 ]
 CUSTOMERS = ("context_agreement", "identifier_and_rule_consensus")
 

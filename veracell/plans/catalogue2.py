@@ -88,7 +88,8 @@ def evidence_coverage(spark, d):
 
 @query(OBS + """ SELECT row_idx, col AS "column", CASE WHEN bool_or(polarity = 'dirty') THEN 'hard_dirty' ELSE 'hard_clean' END AS label, array_to_string(list_sort(list_distinct(list(source))), ',') AS reasons FROM obs WHERE hard GROUP BY 1, 2""")
 def hard_labels(spark, d):
-    return evi.hard_labels(observed(spark, d)[1])
+    forms, obs = seen(spark, d)
+    return forms.to_cells(evi.hard_labels(obs))
 
 
 def _gate_sql(scale):

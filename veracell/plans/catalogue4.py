@@ -137,10 +137,10 @@ _STRUCTURAL = f"""WITH s AS ({BLANKED}), v AS (SELECT {COLLAPSED.format('priorit
 
 
 def _missing_evidence(spark, d):
-    cell = ce.cells(_blanked(spark, d), ["priority"])
-    value = ce.values(cell)
-    specs = evi.infer_specs(value, cell, {"priority": "categorical"}, {}, {}, {})
-    return evi.cell_evidence(cell, value, specs).where("source = 'missing_token'")
+    forms = ce.Forms(_blanked(spark, d), ["priority"])
+    value = ce.values(forms.rows)
+    specs = evi.infer_specs(value, forms.rows, {"priority": "categorical"}, {}, {}, {})
+    return forms.to_cells(evi.cell_evidence(forms.rows, value, specs).where("source = 'missing_token'"))
 
 
 @query(_STRUCTURAL + " SELECT row_idx, CASE WHEN structural THEN 0.15 ELSE 1.0 END AS strength, NOT structural AS hard FROM m")
@@ -167,9 +167,9 @@ def _spec(**k):
 
 @query(PART_CELLS + f""" SELECT row_idx, 1.0 AS strength, true AS hard FROM cell WHERE col = 'p_brand' AND NOT {MISSING} AND sig NOT IN ({_list(_LEGAL)})""")
 def closed_set_evidence(spark, d):
-    cell = part_cells(spark, d).where("column = 'p_brand'")
-    out = evi.cell_evidence(cell, ce.values(cell), [_spec(legal=_LEGAL)])
-    return out.where("source = 'closed_set_invalid'").select("row_idx", "strength", "hard")
+    forms = ce.Forms(dirty_part(spark, d), ["p_brand"])
+    out = evi.cell_evidence(forms.rows, ce.values(forms.rows), [_spec(legal=_LEGAL)])
+    return forms.to_cells(out.where("source = 'closed_set_invalid'")).select("row_idx", "strength", "hard")
 
 
 _NEAR = " UNION ALL ".join(f"SELECT sig, trim(raw) AS a, '{p}' AS b FROM v" for p in _PROTO)
