@@ -14,6 +14,7 @@ NAMES = [
     "evidence_signatures",
     "gate_weak_prior",
     "hard_labels",
+    "seed_values",
 ]
 CUSTOMERS = ("context_agreement", "identifier_and_rule_consensus")
 

@@ -23,7 +23,7 @@ from veracell.operators import semantics as se
 from veracell.sources import readers, sinks
 
 from .catalogue import (COLLAPSED, CUSTOMER_COLUMNS, MODES, PART_CELLS, PART_SQL, SIMILAR, _list, part_cells, query, table)
-from .catalogue2 import (CLEAN, CONFIG, DIRTY, INTERCEPT, MISSING, OBS, ORDER_RULES, REPAIRS, RULE_SQL, SIGMOID, TRUTH, _gate_sql, _gated, _orders, _prf, observed, seen)
+from .catalogue2 import (CLEAN, CONFIG, DIRTY, INTERCEPT, MISSING, OBS, ORDER_RULES, REPAIRS, RULE_SQL, SIGMOID, TRUTH, _gate_sql, _gated, _orders, _prf, observed, seen, weighed)
 from .detect import DetectConfig, detect, export
 from .inputs import dirty_customer, dirty_part
 
@@ -89,8 +89,8 @@ def evidence_signatures(spark, d):
  r AS (SELECT *, row_number() OVER (PARTITION BY col ORDER BY n DESC, sig) AS rank FROM vp WHERE prior < 0.5) SELECT col AS "column", sig, n, rank FROM r WHERE rank <= 20""")
 def seed_values(spark, d):
     """The commonest values that look clean."""
-    cell, obs = observed(spark, d)
-    return inf.seed_values(inf.value_priors(cell, inf.posteriors(inf.features(obs), INTERCEPT, None), INTERCEPT))
+    forms, _, post = weighed(spark, d)
+    return inf.seed_values(inf.value_priors(forms.rows, post, INTERCEPT))
 
 
 # ---- gates, scales and promotion
