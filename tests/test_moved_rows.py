@@ -15,6 +15,7 @@ NAMES = [
     "gate_weak_prior",
     "hard_labels",
     "seed_values",
+    "calibrated_posteriors",
 ]
 CUSTOMERS = ("context_agreement", "identifier_and_rule_consensus")
 

@@ -73,7 +73,8 @@ def primary_reasons(spark, d):
 @query(OBS + f', cw AS (SELECT row_idx, col, sum({_WEIGHT} * x) AS w FROM ft GROUP BY 1, 2) SELECT row_idx, col AS "column", round({SIGMOID.format(f"{INTERCEPT} + w")}, 6) AS posterior FROM cw')
 def calibrated_posteriors(spark, d):
     """Scores under given weights, gates left out."""
-    return inf.posteriors(inf.features(observed(spark, d)[1]), INTERCEPT, WEIGHTS).select("row_idx", "column", F.round("posterior", 6).alias("posterior"))
+    forms, obs = seen(spark, d)
+    return forms.to_cells(inf.posteriors(inf.features(obs), INTERCEPT, WEIGHTS).select("row_idx", "column", F.round("posterior", 6).alias("posterior")))
 
 
 @query(OBS + """, vx AS (SELECT row_idx, col, list_sort(list({'feature': feature, 'x': round(x, 3)}) FILTER (abs(x) > 1e-9)) AS v FROM ft GROUP BY 1, 2)
