@@ -16,6 +16,7 @@ NAMES = [
     "hard_labels",
     "seed_values",
     "calibrated_posteriors",
+    "detection_metrics",
 ]
 CUSTOMERS = ("context_agreement", "identifier_and_rule_consensus")
 
