@@ -17,6 +17,7 @@ NAMES = [
     "seed_values",
     "calibrated_posteriors",
     "detection_metrics",
+    "loeo_contributions",
 ]
 CUSTOMERS = ("context_agreement", "identifier_and_rule_consensus")
 

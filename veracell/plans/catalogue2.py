@@ -145,8 +145,8 @@ CONTRIB = (OBS + f", ct AS (SELECT obs.row_idx, obs.col, scope, source, posterio
 
 @query(CONTRIB + ' SELECT row_idx, col AS "column", scope, source, round(contribution, 6) AS contribution FROM ct')
 def loeo_contributions(spark, d):
-    _, obs, post = scored(spark, d)
-    return inf.contributions(obs, post, None).select("row_idx", "column", "scope", "source", F.round("contribution", 6).alias("contribution"))
+    forms, obs, post = weighed(spark, d)
+    return forms.to_cells(inf.contributions(obs, post, None).select("row_idx", "column", "scope", "source", F.round("contribution", 6).alias("contribution")))
 
 
 TRUTH = (f", tr AS (SELECT row_idx, 'p_brand' AS col, p_brand AS dirty, clean_brand AS clean FROM src UNION ALL SELECT row_idx, 'p_size', p_size, clean_size FROM src), "
@@ -202,8 +202,8 @@ def threshold_sweep_f1(spark, d):
  g AS (SELECT row_idx, col, any_value(posterior) AS p, any_value(logit) AS l, sum(CASE WHEN r <= 3 AND w > 0 THEN w ELSE 0 END) AS best, sum(w) AS total FROM r GROUP BY 1, 2)
  SELECT row_idx, col AS "column", round(p - {SIGMOID.format('l - best')}, 6) AS comprehensiveness, round(p - {SIGMOID.format('l - total + best')}, 6) AS sufficiency, {SIGMOID.format('l - best')} < 0.2 AS flips FROM g""")
 def explanation_faithfulness(spark, d):
-    _, obs, post = scored(spark, d)
-    return _prf(ev.faithfulness(inf.contributions(obs, post, None), threshold=0.2))
+    forms, obs, post = weighed(spark, d)
+    return _prf(forms.to_cells(ev.faithfulness(inf.contributions(obs, post, None), threshold=0.2)))
 
 
 @query()
