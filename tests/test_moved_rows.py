@@ -18,6 +18,7 @@ NAMES = [
     "calibrated_posteriors",
     "detection_metrics",
     "loeo_contributions",
+    "posterior_scores",
 ]
 CUSTOMERS = ("context_agreement", "identifier_and_rule_consensus")
 

@@ -129,7 +129,8 @@ def scored(spark, d):
 
 @query(OBS + ' SELECT row_idx, col AS "column", round(logit, 6) AS logit, round(posterior, 6) AS posterior FROM po')
 def posterior_scores(spark, d):
-    return scored(spark, d)[2].select("row_idx", "column", F.round("logit", 6).alias("logit"), F.round("posterior", 6).alias("posterior"))
+    forms, _, post = weighed(spark, d)
+    return forms.to_cells(post.select("row_idx", "column", F.round("logit", 6).alias("logit"), F.round("posterior", 6).alias("posterior")))
 
 
 @query(OBS + f' SELECT cell.col AS "column", sig, round(avg(coalesce(posterior, {SIGMOID.format(BASE)})), 6) AS prior, count(*) AS n FROM cell LEFT JOIN po ON cell.row_idx = po.row_idx AND cell.col = po.col GROUP BY 1, 2')
