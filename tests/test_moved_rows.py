@@ -19,6 +19,7 @@ NAMES = [
     "detection_metrics",
     "loeo_contributions",
     "posterior_scores",
+    "evidence_features",
 ]
 CUSTOMERS = ("context_agreement", "identifier_and_rule_consensus")
 

@@ -77,7 +77,8 @@ def observed(spark, d):
 
 @query(OBS + ' SELECT row_idx, col AS "column", feature, round(x, 6) AS x FROM ft')
 def evidence_features(spark, d):
-    return inf.features(observed(spark, d)[1]).withColumn("x", F.round("x", 6))
+    forms, obs = seen(spark, d)
+    return forms.to_cells(inf.features(obs).withColumn("x", F.round("x", 6)))
 
 
 @query(OBS + " SELECT scope, source, polarity, count(DISTINCT (row_idx, col)) AS n_cells, count(*) AS n FROM obs GROUP BY 1, 2, 3")

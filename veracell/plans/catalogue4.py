@@ -23,7 +23,7 @@ from veracell.operators import semantics as se
 from veracell.sources import readers, sinks
 
 from .catalogue import (COLLAPSED, CUSTOMER_COLUMNS, MODES, PART_CELLS, PART_SQL, SIMILAR, _list, part_cells, query, table)
-from .catalogue2 import (CLEAN, CONFIG, DIRTY, INTERCEPT, MISSING, OBS, ORDER_RULES, REPAIRS, RULE_SQL, SIGMOID, TRUTH, _gate_sql, _gated, _orders, _prf, observed, seen, weighed)
+from .catalogue2 import (CLEAN, CONFIG, DIRTY, INTERCEPT, MISSING, OBS, ORDER_RULES, REPAIRS, RULE_SQL, SIGMOID, TRUTH, _gate_sql, _gated, _orders, _prf, seen, weighed)
 from .detect import DetectConfig, detect, export
 from .inputs import dirty_customer, dirty_part
 
@@ -122,8 +122,8 @@ def gate_summary(spark, d):
 
 @query(OBS + """ SELECT row_idx, col AS "column", source, round(CASE WHEN source IN ('pattern_match', 'pattern_mismatch') THEN strength * 0.5 ELSE strength END, 6) AS strength FROM obs WHERE scope = 'cell'""")
 def scaled_rule_evidence(spark, d):
-    obs = observed(spark, d)[1].where("scope = 'cell'")
-    return inf.scaled_rules(obs, 0.5).select("row_idx", "column", "source", F.round("strength", 6).alias("strength"))
+    forms, obs = seen(spark, d)
+    return forms.to_cells(inf.scaled_rules(obs.where("scope = 'cell'"), 0.5).select("row_idx", "column", "source", F.round("strength", 6).alias("strength")))
 
 
 BLANKED = "SELECT o_orderkey AS row_idx, CASE WHEN o_orderkey % 10 = 0 THEN 'N/A' WHEN o_orderkey % 1009 = 0 THEN '?' ELSE o_orderpriority END AS priority FROM orders"
@@ -365,9 +365,10 @@ def refined_pair(spark, d):
 def annotation_metrics(spark, d):
     """Recall by type of error, and how many repairs are right."""
     df = dirty_part(spark, d)
-    post = inf.posteriors(inf.features(observed(spark, d)[1]), INTERCEPT, None)
+    forms, _, post = weighed(spark, d)
+    post = forms.rows.select("row_idx", "column").join(post, ["row_idx", "column"], "left")
     best = rp.candidates(df, REPAIRS[:1]).where("rank = 1").select("row_idx", "column", F.col("candidate").alias("repair"))
-    t = ev.truth(df, CONFIG.clean).join(post, ["row_idx", "column"], "left").join(best, ["row_idx", "column"], "left")
+    t = forms.to_cells(post, ev.truth(df, CONFIG.clean).withColumn("raw", F.col("dirty"))).join(best, ["row_idx", "column"], "left")
     return _prf(ev.typed_metrics(t.withColumn("predicted", (F.coalesce("posterior", F.lit(0.0)) >= 0.2).cast("int"))))
 
 
