@@ -20,6 +20,7 @@ NAMES = [
     "loeo_contributions",
     "posterior_scores",
     "evidence_features",
+    "threshold_sweep_f1",
 ]
 CUSTOMERS = ("context_agreement", "identifier_and_rule_consensus")
 
