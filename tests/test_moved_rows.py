@@ -21,6 +21,7 @@ NAMES = [
     "posterior_scores",
     "evidence_features",
     "threshold_sweep_f1",
+    "value_priors",
 ]
 CUSTOMERS = ("context_agreement", "identifier_and_rule_consensus")
 

@@ -65,16 +65,6 @@ def seen(spark, d):
     return forms, evi.on_cells(forms.rows, evi.value_evidence(value, specs), evi.cell_evidence(forms.rows, value, specs))
 
 
-def observed(spark, d):
-    df = dirty_part(spark, d)
-    cell = ce.cells(df, COLUMNS)
-    value = ce.values(cell)
-    x = cell.where("column = 'p_size'").select("column", numeric.strict(F.col("raw")).alias("x"))
-    q = exact(x, [0.01, 0.05, 0.95, 0.99])["p_size"]
-    specs = evi.infer_specs(value, cell, CONFIG.kinds, CONFIG.patterns, {"p_size": dict(zip(("p01", "p05", "p95", "p99"), q))}, CONFIG.archetypes)
-    return cell, evi.on_cells(cell, evi.value_evidence(value, specs), evi.cell_evidence(cell, value, specs))
-
-
 @query(OBS + ' SELECT row_idx, col AS "column", feature, round(x, 6) AS x FROM ft')
 def evidence_features(spark, d):
     forms, obs = seen(spark, d)
@@ -123,11 +113,6 @@ def weighed(spark, d):
     return forms, obs, inf.posteriors(inf.features(obs), INTERCEPT, None)
 
 
-def scored(spark, d):
-    cell, obs = observed(spark, d)
-    return cell, obs, inf.posteriors(inf.features(obs), INTERCEPT, None)
-
-
 @query(OBS + ' SELECT row_idx, col AS "column", round(logit, 6) AS logit, round(posterior, 6) AS posterior FROM po')
 def posterior_scores(spark, d):
     forms, _, post = weighed(spark, d)
@@ -136,8 +121,8 @@ def posterior_scores(spark, d):
 
 @query(OBS + f' SELECT cell.col AS "column", sig, round(avg(coalesce(posterior, {SIGMOID.format(BASE)})), 6) AS prior, count(*) AS n FROM cell LEFT JOIN po ON cell.row_idx = po.row_idx AND cell.col = po.col GROUP BY 1, 2')
 def value_priors(spark, d):
-    cell, _, post = scored(spark, d)
-    return inf.value_priors(cell, post, INTERCEPT).withColumn("prior", F.round("prior", 6))
+    forms, _, post = weighed(spark, d)
+    return inf.value_priors(forms.rows, post, INTERCEPT).withColumn("prior", F.round("prior", 6))
 
 
 SIGNED = "CASE polarity WHEN 'dirty' THEN strength ELSE -strength END"
