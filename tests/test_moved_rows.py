@@ -22,6 +22,7 @@ NAMES = [
     "evidence_features",
     "threshold_sweep_f1",
     "value_priors",
+    "per_column_metrics",
 ]
 CUSTOMERS = ("context_agreement", "identifier_and_rule_consensus")
 
