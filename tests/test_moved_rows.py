@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 
-SF, TIMES = "/root/testdata/sf0.001", 100
+SF = "/root/testdata/sf0.001"
 NAMES = [
     "dopt_queries",
     "column_thresholds",
@@ -23,6 +23,7 @@ NAMES = [
     "threshold_sweep_f1",
     "value_priors",
     "per_column_metrics",
+    "context_agreement",
 ]
 CUSTOMERS = ("context_agreement", "identifier_and_rule_consensus")
 
@@ -31,17 +32,17 @@ CUSTOMERS = ("context_agreement", "identifier_and_rule_consensus")
 def large(spark, tmp_path_factory):
     """Parts and customers many times, under shifted keys."""
     d = tmp_path_factory.mktemp("large")
-    for t, key in (("part", "p_partkey"), ("customer", "c_custkey")):
+    for t, key, times in (("part", "p_partkey", 100), ("customer", "c_custkey", 1000)):
         df = spark.read.parquet(f"{SF}/{t}.parquet")
         shifted = (F.col(key) + 1000 * F.col("id")).cast(df.schema[key].dataType)
-        df.crossJoin(spark.range(TIMES)).withColumn(key, shifted).drop("id").coalesce(2).write.parquet(f"{d}/{t}.parquet")
+        df.crossJoin(spark.range(times)).withColumn(key, shifted).drop("id").coalesce(2).write.parquet(f"{d}/{t}.parquet")
     for t in ("nation", "region"):
         spark.read.parquet(f"{SF}/{t}.parquet").write.parquet(f"{d}/{t}.parquet")
     return str(d)
 
 
 def moved(spark, run) -> int:
-    """Records that a run writes to shuffles."""
+    """Records that a run writes to shuffles; only nations and regions are broadcast unasked."""
     sc = spark.sparkContext._jsc.sc()
 
     def total():
@@ -49,7 +50,7 @@ def moved(spark, run) -> int:
         stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
         return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
 
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "8k")
     try:
         before = total()
         run()

@@ -11,18 +11,20 @@ from pyspark.sql import functions as F
 
 from veracell.functions import text
 
+from .cells import FEW, spread
+
 MIN_GROUP, MIN_SHARE, MIN_PREDICTIVE, MIN_MODE = 3, 0.80, 0.20, 3
 
 
-def pair_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+def pair_counts(df: DataFrame, columns: list[str], weight: str | None = None) -> DataFrame:
     """ctx, ctx_sig, tgt, tgt_sig, n, min_row for ordered pairs; missing contexts
-    are left out."""
+    are left out. A row stands for ``weight`` rows, of which it is the first."""
     sig = {c: text.signature(F.col(f"`{c}`").cast("string")) for c in columns}
-    wide = df.select("row_idx", *[s.alias(c) for c, s in sig.items()])
+    wide = df.select("row_idx", (F.col(weight) if weight else F.lit(1)).cast("bigint").alias("_w"), *[s.alias(c) for c, s in sig.items()])
     pairs = [F.struct(F.lit(a).alias("ctx"), F.col(a).alias("ctx_sig"), F.lit(b).alias("tgt"), F.col(b).alias("tgt_sig")) for a in columns for b in columns if a != b]
-    long = wide.select("row_idx", F.explode(F.array(*pairs)).alias("p")).select("row_idx", "p.*")
+    long = wide.select("row_idx", "_w", F.explode(F.array(*pairs)).alias("p")).select("row_idx", "_w", "p.*")
     long = long.where(~F.col("ctx_sig").isin("<na>", "<empty>", *[m for m in text.RULE_MISSING if m]))
-    return long.groupBy("ctx", "ctx_sig", "tgt", "tgt_sig").agg(F.count("*").alias("n"), F.min("row_idx").alias("min_row"))
+    return long.groupBy("ctx", "ctx_sig", "tgt", "tgt_sig").agg(F.sum("_w").alias("n"), F.min("row_idx").alias("min_row"))
 
 
 def predictiveness(counts: DataFrame) -> DataFrame:
@@ -53,11 +55,16 @@ def consensus(df: DataFrame, columns: list[str], n_rows: int, identifiers: froze
     polarity, ctx, expected, strength, rule.
 
     What a group says of a value is settled once for each distinct pair of
-    signatures; rows meet only pairs that say something. Columns of ``identifiers``
+    signatures, and what is best once for each distinct combination of values, of
+    which the first row stands for all. Columns of ``identifiers``
     agree on weaker support, and so do disagreements under an accepted dependency
     (determinant, dependent), which have ``rule`` set. Missing cells are left out.
     """
-    counts = pair_counts(df, columns)
+    own = [f"_v{k}" for k in range(len(columns))]
+    rows = df.select("row_idx", *[F.col(f"`{c}`").cast("string").alias(v) for c, v in zip(columns, own)])
+    each = rows.groupBy(*own).agg(F.count("*").alias("_n"), F.min("row_idx").alias("row_idx")).persist()
+    distinct = each.withColumnsRenamed(dict(zip(own, columns)))
+    counts = pair_counts(distinct, columns, "_n")
     known = predictiveness(counts).where(F.col("predictiveness") >= MIN_PREDICTIVE)
     groups = modes(counts).where(F.col("g") >= MIN_GROUP).join(F.broadcast(known), ["ctx", "tgt"])  # a row a column pair
     p, share = F.col("n") / F.col("g"), F.col("mode_n") / F.col("g")
@@ -71,13 +78,15 @@ def consensus(df: DataFrame, columns: list[str], n_rows: int, identifiers: froze
     base = F.least(F.lit(1.0), F.col("predictiveness") * F.log(F.col("g").cast("double")) / F.log(F.lit(float(1 + max(n_rows, 2)))))
     said = counts.join(groups, ["ctx", "tgt", "ctx_sig"]).where(ok & ~F.col("tgt_sig").isin("<na>", "<empty>", *[m for m in text.RULE_MISSING if m])).select(
         "ctx", "ctx_sig", "tgt", "tgt_sig", F.when(agrees, "clean").otherwise("dirty").alias("polarity"), F.col("mode_sig").alias("expected"),
-        (base * F.when(agrees, p).otherwise(1 - p)).alias("strength"), (~agrees & rule & ~sound).alias("rule"))
+        (base * F.when(agrees, p).otherwise(1 - p)).alias("strength"), (~agrees & rule & ~sound).alias("rule"), "n")
     sig = {c: text.signature(F.col(f"`{c}`").cast("string")) for c in columns}
     pairs = [F.struct(F.lit(a).alias("ctx"), sig[a].alias("ctx_sig"), F.lit(b).alias("tgt"), sig[b].alias("tgt_sig")) for a in columns for b in columns if a != b]
-    met = df.select("row_idx", F.explode(F.array(*pairs)).alias("p")).select("row_idx", "p.*").join(said, ["ctx", "ctx_sig", "tgt", "tgt_sig"])
+    few = lambda found: found.limit(FEW + 1).count() <= FEW
+    met = spread(distinct.select("row_idx", F.explode(F.array(*pairs)).alias("p")).select("row_idx", "p.*"), said, ["ctx", "ctx_sig", "tgt", "tgt_sig"], few(said))
     first = F.create_map(*[x for k, c in enumerate(columns) for x in (F.lit(c), F.lit(-k))])[F.col("ctx")]
     best = F.max_by(F.struct("ctx", "expected", "strength", "rule"), F.struct(F.round("strength", 12), first))
-    return met.groupBy("row_idx", "tgt", "polarity").agg(best.alias("b")).select("row_idx", "tgt", "polarity", "b.*")
+    found = met.groupBy("row_idx", "tgt", "polarity").agg(best.alias("b")).join(each, "row_idx").select(*own, "_n", "tgt", "polarity", "b.*")
+    return spread(rows, found, own, few(each), "_n").select("row_idx", "tgt", "polarity", "ctx", "expected", "strength", "rule")
 
 
 def reference_rows(df: DataFrame, ctx: str, tgt: str, most: int = 5) -> DataFrame:
