@@ -24,6 +24,7 @@ NAMES = [
     "value_priors",
     "per_column_metrics",
     "context_agreement",
+    "identifier_and_rule_consensus",
 ]
 CUSTOMERS = ("context_agreement", "identifier_and_rule_consensus")
 
