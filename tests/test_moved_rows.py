@@ -25,6 +25,7 @@ NAMES = [
     "per_column_metrics",
     "context_agreement",
     "identifier_and_rule_consensus",
+    "calibrated_detection",
 ]
 CUSTOMERS = ("context_agreement", "identifier_and_rule_consensus")
 

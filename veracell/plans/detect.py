@@ -57,7 +57,7 @@ class DetectConfig:
 
 @dataclass
 class Detection:
-    """``cells`` has a row for every cell; the persisted evidence behind it is
+    """``cells`` has a row for every cell; the persisted frames behind it are
     freed by ``close``."""
 
     cells: DataFrame
@@ -69,9 +69,11 @@ class Detection:
     support: dict[tuple[str, str], tuple[int, int]]
     promoted: list[str]
     repairs: DataFrame | None = None
+    held: tuple[DataFrame, ...] = ()
 
     def close(self) -> None:
-        self.evidence.unpersist()
+        for frame in self.held:
+            frame.unpersist()
 
     @property
     def observations(self) -> DataFrame:
@@ -90,7 +92,7 @@ class Detection:
 
 def specs_of(df: DataFrame, cell: DataFrame, value: DataFrame, config: DetectConfig) -> list[evi.ColumnSpec]:
     numbers = [c for c, k in config.kinds.items() if k == "numeric"]
-    number = cell.where(F.col("column").isin(*numbers)).select("column", numeric.strict(F.col("raw")).alias("x"))
+    number = cell.where(F.col("column").isin(*numbers)).select("column", numeric.strict(F.col("raw")).alias("x"), *(["n"] if "n" in cell.columns else []))
     names = ("p01", "p05", "p95", "p99")
     quantiles = {c: dict(zip(names, q)) for c, q in exact(number, [0.01, 0.05, 0.95, 0.99]).items()} if numbers else {}
     return evi.infer_specs(value, cell, config.kinds, config.patterns, quantiles, config.archetypes, config.legal, config.prototypes)
@@ -116,7 +118,8 @@ def drawn(df: DataFrame, config: DetectConfig, cell: DataFrame, value: DataFrame
         ratios = ru.pass_ratios(df, by_rule)
         firsts = firsts.join(ratios.withColumnsRenamed({"row_idx": "first_row"}), ["column", "first_row"], "left")
         cell = cell.join(ratios, ["row_idx", "column"], "left")
-    c = cell.join(evi.value_arrays(firsts, specs).withColumnRenamed("obs", "of_value"), ["column", "sig"])
+    of_value = evi.value_arrays(firsts, specs).withColumnRenamed("obs", "of_value").withColumn("_n", F.col("support"))
+    c = ce.spread(cell, of_value, ["column", "sig"], value.limit(ce.FEW + 1).count() <= ce.FEW, "_n")
     if config.relations:
         c = c.join(evi.relation_arrays(df, config.relations).withColumnRenamed("obs", "related"), ["row_idx", "column"], "left")
     keep = ("raw", "sig", "of_value", *(["related"] if config.relations else []))
@@ -133,17 +136,22 @@ def detect(df: DataFrame, config: DetectConfig) -> Detection:
 
     Weights are learned on evidence as drawn; labels then promote structural
     missing values and allow gates, and the gates weaken what is left. With
-    ``weights`` and ``intercept`` the given calibration is used as it is.
+    ``weights`` and ``intercept`` the given calibration is used as it is. Where all
+    evidence is of a cell's own value, everything is worked out for the first cell of
+    each distinct value and then given to all.
     """
     spark = df.sparkSession
-    cell = ce.cells(df, config.columns)
+    by_row = len(config.context) > 1 or config.repairs or config.relations or any(r.family == "pattern" for r in config.rules)
+    forms = None if by_row else ce.Forms(df, config.columns)
+    cell = forms.rows if forms else ce.cells(df, config.columns)
     value = ce.values(cell)
     repairs = rp.candidates(df, config.repairs) if config.repairs else None
     evidence = drawn(df, config, cell, value, specs_of(df, cell, value, config), repairs)
     evidence = sc.rules_scaled(evidence, config.rule_scale).persist(StorageLevel.MEMORY_AND_DISK)
     kinds, labels, labelled = config.archetypes, {}, []
     if config.clean and config.label_budget and not config.unit_weights and config.weights is None:
-        asked = inf.choose_queries(sc.vectors(evidence), config.label_budget)
+        vectors = sc.vectors(evidence)
+        asked = inf.choose_queries(forms.weighted(vectors) if forms else vectors, config.label_budget)
         missing = F.exists("obs", lambda o: (o["source"] == "missing_token") & ~o["hard"])
         kind = F.coalesce(F.try_element_at(F.create_map(*[x for c in config.columns for x in (F.lit(c), F.lit(kinds.get(c, "unknown")))]), F.col("column")), F.lit("unknown"))
         first = evidence.where(missing).groupBy(kind.alias("kind")).agg(F.min(F.struct("row_idx", "column")).alias("cell")).collect()  # a row an archetype
@@ -170,15 +178,17 @@ def detect(df: DataFrame, config: DetectConfig) -> Detection:
         known = spark.createDataFrame([(r, c, y) for (r, c), y in labels.items()], "row_idx bigint, column string, label int")
         rows = scored.join(F.broadcast(known), ["row_idx", "column"]).select("column", "posterior", "label")
         limits = {r.column: r.threshold for r in inf.thresholds(rows, config.threshold).collect()}
-    return Detection(sc.explained(scored, config.threshold, limits), evidence, limits, weights, intercept, labels, support, up, repairs)
+    to_all = (lambda found: forms.to_cells(found.drop("raw"), forms.cell, keep=True).select(*found.columns)) if forms else (lambda found: found)
+    held = (evidence, forms.rows) if forms else (evidence,)
+    return Detection(to_all(sc.explained(scored, config.threshold, limits)), to_all(evidence), limits, weights, intercept, labels, support, up, repairs, held)
 
 
 def export(found: Detection) -> DataFrame:
     """The row of a score file for every cell: value prior, score, labels, evidence
     in words, the best repair, reasons and the whole trace."""
     c = found.cells
-    prior = c.groupBy("column", "sig").agg(F.avg("posterior").alias("value_prior"))
-    out = c.join(prior, ["column", "sig"])
+    prior = c.groupBy("column", "sig").agg(F.avg("posterior").alias("value_prior"), F.count("*").alias("n"))
+    out = ce.spread(c, prior, ["column", "sig"], prior.limit(ce.FEW + 1).count() <= ce.FEW)
     if found.repairs is not None:
         best = found.repairs.where("rank = 1").select("row_idx", "column", F.col("mechanism").alias("repair_mechanism"), F.col("candidate").alias("repair_candidate"),
                                                       F.col("score").alias("repair_score"), F.col("ambiguity").alias("repair_ambiguity"), F.col("changed").alias("repair_changed_fields"))
